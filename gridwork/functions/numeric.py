@@ -26,7 +26,7 @@ def py_mod(a, b, integral: bool = True) -> Column:
     if not integral:
         return a - b * F.floor(F.try_divide(a, b))
     a, b = a.cast("long"), b.cast("long")
-    r = F.try_remainder(a, b)
+    r = F.try_mod(a, b)
     return F.when((r != 0) & ((r < 0) != (b < 0)), r + b).otherwise(r)
 
 

@@ -81,3 +81,23 @@ def semi_join(left: DataFrame, right: DataFrame, on: str | Sequence[str], null_s
     """Rows of ``left`` with at least one match in ``right``, each once."""
     return merge(left, right.select(*([on] if isinstance(on, str) else on)),
                  on, "left_semi", null_safe=null_safe)
+
+
+def cross_product(left: DataFrame, right: DataFrame, max_right_rows: int = 10_000,
+                  suffixes: tuple[str, str] = ("_x", "_y")) -> DataFrame:
+    """Every left row with every right row (the nested loop / constant-key
+    merge of the lessons), with ``_x``/``_y`` suffixes on clashing names.
+
+    The output has ``len(left) * len(right)`` rows, so it is only offered for a
+    right side whose row count is checked against ``max_right_rows`` (one
+    count job); that side is broadcast and the left side is never shuffled.
+    Larger inputs raise instead of producing a quadratic result.
+    """
+    n = right.count()
+    if n > max_right_rows:
+        raise ValueError(f"right side has {n} rows > max_right_rows={max_right_rows}; "
+                         "a cross product of growing tables is not supported")
+    clash = set(left.columns) & set(right.columns)
+    l = left.select(*[F.col(c).alias(c + suffixes[0] if c in clash else c) for c in left.columns])
+    r = right.select(*[F.col(c).alias(c + suffixes[1] if c in clash else c) for c in right.columns])
+    return l.crossJoin(F.broadcast(r))

@@ -83,16 +83,19 @@ def position_slice(df: DataFrame, order_by, start: int | None = None, stop: int
     from the end, bounds past the end clip, an empty range gives no rows."""
     cols = list(columns or df.columns)
     picked = cols[slice(col_start, col_stop)]
-    if start is not None and start < 0 or stop is not None and stop < 0:
-        n = df.count()
-        start = None if start is None else (start + n if start < 0 else start)
-        stop = None if stop is None else (stop + n if stop < 0 else stop)
+    # Negative bounds count from the end: the row count enters as a scalar
+    # subquery, so the plan stays lazy.
+    n = df.agg(F.count(F.lit(1))).scalar() if any(b is not None and b < 0 for b in (start, stop)) else None
+
+    def bound(b):
+        return F.greatest(n + F.lit(b), F.lit(0)) if b < 0 else F.lit(b)
+
     pos = ordinal(df, order_by, name="_gw_pos")
     cond = F.lit(True)
     if start is not None:
-        cond = cond & (F.col("_gw_pos") >= max(start, 0))
+        cond = cond & (F.col("_gw_pos") >= bound(start))
     if stop is not None:
-        cond = cond & (F.col("_gw_pos") < max(stop, 0))
+        cond = cond & (F.col("_gw_pos") < bound(stop))
     return pos.where(cond).select("_gw_pos", *picked).withColumnRenamed("_gw_pos", "position")
 
 

@@ -1 +1,238 @@
-"""Queries (filled in below)."""
+"""Aggregates, sorting, top-k and ordered windows (inventory A, W).
+
+Floating statistics are rounded to 9 decimals on both sides (the summation
+order of a distributed sum is not fixed); money is summed as DECIMAL.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gridwork.functions import arrays as AR
+from gridwork.operators import aggregate as AG
+from gridwork.operators import order as O
+from gridwork.operators.window import lag_in_group
+from gridwork.plans.registry import register
+from gridwork.plans.sqlkit import avg_dec
+from gridwork.plans.star import money
+from gridwork.sources import Tables
+
+
+def _r9(c):
+    return F.round(c, 9)
+
+
+@register("a1_describe_quantity", """
+SELECT l_returnflag, count(l_quantity) AS n, sum(l_quantity) AS total, avg(l_quantity) AS mean,
+       min(l_quantity) AS min, max(l_quantity) AS max, round(stddev_samp(l_quantity), 9) AS std,
+       round(stddev_pop(l_quantity), 9) AS std_pop, round(var_samp(l_quantity), 9) AS var
+FROM lineitem GROUP BY l_returnflag""")
+def a1_describe_quantity(spark, sf):
+    """sum, mean, min, max, sample std (pandas), population std (NumPy) and
+    variance per group in one hash aggregate."""
+    d = AG.describe(Tables(spark, sf).lineitem, "l_quantity", ["l_returnflag"])
+    return d.select("l_returnflag", "n", "total", "mean", "min", "max",
+                    _r9(F.col("std")).alias("std"), _r9(F.col("std_pop")).alias("std_pop"),
+                    _r9(F.col("var")).alias("var"))
+
+
+@register("a7_quantiles_price", """
+SELECT l_returnflag, quantile_cont(l_extendedprice, 0.5) AS median,
+       quantile_cont(l_extendedprice, 0.25) AS q25, quantile_cont(l_extendedprice, 0.75) AS q75
+FROM lineitem GROUP BY l_returnflag""")
+def a7_quantiles_price(spark, sf):
+    """``median()`` and ``quantile(0.25/0.75)``, exact with linear
+    interpolation, sort based so no group is buffered whole in one task."""
+    li = Tables(spark, sf).lineitem
+    return AG.exact_quantiles(li, "l_extendedprice", [0.5, 0.25, 0.75], ["l_returnflag"],
+                              names=["median", "q25", "q75"])
+
+
+@register("a8_quantile_global", """
+SELECT quantile_cont(o_totalprice, 0.5) AS median, quantile_cont(o_totalprice, 0.9) AS q90 FROM orders""")
+def a8_quantile_global(spark, sf):
+    """Table-wide exact quantiles (no group key): still spread over all tasks."""
+    return AG.exact_quantiles(Tables(spark, sf).orders, "o_totalprice", [0.5, 0.9], names=["median", "q90"])
+
+
+@register("a9_argmax_first", """
+SELECT o_orderpriority, o_custkey, o_totalprice FROM (
+  SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS rn
+  FROM orders) WHERE rn = 1""")
+def a9_argmax_first(spark, sf):
+    """``labels[np.argmax(values)]`` per group: first row (by o_orderkey) on
+    ties, as NumPy does; a partial aggregate of ``max(struct)``."""
+    return AG.arg_extreme(Tables(spark, sf).orders, "o_totalprice", "o_custkey", "o_orderkey",
+                          largest=True, group_by=["o_orderpriority"])
+
+
+@register("a9_argmin_first", """
+SELECT o_orderpriority, o_custkey, o_totalprice FROM (
+  SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey) AS rn
+  FROM orders) WHERE rn = 1""")
+def a9_argmin_first(spark, sf):
+    return AG.arg_extreme(Tables(spark, sf).orders, "o_totalprice", "o_custkey", "o_orderkey",
+                          largest=False, group_by=["o_orderpriority"])
+
+
+@register("a10_distinct_counts", """
+SELECT l_returnflag, count(DISTINCT l_partkey) AS n_parts, count(DISTINCT l_suppkey) AS n_suppliers
+FROM lineitem GROUP BY l_returnflag""")
+def a10_distinct_counts(spark, sf):
+    """``nunique()`` per group (NULLs not counted)."""
+    li = Tables(spark, sf).lineitem
+    return li.groupBy("l_returnflag").agg(F.count_distinct("l_partkey").alias("n_parts"),
+                                          F.count_distinct("l_suppkey").alias("n_suppliers"))
+
+
+@register("a11_unique_values", "SELECT DISTINCT o_orderpriority FROM orders")
+def a11_unique_values(spark, sf):
+    """``np.unique`` / ``unique()``: the distinct values."""
+    return Tables(spark, sf).orders.select("o_orderpriority").distinct()
+
+
+@register("a12_unique_with_counts", "SELECT p_brand, count(*) AS count FROM part GROUP BY p_brand")
+def a12_unique_with_counts(spark, sf):
+    """``np.unique(..., return_counts=True)``."""
+    return Tables(spark, sf).part.groupBy("p_brand").agg(F.count(F.lit(1)).alias("count"))
+
+
+@register("a13_value_counts", """
+SELECT o_orderpriority, count(*) AS count FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY 1""")
+def a13_value_counts(spark, sf):
+    return AG.value_counts(Tables(spark, sf).orders, "o_orderpriority")
+
+
+@register("a14_value_counts_pct", """
+SELECT o_orderpriority, CAST(count(*) AS DOUBLE) * 100.0 / CAST((SELECT count(*) FROM orders) AS DOUBLE) AS percent
+FROM orders GROUP BY 1""")
+def a14_value_counts_pct(spark, sf):
+    """``value_counts(normalize=True) * 100``."""
+    return AG.value_counts(Tables(spark, sf).orders, "o_orderpriority", normalize=True)
+
+
+@register("a15_group_sum_mean_median", f"""
+SELECT c_mktsegment, CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS total,
+       {avg_dec('CAST(c_acctbal AS DECIMAL(18,2))', 2)} AS mean,
+       quantile_cont(c_acctbal, 0.5) AS median
+FROM customer GROUP BY c_mktsegment""")
+def a15_group_sum_mean_median(spark, sf):
+    """``groupby(key).sum() / .mean() / .median()``."""
+    c = Tables(spark, sf).customer
+    sums = c.groupBy("c_mktsegment").agg(F.sum(money("c_acctbal")).cast("double").alias("total"),
+                                         F.avg(money("c_acctbal")).cast("double").alias("mean"))
+    med = AG.exact_quantiles(c, "c_acctbal", [0.5], ["c_mktsegment"], names=["median"])
+    return sums.join(med, "c_mktsegment")
+
+
+@register("a18_conditional_sum", """
+SELECT l_linestatus, CAST(sum(l_quantity) FILTER (WHERE l_returnflag = 'R') AS DOUBLE) AS returned_qty,
+       count_if(l_returnflag = 'R') AS returned_lines
+FROM lineitem GROUP BY l_linestatus""")
+def a18_conditional_sum(spark, sf):
+    """``np.sum(q[flag == 'R'])`` per group as a conditional aggregate."""
+    li = Tables(spark, sf).lineitem
+    r = F.col("l_returnflag") == "R"
+    return li.groupBy("l_linestatus").agg(
+        F.sum(F.when(r, F.col("l_quantity"))).cast("double").alias("returned_qty"),
+        F.count_if(r).alias("returned_lines"))
+
+
+@register("a17_group_sum_map")
+def a17_group_sum_map(spark, sf):
+    """``{flag: q[flags == flag].sum() for flag in np.unique(flags)}`` as one
+    MAP value (one aggregate instead of a scan per key; key count checked)."""
+    li = Tables(spark, sf).lineitem
+    return AG.group_to_map(li, "l_returnflag", F.sum("l_quantity"), max_keys=10_000)
+
+
+@register("a22_occurrence_count", """
+SELECT l_returnflag, count_if(l_quantity = 50) AS qty_50_lines FROM lineitem GROUP BY 1""")
+def a22_occurrence_count(spark, sf):
+    """``list.count(v)`` over a column: ``count_if``."""
+    li = Tables(spark, sf).lineitem
+    return li.groupBy("l_returnflag").agg(F.count_if(F.col("l_quantity") == 50).alias("qty_50_lines"))
+
+
+@register("a22_array_count", """
+SELECT l_orderkey, count_if(l_quantity = 50) AS qty_50_in_order FROM lineitem GROUP BY 1""")
+def a22_array_count(spark, sf):
+    """``lst.count(v)`` on an array column: the quantities of each order."""
+    li = Tables(spark, sf).lineitem
+    per = li.groupBy("l_orderkey").agg(F.collect_list("l_quantity").alias("qs"))
+    return per.select("l_orderkey", AR.count_of("qs", F.lit(50.0)).cast("long").alias("qty_50_in_order"))
+
+
+@register("a24_letter_count", r"""
+SELECT doc_id, length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS letters,
+       length(text) - length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS non_letters
+FROM documents""")
+def a24_letter_count(spark, sf):
+    """A counter incremented per character passing a test (``isalpha``),
+    as one expression over each whole text."""
+    d = Tables(spark, sf).documents
+    letters = F.length(F.regexp_replace("text", r"[^\p{L}]", ""))
+    return d.select("doc_id", letters.cast("long").alias("letters"),
+                    (F.length("text") - letters).cast("long").alias("non_letters"))
+
+
+# -- W: sort, n-th largest, top-k, lag -------------------------------------
+
+@register("w1_sorted_parts_desc", """
+SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_partkey DESC) AS parts_desc
+FROM lineitem GROUP BY l_orderkey""")
+def w1_sorted_parts_desc(spark, sf):
+    """``lst.sort(reverse=True)`` on each order's part list."""
+    li = Tables(spark, sf).lineitem
+    per = li.groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("p"))
+    return per.select("l_orderkey", F.array_join(F.sort_array("p", asc=False).cast("array<string>"), ",")
+                      .alias("parts_desc"))
+
+
+@register("w2_nth_largest", """
+SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey OFFSET 2 LIMIT 1""")
+def w2_nth_largest(spark, sf):
+    """``sort_values(ascending=False).iloc[2]``: the third largest."""
+    return O.nth_largest(Tables(spark, sf).orders.select("o_orderkey", "o_totalprice"),
+                         "o_totalprice", 2, tie_break=["o_orderkey"])
+
+
+@register("w4_reverse_parts", """
+SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber DESC, l_partkey DESC) AS parts_reversed
+FROM lineitem GROUP BY l_orderkey""")
+def w4_reverse_parts(spark, sf):
+    """``lst.reverse()`` of each order's parts in line order."""
+    li = Tables(spark, sf).lineitem
+    per = li.groupBy("l_orderkey").agg(
+        F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("p"))
+    return per.select("l_orderkey", F.array_join(F.reverse(F.col("p.l_partkey")).cast("array<string>"), ",")
+                      .alias("parts_reversed"))
+
+
+@register("w5_top_orders", """
+SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10""")
+def w5_top_orders(spark, sf):
+    """Top 10 by value with a key tie-break (a per-task top-k, then a merge)."""
+    return O.top_k(Tables(spark, sf).orders.select("o_orderkey", "o_custkey", "o_totalprice"),
+                   "o_totalprice", 10, tie_break=["o_orderkey"])
+
+
+@register("w6_lag_previous_order", """
+SELECT o_orderkey, o_custkey, strftime(lag(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), '%Y-%m-%d') AS prev_date
+FROM orders""")
+def w6_lag_previous_order(spark, sf):
+    """Previous order date of the same customer (``lag``), computed on
+    range-partitioned chunks so one busy customer does not fill one task."""
+    o = Tables(spark, sf).orders.select("o_orderkey", "o_custkey", "o_orderdate")
+    lagged = lag_in_group(o, "o_orderdate", ["o_orderdate", "o_orderkey"], ["o_custkey"], name="prev")
+    return lagged.select("o_orderkey", "o_custkey", F.date_format("prev", "yyyy-MM-dd").alias("prev_date"))
+
+
+@register("w2_position_rank", """
+SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS position FROM orders""")
+def w2_position_rank(spark, sf):
+    """Position of every order in descending value order (a whole-table
+    ordinal built from per-task counts, not a single-task window)."""
+    o = Tables(spark, sf).orders.select("o_orderkey", "o_totalprice")
+    return O.ordinal(o, [F.col("o_totalprice").desc(), F.col("o_orderkey")], name="position") \
+            .select("o_orderkey", "position")

@@ -21,14 +21,14 @@ def _ts(s: str):
 # -- S: scans and generated columns ------------------------------------------
 
 @register("s3_parquet_scan_pruned", """
-SELECT l_orderkey, l_linenumber, l_quantity, CAST(l_shipdate AS DATE) AS ship_date
+SELECT l_orderkey, l_linenumber, l_quantity, strftime(l_shipdate, '%Y-%m-%d') AS ship_date
 FROM lineitem WHERE l_shipdate >= TIMESTAMP '1999-01-01' AND l_returnflag = 'N'""")
 def s3_parquet_scan_pruned(spark, sf):
     """Projection and filter reach the parquet scan (ReadSchema has 5 of 11
     columns; PushedFilters holds both predicates)."""
     li = Tables(spark, sf).lineitem
     return li.where((F.col("l_shipdate") >= _ts("1999-01-01")) & (F.col("l_returnflag") == "N")) \
-             .select("l_orderkey", "l_linenumber", "l_quantity", F.to_date("l_shipdate").alias("ship_date"))
+             .select("l_orderkey", "l_linenumber", "l_quantity", F.date_format("l_shipdate", "yyyy-MM-dd").alias("ship_date"))
 
 
 @register("s8_line_slots", """

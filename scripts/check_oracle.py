@@ -30,6 +30,8 @@ def _norm(v, digits=None):
         import numpy as np
         if isinstance(v, np.ndarray):
             v = v.tolist()
+        elif isinstance(v, np.generic):
+            v = v.item()
     except ImportError:
         pass
     if isinstance(v, float):
