@@ -44,10 +44,16 @@ def sorted_chunks(df: DataFrame, order_by, partition_by=(), n_partitions: int |
     """
     keys = [*_cols(partition_by), *_cols(order_by)]
     n = _n_parts(df, n_partitions)
-    return (df.repartitionByRange(n, *keys)
-              .sortWithinPartitions(*keys)
-              .withColumn(_PID, F.spark_partition_id())
-              .withColumn(_MID, F.monotonically_increasing_id()))
+    tagged = (df.repartitionByRange(n, *keys)
+                .sortWithinPartitions(*keys)
+                .withColumn(_PID, F.spark_partition_id())
+                .withColumn(_MID, F.monotonically_increasing_id()))
+    # The callers read these rows twice (per-chunk summary, then the rows
+    # themselves). Range bounds come from a sample seeded by the RDD id, so two
+    # separately planned copies could cut the chunks differently. A reliable
+    # checkpoint (in the session's shared checkpoint folder) pins one copy:
+    # both reads see the same chunks, and lost executors recover from it.
+    return tagged.checkpoint(eager=False)
 
 
 def ordinal(df: DataFrame, order_by, partition_by=(), name: str = "ordinal",

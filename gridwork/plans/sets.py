@@ -1 +1,111 @@
-"""Queries (filled in below)."""
+"""Set operations (inventory U) as table operations and as array functions.
+
+Tables: the customers who ordered in 1996 (A) against those who ordered in
+1997 (B). Arrays: per order, the suppliers of lines 1-3 (x) against those of
+lines 2 and up (y), which overlap in some orders and not in others.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gridwork.functions import arrays as AR
+from gridwork.operators import sets as ST
+from gridwork.plans.registry import register
+from gridwork.sources import Tables
+
+_A = "(SELECT DISTINCT o_custkey FROM orders WHERE year(o_orderdate) = 1996)"
+_B = "(SELECT DISTINCT o_custkey FROM orders WHERE year(o_orderdate) = 1997)"
+
+
+def _year_customers(spark, sf, year):
+    o = Tables(spark, sf).orders
+    return o.where((F.col("o_orderdate") >= F.lit(f"{year}-01-01").cast("timestamp_ntz"))
+                   & (F.col("o_orderdate") < F.lit(f"{year + 1}-01-01").cast("timestamp_ntz"))) \
+            .select("o_custkey").distinct()
+
+
+@register("u1_set_union", f"SELECT o_custkey FROM {_A} UNION SELECT o_custkey FROM {_B}")
+def u1_set_union(spark, sf):
+    return ST.union(_year_customers(spark, sf, 1996), _year_customers(spark, sf, 1997))
+
+
+@register("u2_set_intersection", f"SELECT o_custkey FROM {_A} INTERSECT SELECT o_custkey FROM {_B}")
+def u2_set_intersection(spark, sf):
+    return ST.intersection(_year_customers(spark, sf, 1996), _year_customers(spark, sf, 1997))
+
+
+@register("u3_set_difference", f"SELECT o_custkey FROM {_A} EXCEPT SELECT o_custkey FROM {_B}")
+def u3_set_difference(spark, sf):
+    return ST.difference(_year_customers(spark, sf, 1996), _year_customers(spark, sf, 1997))
+
+
+@register("u4_set_symmetric_difference", f"""
+(SELECT o_custkey FROM {_A} EXCEPT SELECT o_custkey FROM {_B})
+UNION (SELECT o_custkey FROM {_B} EXCEPT SELECT o_custkey FROM {_A})""")
+def u4_set_symmetric_difference(spark, sf):
+    return ST.symmetric_difference(_year_customers(spark, sf, 1996), _year_customers(spark, sf, 1997))
+
+
+@register("u5_set_relations", f"""
+SELECT NOT EXISTS (SELECT o_custkey FROM {_A} EXCEPT SELECT o_custkey FROM {_B}) AS is_subset,
+       NOT EXISTS (SELECT o_custkey FROM {_B} EXCEPT SELECT o_custkey FROM {_A}) AS is_superset,
+       NOT EXISTS (SELECT o_custkey FROM {_A} INTERSECT SELECT o_custkey FROM {_B}) AS is_disjoint""")
+def u5_set_relations(spark, sf):
+    """``issubset``, ``issuperset``, ``isdisjoint`` of A and B."""
+    return ST.relations(_year_customers(spark, sf, 1996), _year_customers(spark, sf, 1997))
+
+
+@register("u10_extend_bag", f"""
+SELECT o_custkey, count(*) AS copies FROM (
+  SELECT o_custkey FROM {_A} UNION ALL SELECT o_custkey FROM {_B}) GROUP BY o_custkey""")
+def u10_extend_bag(spark, sf):
+    """``a.extend(b)`` keeps duplicates: each key with its number of copies."""
+    bag = ST.extend(_year_customers(spark, sf, 1996), _year_customers(spark, sf, 1997))
+    return bag.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("copies"))
+
+
+def _agg(cond):
+    return f"coalesce(string_agg(CAST(l_suppkey AS VARCHAR), ',' ORDER BY l_suppkey) FILTER (WHERE {cond}), '')"
+
+
+# Supplier keys start at 1, so an added 1 sorts first.
+@register("u_array_set_ops", f"""
+WITH s AS (
+  SELECT l_orderkey, l_suppkey, bool_or(l_linenumber <= 3) AS in_x, bool_or(l_linenumber >= 2) AS in_y
+  FROM lineitem GROUP BY l_orderkey, l_suppkey)
+SELECT l_orderkey,
+       {_agg('in_x OR in_y')} AS set_union,
+       {_agg('in_x AND in_y')} AS set_intersection,
+       {_agg('in_x AND NOT in_y')} AS set_difference,
+       {_agg('in_x <> in_y')} AS set_symmetric_difference,
+       bool_and(NOT in_x OR in_y) AS x_subset_of_y,
+       NOT bool_or(in_x AND in_y) AS disjoint,
+       CASE WHEN bool_or(in_x AND l_suppkey = 1) THEN {_agg('in_x')}
+            WHEN {_agg('in_x')} = '' THEN '1' ELSE '1,' || {_agg('in_x')} END AS x_add_1,
+       {_agg('in_x AND l_suppkey <> (SELECT min(l_suppkey) FROM lineitem)')} AS x_discard_min
+FROM s GROUP BY l_orderkey""")
+def u_array_set_ops(spark, sf):
+    """Per order, Python set methods on array columns: ``union``,
+    ``intersection``, ``difference``, ``symmetric_difference``, ``issubset``,
+    ``isdisjoint``, ``add(1)`` and ``discard(min supplier)``."""
+    li = Tables(spark, sf).lineitem
+    per = li.groupBy("l_orderkey").agg(
+        F.collect_set(F.when(F.col("l_linenumber") <= 3, F.col("l_suppkey"))).alias("x"),
+        F.collect_set(F.when(F.col("l_linenumber") >= 2, F.col("l_suppkey"))).alias("y"))
+    lowest = li.agg(F.min("l_suppkey")).scalar()
+
+    def text(a):
+        return F.array_join(F.sort_array(a).cast("array<string>"), ",")
+
+    x, y = F.col("x"), F.col("y")
+    return per.select(
+        "l_orderkey",
+        text(F.array_union(x, y)).alias("set_union"),
+        text(F.array_intersect(x, y)).alias("set_intersection"),
+        text(F.array_except(x, y)).alias("set_difference"),
+        text(AR.symmetric_difference(x, y)).alias("set_symmetric_difference"),
+        AR.is_subset(x, y).alias("x_subset_of_y"),
+        AR.is_disjoint(x, y).alias("disjoint"),
+        text(AR.add_item(x, F.lit(1).cast("long"))).alias("x_add_1"),
+        text(F.array_remove(x, lowest)).alias("x_discard_min"))
