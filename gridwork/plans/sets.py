@@ -69,7 +69,7 @@ def _agg(cond):
     return f"coalesce(string_agg(CAST(l_suppkey AS VARCHAR), ',' ORDER BY l_suppkey) FILTER (WHERE {cond}), '')"
 
 
-# Supplier keys start at 1, so an added 1 sorts first.
+# Supplier keys are never negative, so the added -1 sorts first.
 @register("u_array_set_ops", f"""
 WITH s AS (
   SELECT l_orderkey, l_suppkey, bool_or(l_linenumber <= 3) AS in_x, bool_or(l_linenumber >= 2) AS in_y
@@ -81,14 +81,13 @@ SELECT l_orderkey,
        {_agg('in_x <> in_y')} AS set_symmetric_difference,
        bool_and(NOT in_x OR in_y) AS x_subset_of_y,
        NOT bool_or(in_x AND in_y) AS disjoint,
-       CASE WHEN bool_or(in_x AND l_suppkey = 1) THEN {_agg('in_x')}
-            WHEN {_agg('in_x')} = '' THEN '1' ELSE '1,' || {_agg('in_x')} END AS x_add_1,
+       CASE WHEN {_agg('in_x')} = '' THEN '-1' ELSE '-1,' || {_agg('in_x')} END AS x_add,
        {_agg('in_x AND l_suppkey <> (SELECT min(l_suppkey) FROM lineitem)')} AS x_discard_min
 FROM s GROUP BY l_orderkey""")
 def u_array_set_ops(spark, sf):
     """Per order, Python set methods on array columns: ``union``,
     ``intersection``, ``difference``, ``symmetric_difference``, ``issubset``,
-    ``isdisjoint``, ``add(1)`` and ``discard(min supplier)``."""
+    ``isdisjoint``, ``add(-1)`` and ``discard(min supplier)``."""
     li = Tables(spark, sf).lineitem
     per = li.groupBy("l_orderkey").agg(
         F.collect_set(F.when(F.col("l_linenumber") <= 3, F.col("l_suppkey"))).alias("x"),
@@ -107,5 +106,5 @@ def u_array_set_ops(spark, sf):
         text(AR.symmetric_difference(x, y)).alias("set_symmetric_difference"),
         AR.is_subset(x, y).alias("x_subset_of_y"),
         AR.is_disjoint(x, y).alias("disjoint"),
-        text(AR.add_item(x, F.lit(1).cast("long"))).alias("x_add_1"),
+        text(AR.add_item(x, F.lit(-1).cast("long"))).alias("x_add"),
         text(F.array_remove(x, lowest)).alias("x_discard_min"))
