@@ -1 +1,121 @@
-"""Queries (filled in below)."""
+"""Arrays, maps, nested records and JSON (inventory K) on the driver tables.
+
+Order baskets: the lines of one order as ``array<struct>`` in line order (a
+bounded group: the lines of a single order), accessed and edited with the
+Python list methods of ``functions.arrays``. Events: the JSON ``props`` text
+parsed with a schema, and a per-event MAP edited with ``functions.maps``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gridwork.functions import arrays as AR
+from gridwork.functions import maps as MP
+from gridwork.plans.registry import register
+from gridwork.sources import Tables
+
+
+def _baskets(spark, sf):
+    li = Tables(spark, sf).lineitem
+    per = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(
+        F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"),
+                 F.col("l_quantity").alias("q")))).alias("lines"))
+    return per.select("l_orderkey", "lines", F.col("lines.p").alias("parts"))
+
+
+_BASKETS_SQL = """(SELECT l_orderkey,
+        list_sort(list({'n': l_linenumber, 'p': l_partkey, 'q': l_quantity})) AS lines,
+        list(l_partkey ORDER BY l_linenumber, l_partkey, l_quantity) AS parts
+ FROM lineitem GROUP BY l_orderkey)"""
+
+
+def _txt(a):
+    return F.array_join(a.cast("array<string>"), ",")
+
+
+@register("k1_list_methods", f"""
+SELECT l_orderkey, CAST(len(parts) AS BIGINT) AS size, parts[-1] AS last_part,
+       array_to_string(parts[2:3], ',') AS slice_1_3,
+       array_to_string(list_append(parts, 0), ',') AS appended,
+       array_to_string(list_concat(parts[1:len(parts) - 1], [0], parts[len(parts):len(parts)]), ',') AS inserted,
+       array_to_string(list_concat(parts[1:2], parts[4:len(parts)]), ',') AS popped_2,
+       array_to_string(parts[2:len(parts)], ',') AS removed_first,
+       array_to_string(list_concat([222], parts[2:len(parts)]), ',') AS replaced_0,
+       CAST(list_position(parts, list_max(parts)) - 1 AS BIGINT) AS index_of_max,
+       array_to_string(list_reverse(parts), ',') AS reversed,
+       array_to_string(list_sort(parts), ',') AS sorted
+FROM {_BASKETS_SQL}""")
+def k1_list_methods(spark, sf):
+    """``a[-1]``, ``a[1:3]``, ``append``, ``insert(-1, v)`` (before the last
+    item), ``pop(2)``, ``remove(a[0])`` (first match only), ``a[0] = v``,
+    ``index``, ``reverse``, ``sort`` on each order's part list."""
+    b = _baskets(spark, sf)
+    p = F.col("parts")
+    zero = F.lit(0).cast("long")
+    return b.select(
+        "l_orderkey", F.size(p).cast("long").alias("size"), AR.item(p, -1).alias("last_part"),
+        _txt(AR.list_slice(p, 1, 3)).alias("slice_1_3"), _txt(F.array_append(p, zero)).alias("appended"),
+        _txt(AR.insert_at(p, -1, zero)).alias("inserted"), _txt(AR.pop_at(p, 2)).alias("popped_2"),
+        _txt(AR.remove_first(p, AR.item(p, 0))).alias("removed_first"),
+        _txt(AR.replace_at(p, 0, F.lit(222).cast("long"))).alias("replaced_0"),
+        AR.index_of(p, F.array_max(p)).cast("long").alias("index_of_max"),
+        _txt(F.reverse(p)).alias("reversed"), _txt(F.sort_array(p)).alias("sorted"))
+
+
+@register("k11_nested_access", f"""
+SELECT l_orderkey, lines[1].p AS first_part, lines[-1].q AS last_quantity,
+       CAST(list_sum([x.q for x in lines]) AS DOUBLE) AS total_quantity
+FROM {_BASKETS_SQL}""")
+def k11_nested_access(spark, sf):
+    """``order['lines'][0]['p']``, ``order['lines'][-1]['q']`` on nested
+    records, and a reduction over a nested field."""
+    b = _baskets(spark, sf)
+    return b.select("l_orderkey", AR.item("lines", 0)["p"].alias("first_part"),
+                    AR.item("lines", -1)["q"].alias("last_quantity"),
+                    F.aggregate("lines.q", F.lit(0.0), lambda acc, x: acc + x).alias("total_quantity"))
+
+
+@register("k17_json_parse", """
+SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
+       json_extract_string(props, '$.missing') AS missing
+FROM events""")
+def k17_json_parse(spark, sf):
+    """JSON text to a typed record (``from_json`` with a schema) and a path
+    lookup that is NULL when the key is absent."""
+    ev = Tables(spark, sf).events
+    rec = F.from_json("props", "k BIGINT")
+    return ev.select("event_id", rec["k"].alias("k"), F.get_json_object("props", "$.missing").alias("missing"))
+
+
+@register("k12_map_methods", """
+SELECT event_id, CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) AS VARCHAR) AS got_k,
+       CAST(NULL AS VARCHAR) AS got_missing, 'k,type,user' AS keys,
+       '0' AS put_k, CAST(4 AS INT) AS size_after_add, CAST(2 AS INT) AS size_after_del,
+       CAST(user_id AS VARCHAR) AS last_wins
+FROM events""")
+def k12_map_methods(spark, sf):
+    """``d.get``, ``d.keys()``, ``d[k] = v`` (overwrite and insert),
+    ``del d[k]``, and ``dict(pairs)`` where a repeated key keeps its last
+    value, on a MAP built per event."""
+    ev = Tables(spark, sf).events
+    k = F.from_json("props", "k BIGINT")["k"].cast("string")
+    m = F.create_map(F.lit("type"), F.col("event_type"), F.lit("k"), k,
+                     F.lit("user"), F.col("user_id").cast("string"))
+    pairs = MP.from_pairs_last_wins(F.array(F.lit("a"), F.lit("b"), F.lit("a")),
+                                    F.array(F.col("event_type"), k, F.col("user_id").cast("string")))
+    return ev.select(
+        "event_id", MP.get(m, F.lit("k")).alias("got_k"), MP.get(m, F.lit("zzz")).alias("got_missing"),
+        F.array_join(F.array_sort(F.map_keys(m)), ",").alias("keys"),
+        MP.get(MP.put(m, F.lit("k"), F.lit("0")), F.lit("k")).alias("put_k"),
+        F.size(MP.put(m, F.lit("new"), F.lit("1"))).alias("size_after_add"),
+        F.size(MP.remove(m, F.lit("type"))).alias("size_after_del"),
+        MP.get(pairs, F.lit("a")).alias("last_wins"))
+
+
+@register("k18_explode_baskets", """
+SELECT l_orderkey, l_linenumber AS n, l_partkey AS p FROM lineitem""")
+def k18_explode_baskets(spark, sf):
+    """Nested lists back to rows (``explode`` / ``inline``)."""
+    b = _baskets(spark, sf)
+    return b.select("l_orderkey", F.inline("lines")).select("l_orderkey", "n", "p")
