@@ -69,3 +69,31 @@ def customer_region(t: Tables) -> DataFrame:
     """customer with its nation and region names."""
     c = t.customer.select("c_custkey", "c_nationkey", "c_mktsegment")
     return c.join(dims(t), c.c_nationkey == F.col("n_nationkey")).drop("n_nationkey")
+
+
+def order_facts(t: Tables) -> DataFrame:
+    """One row per order: exact sales, cost, profit, quantity, line count and
+    discount sum, joined to the order's date, customer and priority.
+
+    Lines are reduced to one row per order before the orders join, so the
+    big join carries a quarter of the line rows.
+    """
+    lines = lines_with_profit(t)
+    per_order = lines.groupBy("l_orderkey").agg(
+        F.sum("sales").alias("sales"), F.sum("cost").alias("cost"), F.sum("profit").alias("profit"),
+        F.sum(money("l_quantity")).alias("quantity"), F.count(F.lit(1)).alias("n_lines"),
+        F.sum(F.col("l_discount").cast("decimal(4,2)")).alias("discount_sum"))
+    o = t.orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    return per_order.join(o, per_order.l_orderkey == o.o_orderkey).drop("l_orderkey")
+
+
+def customer_dims(t: Tables) -> DataFrame:
+    """customer with segment, nation and region names."""
+    c = t.customer.select("c_custkey", "c_nationkey", "c_mktsegment")
+    return c.join(dims(t), c.c_nationkey == F.col("n_nationkey")).drop("c_nationkey")
+
+
+def orders_with_customer(t: Tables) -> DataFrame:
+    """``order_facts`` with the customer's segment, nation and region."""
+    of = order_facts(t)
+    return of.join(customer_dims(t), of.o_custkey == F.col("c_custkey")).drop("c_custkey")
