@@ -1 +1,66 @@
-"""Queries (filled in below)."""
+"""Group comparisons of the lessons' questions (Q38, Q40-45, Q49) as
+statistics computed from grouped moments (``operators.stats``)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gridwork.operators import stats as STS
+from gridwork.plans.questions import q48_region_type_popularity
+from gridwork.plans.registry import register
+from gridwork.plans.sqlkit import CUST_CTE, LINES_CTE, ORDERS_CTE
+from gridwork.plans.star import lines_with_profit, orders_with_customer
+from gridwork.sources import Tables
+
+
+@register("st1_welch_t_sales_asia_europe", f"""
+WITH {LINES_CTE}, {CUST_CTE}, {ORDERS_CTE},
+m AS (SELECT r_name, count(*) AS n, avg(CAST(sales AS DOUBLE)) AS mean, var_samp(CAST(sales AS DOUBLE)) AS var
+      FROM oc WHERE r_name IN ('ASIA', 'EUROPE') GROUP BY r_name),
+w AS (SELECT max(n) FILTER (WHERE r_name = 'ASIA') AS n1, max(mean) FILTER (WHERE r_name = 'ASIA') AS m1,
+             max(var) FILTER (WHERE r_name = 'ASIA') AS v1, max(n) FILTER (WHERE r_name = 'EUROPE') AS n2,
+             max(mean) FILTER (WHERE r_name = 'EUROPE') AS m2, max(var) FILTER (WHERE r_name = 'EUROPE') AS v2 FROM m)
+SELECT n1, n2, round(m1, 6) AS mean1, round(m2, 6) AS mean2,
+       round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 6) AS t_stat,
+       round((v1 / n1 + v2 / n2) * (v1 / n1 + v2 / n2) / ((v1 / n1) * (v1 / n1) / (n1 - 1) + (v2 / n2) * (v2 / n2) / (n2 - 1)), 6) AS dof
+FROM w""")
+def st1_welch_t_sales_asia_europe(spark, sf):
+    """Do ASIA and EUROPE orders differ in value? Welch's t on order sales."""
+    oc = orders_with_customer(Tables(spark, sf))
+    r = STS.welch_t(oc, "r_name", F.col("sales").cast("double"), "ASIA", "EUROPE")
+    return r.select("n1", "n2", *[F.round(c, 6).alias(c) for c in ("mean1", "mean2", "t_stat", "dof")])
+
+
+@register("st2_anova_discount_by_type", f"""
+WITH {LINES_CTE},
+m AS (SELECT p_type, count(*) AS n, avg(l_discount) AS mean, var_samp(l_discount) AS var FROM lines GROUP BY p_type),
+g AS (SELECT sum(n * mean) / sum(n) AS g FROM m)
+SELECT round((sum(n * (mean - (SELECT g FROM g)) * (mean - (SELECT g FROM g))) / (count(*) - 1))
+             / (sum((n - 1) * coalesce(var, 0)) / (sum(n) - count(*))), 6) AS f_stat,
+       CAST(count(*) - 1 AS BIGINT) AS df_between, CAST(sum(n) - count(*) AS BIGINT) AS df_within
+FROM m""")
+def st2_anova_discount_by_type(spark, sf):
+    """Does the average discount differ across categories? One-way F."""
+    li = lines_with_profit(Tables(spark, sf))
+    r = STS.anova_f(li, "p_type", "l_discount")
+    return r.select(F.round("f_stat", 6).alias("f_stat"), "df_between", "df_within")
+
+
+@register("st3_chi_square_region_type", f"""
+WITH {LINES_CTE}, {CUST_CTE},
+c AS (SELECT r_name, p_type, count(*) AS n FROM lines JOIN orders ON l_orderkey = o_orderkey
+      JOIN cust ON o_custkey = c_custkey GROUP BY r_name, p_type),
+r AS (SELECT r_name, sum(n) AS rt FROM c GROUP BY r_name),
+t AS (SELECT p_type, sum(n) AS ct FROM c GROUP BY p_type),
+tot AS (SELECT sum(n) AS total FROM c),
+e AS (SELECT n, CAST(rt AS DOUBLE) * ct / (SELECT total FROM tot) AS e FROM c JOIN r USING (r_name) JOIN t USING (p_type))
+SELECT round(sum((n - e) * (n - e) / e) + ((SELECT total FROM tot) - sum(e)), 6) AS chi2,
+       CAST(((SELECT count(*) FROM r) - 1) * ((SELECT count(*) FROM t) - 1) AS BIGINT) AS dof,
+       count(*) AS observed_cells
+FROM e""")
+def st3_chi_square_region_type(spark, sf):
+    """Is category popularity independent of region? Pearson chi-square over
+    the region x category line counts (absent cells count as 0)."""
+    counts = q48_region_type_popularity(spark, sf).select("r_name", "p_type", F.col("n_lines").alias("n"))
+    r = STS.chi_square(counts, "r_name", "p_type", "n")
+    return r.select(F.round("chi2", 6).alias("chi2"), "dof", "observed_cells")
