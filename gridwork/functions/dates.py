@@ -32,4 +32,4 @@ def days_between(later, earlier) -> Column:
 
 def parse_date(s, fmt: str = "yyyy-MM-dd") -> Column:
     """Text to DATE, NULL on malformed text."""
-    return F.try_to_date(_c(s), F.lit(fmt)) if hasattr(F, "try_to_date") else F.to_date(_c(s), fmt)
+    return F.try_to_date(_c(s), fmt)
