@@ -236,3 +236,61 @@ def w2_position_rank(spark, sf):
     o = Tables(spark, sf).orders.select("o_orderkey", "o_totalprice")
     return O.ordinal(o, [F.col("o_totalprice").desc(), F.col("o_orderkey")], name="position") \
             .select("o_orderkey", "position")
+
+
+@register("a19_pivot_mean_profit_by_brand", f"""
+SELECT p_brand, {avg_dec('CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) - CAST(l_quantity AS DECIMAL(18,2)) * CAST(p_retailprice AS DECIMAL(18,2))', 4)} AS mean_profit
+FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand""")
+def a19_pivot_mean_profit_by_brand(spark, sf):
+    """``pivot_table(values='Profit', index='Sub-Category', aggfunc=np.mean)``
+    with brand as the sub-category."""
+    from gridwork.plans.star import lines_with_profit
+    li = lines_with_profit(Tables(spark, sf))
+    return li.groupBy("p_brand").agg(F.avg("profit").cast("double").alias("mean_profit"))
+
+
+@register("a21_pivot_grand_total_type", """
+WITH l AS (SELECT p_type, CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) AS sales,
+                  CAST(l_quantity AS DECIMAL(18,2)) AS qty
+           FROM lineitem JOIN part ON l_partkey = p_partkey)
+SELECT p_type, CAST(sum(sales) AS DOUBLE) AS sales, CAST(sum(qty) AS DOUBLE) AS quantity FROM l GROUP BY p_type
+UNION ALL SELECT 'Grand Total', CAST(sum(sales) AS DOUBLE), CAST(sum(qty) AS DOUBLE) FROM l""")
+def a21_pivot_grand_total_type(spark, sf):
+    """``pivot_table(values=['Sales', 'Quantity'], index='Category',
+    aggfunc='sum', margins=True, margins_name='Grand Total')``: grouping sets
+    (type), () with the total row labelled, no sub-totals."""
+    from gridwork.plans.star import lines_with_profit
+    li = lines_with_profit(Tables(spark, sf))
+    p = AG.pivot_with_total(li, ["p_type"], {"sales": F.sum("sales"), "quantity": F.sum(money("l_quantity"))})
+    return p.select("p_type", F.col("sales").cast("double").alias("sales"),
+                    F.col("quantity").cast("double").alias("quantity"))
+
+
+@register("g1_one_hot_segment", """
+SELECT c_custkey, CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN 1 ELSE 0 END AS seg_AUTOMOBILE,
+       CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END AS seg_BUILDING,
+       CASE WHEN c_mktsegment = 'FURNITURE' THEN 1 ELSE 0 END AS seg_FURNITURE,
+       CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 1 ELSE 0 END AS seg_HOUSEHOLD,
+       CASE WHEN c_mktsegment = 'MACHINERY' THEN 1 ELSE 0 END AS seg_MACHINERY
+FROM customer""")
+def g1_one_hot_segment(spark, sf):
+    """``pd.get_dummies(df['Segment']) + 0``: categories discovered from the
+    data (count checked), one 0/1 column each."""
+    from gridwork.operators.reshape import one_hot
+    c = Tables(spark, sf).customer.select("c_custkey", "c_mktsegment")
+    return one_hot(c, "c_mktsegment", prefix="seg")
+
+
+@register("g4_daily_value_threshold", """
+WITH d AS (SELECT strftime(ts, '%Y-%m-%d') AS day, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total
+           FROM events GROUP BY 1)
+SELECT day, total, total > (SELECT avg(total) FROM d) AS above FROM d""")
+def g4_daily_value_threshold(spark, sf):
+    """A line series with a threshold flag (the data behind a
+    ``fill_between(where=y > t)`` chart): daily event value against the
+    average day."""
+    from gridwork.operators.reshape import threshold_flags
+    ev = Tables(spark, sf).events
+    d = ev.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(
+        F.sum(money("value")).cast("double").alias("total"))
+    return threshold_flags(d, "total", d.agg(F.avg("total")).scalar())

@@ -337,3 +337,28 @@ def e11_yearly_percent_change(spark, sf):
         F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"))
     prev = F.lag("total").over(Window.orderBy("order_year"))
     return y.select("order_year", "total", N.percent_change(F.col("total"), prev).alias("pct_change"))
+
+
+@register("c1_if_without_else", """
+SELECT CASE WHEN o_orderpriority = '1-URGENT' THEN 'urgent' END AS flag, count(*) AS n_orders
+FROM orders GROUP BY 1""")
+def c1_if_without_else(spark, sf):
+    """``if p: flag = 'urgent'`` with no else: other rows get NULL."""
+    o = Tables(spark, sf).orders
+    return o.groupBy(F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("urgent")).alias("flag")) \
+            .agg(F.count(F.lit(1)).alias("n_orders"))
+
+
+_M10_MAP = ("CASE typeof({c}) WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' "
+            "WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(typeof({c})) END")
+_M10_COLS = ["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_shipdate"]
+
+
+@register("m10_value_types", " UNION ALL ".join(
+    f"SELECT DISTINCT '{c}' AS column_name, {_M10_MAP.format(c=c)} AS value_type FROM lineitem" for c in _M10_COLS))
+def m10_value_types(spark, sf):
+    """``type(x)`` of the values of each column (``typeof``), one row per
+    column and type found."""
+    li = Tables(spark, sf).lineitem
+    pairs = ", ".join(f"'{c}', typeof(`{c}`)" for c in _M10_COLS)
+    return li.selectExpr(f"stack({len(_M10_COLS)}, {pairs}) as (column_name, value_type)").distinct()

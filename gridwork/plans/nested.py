@@ -91,11 +91,11 @@ def k17_json_parse(spark, sf):
 @register("k12_map_methods", """
 SELECT event_id, CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) AS VARCHAR) AS got_k,
        CAST(NULL AS VARCHAR) AS got_missing, 'k,type,user' AS keys,
-       '0' AS put_k, CAST(4 AS INT) AS size_after_add, CAST(2 AS INT) AS size_after_del,
+       '0' AS put_k, true AS has_k, false AS has_zzz, CAST(4 AS INT) AS size_after_add, CAST(2 AS INT) AS size_after_del,
        CAST(user_id AS VARCHAR) AS last_wins
 FROM events""")
 def k12_map_methods(spark, sf):
-    """``d.get``, ``d.keys()``, ``d[k] = v`` (overwrite and insert),
+    """``d.get``, ``k in d``, ``d.keys()``, ``d[k] = v`` (overwrite and insert),
     ``del d[k]``, and ``dict(pairs)`` where a repeated key keeps its last
     value, on a MAP built per event."""
     ev = Tables(spark, sf).events
@@ -108,6 +108,7 @@ def k12_map_methods(spark, sf):
         "event_id", MP.get(m, F.lit("k")).alias("got_k"), MP.get(m, F.lit("zzz")).alias("got_missing"),
         F.array_join(F.array_sort(F.map_keys(m)), ",").alias("keys"),
         MP.get(MP.put(m, F.lit("k"), F.lit("0")), F.lit("k")).alias("put_k"),
+        F.map_contains_key(m, F.lit("k")).alias("has_k"), F.map_contains_key(m, F.lit("zzz")).alias("has_zzz"),
         F.size(MP.put(m, F.lit("new"), F.lit("1"))).alias("size_after_add"),
         F.size(MP.remove(m, F.lit("type"))).alias("size_after_del"),
         MP.get(pairs, F.lit("a")).alias("last_wins"))
