@@ -77,10 +77,12 @@ def value_counts(df: DataFrame, column: str, normalize: bool = False,
                  name: str | None = None) -> DataFrame:
     """``value_counts()``: NULLs dropped, most frequent first (ties by value).
     ``normalize`` gives the share in percent of the non-NULL rows; the total is
-    a scalar subquery over the (small) grouped result, not a global window."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("count"))
+    scalar subquery counting the present values, not a global window."""
+    present = df.where(F.col(column).isNotNull())
+    counts = present.groupBy(column).agg(F.count(F.lit(1)).alias("count"))
     if normalize:
-        total = counts.agg(F.sum("count")).scalar()
+        # A scan-only count of the column (no shuffle), as a scalar subquery.
+        total = present.agg(F.count(F.lit(1))).scalar()
         counts = counts.select(column, (F.col("count") * F.lit(100.0) / total).alias(name or "percent"))
         return counts.orderBy(F.col(name or "percent").desc(), F.col(column))
     return counts.orderBy(F.col("count").desc(), F.col(column))

@@ -9,7 +9,7 @@ p-values are left to the caller's tables.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -40,7 +40,10 @@ def anova_f(df: DataFrame, group: str, value: Column | str) -> DataFrame:
     """One-way ANOVA F statistic of ``value`` across the groups of ``group``
     with its two degrees of freedom (one row)."""
     m = moments(df, group, value).where(F.col("n") > 0)
-    grand = m.agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("g")).scalar()
+    # One row per group: the grand mean is a window over those k rows.
+    whole = Window.partitionBy()
+    m = m.withColumn("_g", F.sum(F.col("n") * F.col("mean")).over(whole) / F.sum("n").over(whole))
+    grand = F.col("_g")
     parts = m.agg(
         F.count(F.lit(1)).alias("k"), F.sum("n").alias("N"),
         F.sum(F.col("n") * (F.col("mean") - grand) * (F.col("mean") - grand)).alias("ssb"),
@@ -58,13 +61,18 @@ def chi_square(counts: DataFrame, row: str, col: str, count: str = "n") -> DataF
     count E, so the statistic is the sum over present cells of (O-E)^2/E
     plus N minus the sum of E over present cells.
     """
-    rows = counts.groupBy(row).agg(F.sum(count).alias("_r"))
-    cols = counts.groupBy(col).agg(F.sum(count).alias("_c"))
-    total = counts.agg(F.sum(count)).scalar()
-    cells = counts.join(rows, row).join(cols, col).withColumn("_e", F.col("_r") * F.col("_c") / total)
-    n_rows = rows.agg(F.count(F.lit(1))).scalar()
-    n_cols = cols.agg(F.count(F.lit(1))).scalar()
-    agg = cells.agg(F.sum((F.col(count) - F.col("_e")) ** 2 / F.col("_e")).alias("_present"),
-                    F.sum("_e").alias("_e_present"), F.count(F.lit(1)).alias("observed_cells"))
-    return agg.select((F.col("_present") + (total - F.col("_e_present"))).alias("chi2"),
-                      ((n_rows - 1) * (n_cols - 1)).cast("long").alias("dof"), "observed_cells")
+    # The counts table has one row per observed cell, bounded by the product
+    # of the two category counts (not by the data), so the margins are windows
+    # over it and the table is computed once.
+    cells = counts.select(
+        row, col, F.col(count).alias("_o"),
+        F.sum(count).over(Window.partitionBy(row)).alias("_r"),
+        F.sum(count).over(Window.partitionBy(col)).alias("_c"),
+        F.sum(count).over(Window.partitionBy()).alias("_t"))
+    cells = cells.withColumn("_e", F.col("_r") * F.col("_c") / F.col("_t"))
+    agg = cells.agg(F.sum((F.col("_o") - F.col("_e")) ** 2 / F.col("_e")).alias("_present"),
+                    F.sum("_e").alias("_e_present"), F.max("_t").alias("_t"),
+                    F.count_distinct(row).alias("_nr"), F.count_distinct(col).alias("_nc"),
+                    F.count(F.lit(1)).alias("observed_cells"))
+    return agg.select((F.col("_present") + (F.col("_t") - F.col("_e_present"))).alias("chi2"),
+                      ((F.col("_nr") - 1) * (F.col("_nc") - 1)).cast("long").alias("dof"), "observed_cells")
