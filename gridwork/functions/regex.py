@@ -34,6 +34,12 @@ def findall(s, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(_c(s), F.lit(pattern), group)
 
 
+def count_matches(s, pattern: str) -> Column:
+    """``len(re.findall(pattern, s))`` without building the list of matches
+    (``regexp_count``), for patterns that cannot match the empty string."""
+    return F.regexp_count(_c(s), F.lit(pattern))
+
+
 def search(s, pattern: str) -> Column:
     """``re.search(...) is not None``."""
     return _c(s).rlike(pattern)

@@ -24,11 +24,18 @@ _HOW = {"inner": "inner", "left": "left", "right": "right", "outer": "full",
         "full": "full", "left_anti": "left_anti", "left_semi": "left_semi"}
 
 
+_ROW_COUNTS: dict[tuple, int] = {}
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast ``df`` if it has at most ``max_rows`` rows, else return it
     unchanged so the planner shuffles instead. Meant for fixed-size dimension
-    tables (the count is one cheap job over a small table)."""
-    n = df.count()
+    tables (the count is one cheap job over a small table, remembered per
+    session and plan, since the driver tables are not rewritten in place)."""
+    key = (id(df.sparkSession), df.semanticHash())
+    n = _ROW_COUNTS.get(key)
+    if n is None:
+        n = _ROW_COUNTS[key] = df.count()
     return F.broadcast(df) if n <= max_rows else df
 
 

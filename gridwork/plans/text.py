@@ -193,7 +193,7 @@ def r1_findall_counts(spark, sf):
     d = Tables(spark, sf).documents
 
     def n(p):
-        return F.size(RX.findall("text", p)).cast("long")
+        return RX.count_matches("text", p).cast("long")
 
     return d.select("doc_id", n("[aeiou]").alias("vowels"), n(r"\$").alias("dollars"),
                     n(RX.WORD).alias("word_chars"), n("th.").alias("th_any"), n("e+").alias("e_runs"),
@@ -208,7 +208,7 @@ def r2_digits(spark, sf):
     """``''.join(re.findall(r'\\d', s))`` and ``len(re.findall(r'\\D', s))``."""
     d = Tables(spark, sf).documents
     return d.select("doc_id", RX.digits_joined("text").alias("digits"),
-                    F.size(RX.findall("text", r"[^\p{Nd}]")).cast("long").alias("non_digits"))
+                    RX.count_matches("text", r"[^\p{Nd}]").cast("long").alias("non_digits"))
 
 
 @register("r6_end_anchor", """
@@ -264,4 +264,4 @@ def r12_emails(spark, sf):
     """E-mail addresses and phone numbers found in each text."""
     d = Tables(spark, sf).documents
     return d.select("doc_id", F.array_join(RX.findall("text", RX.EMAIL), ";").alias("emails"),
-                    F.size(RX.findall("text", RX.PHONE)).cast("long").alias("phones"))
+                    RX.count_matches("text", RX.PHONE).cast("long").alias("phones"))

@@ -19,11 +19,20 @@ TABLE_NAMES = (
 )
 
 
+_SCANS: dict[tuple, DataFrame] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Lazy parquet scan of one driver table (``{sf_dir}/{name}.parquet``)."""
+    """Lazy parquet scan of one driver table (``{sf_dir}/{name}.parquet``).
+    The DataFrame (a plan, no data) is reused within a session, so the file
+    listing and footer read happen once per table."""
     if name not in TABLE_NAMES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    if key not in _SCANS:
+        _SCANS[key] = spark.read.parquet(path)
+    return _SCANS[key]
 
 
 class Tables:
