@@ -35,7 +35,7 @@ def main() -> None:
     from gridwork import get_session
     from gridwork.plans.registry import QUERIES, load_all
 
-    spark = get_session(master=f"local[{cpus}]", shuffle_partitions=int(cpus) * 2, app_name="gridwork-bench")
+    spark = get_session(master=f"local[{cpus}]", shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", cpus)), app_name="gridwork-bench")
     load_all()
     names = sorted(QUERIES) if os.environ.get("BENCH_ALL") else HEADLINE
     # Warm-up: start the JVM code paths once.

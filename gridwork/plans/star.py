@@ -29,13 +29,20 @@ def money(c: str) -> Column:
     return F.col(c).cast(MONEY)
 
 
+# Line-level money types are sized to the value domains (price below 10^10,
+# quantity below 10^4, retail price below 10^9, discount in [0, 1)) so every
+# product stays a compact DECIMAL of at most 18 digits (a long inside the
+# JVM, not a BigDecimal); sums widen to DECIMAL(28+, 4) and stay exact. A
+# value outside a domain fails the cast (ANSI) instead of being wrapped.
 def sales_expr() -> Column:
-    """Exact line revenue, DECIMAL(.,4)."""
-    return money("l_extendedprice") * (F.lit(1) - F.col("l_discount").cast("decimal(4,2)"))
+    """Exact line revenue, DECIMAL(17,4)."""
+    one_minus = F.lit(1).cast("decimal(3,2)") - F.col("l_discount").cast("decimal(3,2)")
+    return F.col("l_extendedprice").cast("decimal(12,2)") * one_minus
 
 
 def cost_expr() -> Column:
-    return money("l_quantity") * money("p_retailprice")
+    """Exact line cost, DECIMAL(18,4)."""
+    return F.col("l_quantity").cast("decimal(6,2)") * F.col("p_retailprice").cast("decimal(11,2)")
 
 
 def nation_region(t: Tables) -> DataFrame:
