@@ -160,3 +160,20 @@ def group_to_map(df: DataFrame, key: str, value: Column, max_keys: int = 100_000
     if n > max_keys:
         raise ValueError(f"{n} keys exceed max_keys={max_keys}; keep the grouped table instead")
     return grouped.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "_gw_v")))).alias("map"))
+
+
+def guard_group_size(df: DataFrame, keys: Sequence[str], max_rows: int) -> DataFrame:
+    """``df`` unchanged, but failing before any row reaches a later grouping
+    if some ``keys`` group has more than ``max_rows`` rows.
+
+    Use it in front of an aggregate that collects a group into one value
+    (``collect_list``, ``collect_set``): such a value lives in one task, so
+    its size must be bounded. The largest group size is a scalar subquery (a
+    partial-aggregated count, one row per group after the shuffle) evaluated
+    by the filter, i.e. before the rows are collected.
+    """
+    biggest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_gw_n")).agg(F.max("_gw_n")).scalar()
+    ok = F.when(biggest > F.lit(max_rows),
+                F.raise_error(F.lit(f"a group of {list(keys)} exceeds {max_rows} rows; "
+                                    "keep it as rows instead of collecting it"))).otherwise(F.lit(True))
+    return df.where(ok)

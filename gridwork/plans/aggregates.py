@@ -14,7 +14,7 @@ from gridwork.operators import order as O
 from gridwork.operators.window import lag_in_group
 from gridwork.plans.registry import register
 from gridwork.plans.sqlkit import avg_dec
-from gridwork.plans.star import money
+from gridwork.plans.star import basket_lines, money
 from gridwork.sources import Tables
 
 
@@ -158,7 +158,7 @@ def a22_occurrence_count(spark, sf):
 SELECT l_orderkey, count_if(l_quantity = 50) AS qty_50_in_order FROM lineitem GROUP BY 1""")
 def a22_array_count(spark, sf):
     """``lst.count(v)`` on an array column: the quantities of each order."""
-    li = Tables(spark, sf).lineitem
+    li = basket_lines(Tables(spark, sf), "l_quantity")
     per = li.groupBy("l_orderkey").agg(F.collect_list("l_quantity").alias("qs"))
     return per.select("l_orderkey", AR.count_of("qs", F.lit(50.0)).cast("long").alias("qty_50_in_order"))
 
@@ -183,7 +183,7 @@ SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_partkey
 FROM lineitem GROUP BY l_orderkey""")
 def w1_sorted_parts_desc(spark, sf):
     """``lst.sort(reverse=True)`` on each order's part list."""
-    li = Tables(spark, sf).lineitem
+    li = basket_lines(Tables(spark, sf), "l_partkey")
     per = li.groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("p"))
     return per.select("l_orderkey", F.array_join(F.sort_array("p", asc=False).cast("array<string>"), ",")
                       .alias("parts_desc"))
@@ -202,7 +202,7 @@ SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenum
 FROM lineitem GROUP BY l_orderkey""")
 def w4_reverse_parts(spark, sf):
     """``lst.reverse()`` of each order's parts in line order."""
-    li = Tables(spark, sf).lineitem
+    li = basket_lines(Tables(spark, sf), "l_linenumber", "l_partkey")
     per = li.groupBy("l_orderkey").agg(
         F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("p"))
     return per.select("l_orderkey", F.array_join(F.reverse(F.col("p.l_partkey")).cast("array<string>"), ",")

@@ -56,7 +56,8 @@ FROM lineitem GROUP BY l_orderkey""")
 def s11_order_part_lists(spark, sf):
     """``.tolist()`` per order: the sorted part keys of each order (a bounded
     group: the lines of one order)."""
-    li = Tables(spark, sf).lineitem
+    from gridwork.plans.star import basket_lines
+    li = basket_lines(Tables(spark, sf), "l_partkey")
     return li.groupBy("l_orderkey").agg(
         F.array_join(F.array_sort(F.collect_list("l_partkey")).cast("array<string>"), ",").alias("parts"))
 

@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from gridwork.functions import arrays as AR
 from gridwork.functions import maps as MP
 from gridwork.plans.registry import register
+from gridwork.plans.star import basket_lines
 from gridwork.sources import Tables
 
 
 def _baskets(spark, sf):
-    li = Tables(spark, sf).lineitem
+    li = basket_lines(Tables(spark, sf), "l_linenumber", "l_partkey", "l_quantity")
     per = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(
         F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"),
                  F.col("l_quantity").alias("q")))).alias("lines"))

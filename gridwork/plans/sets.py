@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from gridwork.functions import arrays as AR
 from gridwork.operators import sets as ST
 from gridwork.plans.registry import register
+from gridwork.plans.star import basket_lines
 from gridwork.sources import Tables
 
 _A = "(SELECT DISTINCT o_custkey FROM orders WHERE year(o_orderdate) = 1996)"
@@ -88,11 +89,12 @@ def u_array_set_ops(spark, sf):
     """Per order, Python set methods on array columns: ``union``,
     ``intersection``, ``difference``, ``symmetric_difference``, ``issubset``,
     ``isdisjoint``, ``add(-1)`` and ``discard(min supplier)``."""
-    li = Tables(spark, sf).lineitem
+    t = Tables(spark, sf)
+    li = basket_lines(t, "l_linenumber", "l_suppkey")
     per = li.groupBy("l_orderkey").agg(
         F.collect_set(F.when(F.col("l_linenumber") <= 3, F.col("l_suppkey"))).alias("x"),
         F.collect_set(F.when(F.col("l_linenumber") >= 2, F.col("l_suppkey"))).alias("y"))
-    lowest = li.agg(F.min("l_suppkey")).scalar()
+    lowest = t.lineitem.agg(F.min("l_suppkey")).scalar()
 
     def text(a):
         return F.array_join(F.sort_array(a).cast("array<string>"), ",")

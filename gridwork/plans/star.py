@@ -104,3 +104,14 @@ def orders_with_customer(t: Tables) -> DataFrame:
     """``order_facts`` with the customer's segment, nation and region."""
     of = order_facts(t)
     return of.join(customer_dims(t), of.o_custkey == F.col("c_custkey")).drop("c_custkey")
+
+
+# Largest order a basket (the lines of one order as one array) may hold.
+MAX_BASKET = 100_000
+
+
+def basket_lines(t: Tables, *cols: str) -> DataFrame:
+    """lineitem columns for building per-order arrays, guarded so that no
+    order with more than ``MAX_BASKET`` lines is ever collected into one row."""
+    from gridwork.operators.aggregate import guard_group_size
+    return guard_group_size(t.lineitem.select("l_orderkey", *cols), ["l_orderkey"], MAX_BASKET)

@@ -98,3 +98,14 @@ def test_narrow_types(spark):
     plan = {r.column_name: r.narrow_type for r in S.narrow_integer_types(df).collect()}
     assert plan == {"a": "tinyint", "b": "smallint", "c": "int", "d": "bigint"}
     assert [f.dataType.simpleString() for f in S.narrow(df).schema] == ["tinyint", "smallint", "int", "bigint"]
+
+
+def test_group_size_guard(spark):
+    import pytest
+    from pyspark.errors import PySparkException
+    df = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 0)], "k INT, v INT")
+    ok = AG.guard_group_size(df, ["k"], 50).groupBy("k").agg(F.collect_list("v").alias("l"))
+    assert ok.count() == 2
+    bad = AG.guard_group_size(df, ["k"], 10).groupBy("k").agg(F.collect_list("v").alias("l"))
+    with pytest.raises(PySparkException, match="exceeds 10 rows"):
+        bad.collect()
