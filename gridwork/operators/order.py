@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _PID, _MID = "_gw_pid", "_gw_mid"
+# Largest row count gathered by a top-k style plan (one task merges it).
+TOP_K_LIMIT = 100_000
 
 
 def _cols(cs) -> list:
@@ -89,6 +91,14 @@ def position_slice(df: DataFrame, order_by, start: int | None = None, stop: int
     from the end, bounds past the end clip, an empty range gives no rows."""
     cols = list(columns or df.columns)
     picked = cols[slice(col_start, col_stop)]
+    if start is not None and start >= 0 and stop is not None and 0 <= stop <= TOP_K_LIMIT:
+        # A short slice from the front is a top-k: each task keeps ``stop``
+        # rows, the merge keeps ``stop``; numbering the at most ``stop`` rows
+        # left is a window over a bounded table.
+        head_rows = df.orderBy(*_cols(order_by)).limit(stop)
+        w = Window.orderBy(*_cols(order_by))
+        numbered = head_rows.withColumn("position", (F.row_number().over(w) - 1).cast("long"))
+        return numbered.where(F.col("position") >= start).select("position", *picked)
     # Negative bounds count from the end: the row count enters as a scalar
     # subquery, so the plan stays lazy.
     n = df.agg(F.count(F.lit(1))).scalar() if any(b is not None and b < 0 for b in (start, stop)) else None

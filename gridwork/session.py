@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 
@@ -60,3 +61,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="gridwork-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)
     return path
+
+
+def scale_conf(input_bytes: int, total_cores: int, partition_bytes: int = 256 << 20) -> dict:
+    """Shuffle and scan sizing for a job reading ``input_bytes`` on
+    ``total_cores`` executor cores: enough shuffle partitions that each holds
+    about ``partition_bytes`` before AQE coalesces small ones (so large
+    aggregates and sorts spill little), and at least two per core."""
+    n = max(2 * total_cores, math.ceil(input_bytes / partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(n),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(n),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes // 2),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes // 2),
+    }

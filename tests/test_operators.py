@@ -109,3 +109,16 @@ def test_group_size_guard(spark):
     bad = AG.guard_group_size(df, ["k"], 10).groupBy("k").agg(F.collect_list("v").alias("l"))
     with pytest.raises(PySparkException, match="exceeds 10 rows"):
         bad.collect()
+
+
+def test_position_slice_paths_agree(spark):
+    df = spark.range(500).select((F.col("id") * 7 % 500).alias("x"), F.col("id").alias("y"))
+    small = O.position_slice(df, [F.col("x").desc()], 10, 20).orderBy("position").collect()
+    O_LIMIT = O.TOP_K_LIMIT
+    try:
+        O.TOP_K_LIMIT = 0
+        big = O.position_slice(df, [F.col("x").desc()], 10, 20).orderBy("position").collect()
+    finally:
+        O.TOP_K_LIMIT = O_LIMIT
+    assert [tuple(r) for r in small] == [tuple(r) for r in big]
+    assert [r.position for r in small] == list(range(10, 20)) and small[0].x == 489

@@ -28,3 +28,10 @@ def test_tables_reuse_scans(spark):
     t = Tables(spark, "/root/testdata/sf0.001")
     assert t.region is read_table(spark, "/root/testdata/sf0.001", "region")
     assert t.region.count() == 5
+
+
+def test_scale_conf():
+    from gridwork.session import scale_conf
+    c = scale_conf(100 << 40, 8000)
+    assert int(c["spark.sql.shuffle.partitions"]) == 409600
+    assert int(scale_conf(1 << 20, 8)["spark.sql.shuffle.partitions"]) == 16
