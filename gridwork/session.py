@@ -19,6 +19,8 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.ansi.enabled": "true",
+    # Remove checkpoint files (pinned range chunks) once their plans are gone.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

@@ -166,3 +166,13 @@ def test_sets(spark):
     assert {r[0] for r in sd.collect()} == {"1", "2", "3", "6", "7", "8"}
     assert ST.union(x, y).count() == 11
     assert ST.extend(x, y).count() == 15
+
+
+def test_outer_merge_indicator_and_suffixes(spark):
+    marks = inline_table(spark, MARKS, "Name STRING, Marks INT").withColumn("note", F.lit("m"))
+    gender = inline_table(spark, GENDER, "Name STRING, Gender STRING").withColumn("note", F.lit("g"))
+    out = J.merge(marks, gender, "Name", "outer", indicator=True)
+    counts = {r["_merge"]: r["count"] for r in out.groupBy("_merge").count().collect()}
+    assert counts == {"both": 6, "left_only": 2, "right_only": 2}
+    assert {"note_x", "note_y"} <= set(out.columns)
+    assert sorted(r.Name for r in out.where("_merge = 'right_only'").collect()) == ["E", "F"]
