@@ -76,3 +76,18 @@ def chi_square(counts: DataFrame, row: str, col: str, count: str = "n") -> DataF
                     F.count(F.lit(1)).alias("observed_cells"))
     return agg.select((F.col("_present") + (F.col("_t") - F.col("_e_present"))).alias("chi2"),
                       ((F.col("_nr") - 1) * (F.col("_nc") - 1)).cast("long").alias("dof"), "observed_cells")
+
+
+def two_proportion_z(df: DataFrame, group: str, flag: str, a, b) -> DataFrame:
+    """Two-proportion z statistic for the share of rows with ``flag`` true in
+    group ``a`` against group ``b`` (pooled standard error), one row."""
+    g = F.col(group)
+    w = df.where(g.isin(a, b)).agg(
+        F.count_if(g == F.lit(a)).alias("n1"), F.count_if((g == F.lit(a)) & F.col(flag)).alias("k1"),
+        F.count_if(g == F.lit(b)).alias("n2"), F.count_if((g == F.lit(b)) & F.col(flag)).alias("k2"))
+    p1 = F.col("k1").cast("double") / F.col("n1")
+    p2 = F.col("k2").cast("double") / F.col("n2")
+    pool = (F.col("k1") + F.col("k2")).cast("double") / (F.col("n1") + F.col("n2"))
+    z = (p1 - p2) / F.sqrt(pool * (1 - pool) * (F.lit(1.0) / F.col("n1") + F.lit(1.0) / F.col("n2")))
+    return w.select("n1", "k1", "n2", "k2", F.round(p1, 9).alias("share1"), F.round(p2, 9).alias("share2"),
+                    F.round(z, 6).alias("z_stat"))

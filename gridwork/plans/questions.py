@@ -527,3 +527,52 @@ def q34_bulk_orders_losses(spark, sf):
     return g.select("bulk", "n_lines", "losing_lines",
                     (F.col("losing_lines").cast("double") / F.col("n_lines").cast("double")).alias("losing_share"),
                     "profit")
+
+
+@register("q32_nation_discount", _WITH_ALL + """
+, n AS (SELECT n_name, sum(discount_sum) AS s, CAST(sum(n_lines) AS BIGINT) AS n FROM oc GROUP BY n_name)
+SELECT n_name, round(CAST(s AS DOUBLE) / n, 9) AS avg_discount, n AS n_lines,
+       s * (SELECT sum(n) FROM n) > (SELECT sum(s) FROM n) * n AS above_overall
+FROM n""")
+def q32_nation_discount(spark, sf):
+    """Q32: places (nations stand in for cities) that give more discount than
+    the overall average; every nation with its average and the flag. The
+    comparison is exact (cross-multiplied decimals)."""
+    oc = orders_with_customer(Tables(spark, sf))
+    n = oc.groupBy("n_name").agg(F.sum("discount_sum").alias("s"), F.sum("n_lines").cast("long").alias("n"))
+    whole = Window.partitionBy()  # one row per nation: a fixed-size table
+    flag = F.col("s") * F.sum("n").over(whole) > F.sum("s").over(whole) * F.col("n")
+    return n.select("n_name", F.round(F.col("s").cast("double") / F.col("n"), 9).alias("avg_discount"),
+                    F.col("n").alias("n_lines"), flag.alias("above_overall"))
+
+
+@register("q35_bulk_share_by_brand", f"""
+WITH {LINES_CTE}, q AS (SELECT quantile_cont(l_quantity, 0.9) AS p90 FROM lineitem)
+SELECT p_brand, count(*) AS n_lines, count_if(l_quantity >= (SELECT p90 FROM q)) AS bulk_lines,
+       round(CAST(count_if(l_quantity >= (SELECT p90 FROM q)) AS DOUBLE) / count(*), 9) AS bulk_share
+FROM lines GROUP BY p_brand""")
+def q35_bulk_share_by_brand(spark, sf):
+    """Q35: which sub-categories (brands) are mostly ordered in bulk
+    (quantity at or above the exact 90th percentile)?"""
+    t = Tables(spark, sf)
+    p90 = AG.exact_quantiles(t.lineitem, "l_quantity", [0.9], names=["p90"]).scalar()
+    li = lines_with_profit(t)
+    g = li.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n_lines"),
+                                  F.count_if(F.col("l_quantity") >= p90).alias("bulk_lines"))
+    return g.select("p_brand", "n_lines", "bulk_lines",
+                    F.round(F.col("bulk_lines").cast("double") / F.col("n_lines"), 9).alias("bulk_share"))
+
+
+@register("q46_monthly_profit_last_years", _WITH_ALL + f"""
+, m AS (SELECT year(o_orderdate) AS yr, month(o_orderdate) AS mo, sum(profit) AS profit FROM ofacts GROUP BY 1, 2)
+SELECT CAST(yr AS INT) AS year, count(*) AS n_months, {avg_dec('profit', 4)} AS avg_monthly_profit
+FROM m WHERE yr >= (SELECT max(yr) FROM m) - 2 GROUP BY yr""")
+def q46_monthly_profit_last_years(spark, sf):
+    """Q46: has the average monthly profit grown over the last three years of
+    data? Average monthly profit per year for those years."""
+    of = order_facts(Tables(spark, sf))
+    m = of.groupBy(F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("mo")) \
+          .agg(F.sum("profit").alias("profit"))
+    last = m.agg(F.max("year")).scalar()
+    return m.where(F.col("year") >= last - 2).groupBy("year").agg(
+        F.count(F.lit(1)).alias("n_months"), F.avg("profit").cast("double").alias("avg_monthly_profit"))
