@@ -11,9 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from gridwork.functions import dates as DT
+from gridwork.operators import aggregate as AG
+from gridwork.operators import order as O
+from gridwork.operators.window import lag_in_group
 from gridwork.plans.registry import register
-from gridwork.plans.sqlkit import SALES
-from gridwork.plans.star import dims, sales_expr
+from gridwork.plans.sqlkit import CUST_CTE, LINES_CTE, ORDERS_CTE, SALES, avg_dec
+from gridwork.plans.star import (
+    customer_dims, dims, lines_with_profit, money, order_facts, orders_with_customer, sales_expr,
+)
 from gridwork.sources import Tables
 
 # --------------------------------------------------------------------------
@@ -62,16 +68,6 @@ register("q03_sales_by_region_total", _SQL_Q03)(sales_by_region_total)
 # ---------------------------------------------------------------------------
 # The remaining questions. Shared SQL building blocks mirror plans.star.
 
-
-from gridwork.functions import dates as DT  # noqa: E402
-from gridwork.operators import aggregate as AG  # noqa: E402
-from gridwork.operators import order as O  # noqa: E402
-from gridwork.operators.window import lag_in_group  # noqa: E402
-from gridwork.plans.sqlkit import CUST_CTE, LINES_CTE, ORDERS_CTE, avg_dec  # noqa: E402
-from gridwork.plans.star import (  # noqa: E402
-    customer_dims, lines_with_profit, money, order_facts, orders_with_customer,
-)
-
 _WITH_ALL = f"WITH {LINES_CTE},\n{CUST_CTE},\n{ORDERS_CTE}\n"
 
 
