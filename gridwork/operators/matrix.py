@@ -45,11 +45,14 @@ def transpose_long(df: DataFrame, row_id: str, arr: str) -> DataFrame:
     return c.select(F.col("col_id").alias("row_id"), F.col(row_id).alias("col_id"), "value")
 
 
-def column_reduce(df: DataFrame, arr: str, how: str = "sum") -> DataFrame:
-    """``sum/max/min/mean(axis=0)``: one row per column position."""
-    fn = {"sum": F.sum, "max": F.max, "min": F.min, "mean": F.avg}[how]
+def column_reduce(df: DataFrame, arr: str, how: str | tuple = "sum") -> DataFrame:
+    """``sum/max/min/mean(axis=0)``: one row per column position; several
+    reductions (``how=("sum", "max")``) share one explode and one aggregate."""
+    fns = {"sum": F.sum, "max": F.max, "min": F.min, "mean": F.avg}
+    hows = [how] if isinstance(how, str) else list(how)
     e = df.select(F.posexplode(as_double(arr)).alias("col_id", "value"))
-    return e.groupBy(F.col("col_id").cast("long").alias("col_id")).agg(fn("value").alias(f"col_{how}"))
+    return e.groupBy(F.col("col_id").cast("long").alias("col_id")).agg(
+        *[fns[h]("value").alias(f"col_{h}") for h in hows])
 
 
 def total_reduce(df: DataFrame, arr: str) -> DataFrame:

@@ -36,9 +36,14 @@ SELECT o_orderkey, CAST(unnest(generate_series(1, n)) AS BIGINT) AS slot
 FROM (SELECT l_orderkey AS o_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey)""")
 def s8_line_slots(spark, sf):
     """``range(1, n + 1)`` per order, one row per slot (sequence + explode)."""
+    from gridwork.plans.star import MAX_BASKET
     per = Tables(spark, sf).lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")) \
         .agg(F.count(F.lit(1)).alias("n"))
-    return per.select("o_orderkey", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("slot"))
+    # The sequence is one array per order: an order above the basket bound
+    # fails here, before the array is allocated.
+    slots = F.when(F.col("n") > MAX_BASKET, F.raise_error(F.lit("order exceeds the basket bound"))) \
+             .otherwise(F.sequence(F.lit(1).cast("long"), F.col("n")))
+    return per.select("o_orderkey", F.explode(slots).alias("slot"))
 
 
 @register("s9_labels_constant", """

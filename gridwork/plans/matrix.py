@@ -34,10 +34,8 @@ SELECT CAST(i - 1 AS BIGINT) AS col_id, round(sum(e[i]), 6) AS col_sum, max(e[i]
 FROM {_E}, range(1, 65) r(i) GROUP BY i""")
 def x2_column_reduce(spark, sf):
     """``sum(axis=0)`` and ``max(axis=0)``."""
-    e = _emb(spark, sf)
-    s = MX.column_reduce(e, "e", "sum")
-    m = MX.column_reduce(e, "e", "max")
-    return s.join(m, "col_id").select("col_id", F.round("col_sum", 6).alias("col_sum"), "col_max")
+    r = MX.column_reduce(_emb(spark, sf), "e", ("sum", "max"))
+    return r.select("col_id", F.round("col_sum", 6).alias("col_sum"), "col_max")
 
 
 @register("x3_row_reduce", f"""
