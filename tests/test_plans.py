@@ -60,3 +60,16 @@ def test_keyed_scans_are_not_single_key_windows(spark, name):
     df.count()
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "_gw_pid" in plan
+
+
+def test_single_partition_windows_only_over_aggregates(spark):
+    """A window without partition keys runs in one task; every such window in
+    a registered plan must read an aggregate's output (one row per group or
+    per task), never rows of a scanned table."""
+    mod = _entry()
+    for name, fn in mod.queries().items():
+        lines = _plan(fn(spark, SF_SMALL)).split("\n")
+        for i, line in enumerate(lines):
+            if "Exchange SinglePartition" in line and any("Window" in x for x in lines[max(0, i - 3):i]):
+                below = " ".join(lines[i + 1:i + 4])
+                assert "HashAggregate" in below or "ObjectHashAggregate" in below, (name, below[:200])
