@@ -105,7 +105,7 @@ FROM m""")
 def q02_sales_trend_slope(spark, sf):
     """Is there a trend? Least-squares slope of monthly sales on the month
     index, and their correlation."""
-    of = order_facts(Tables(spark, sf))
+    of = order_facts(Tables(spark, sf), with_profit=False)
     m = of.groupBy((F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("month_index")) \
           .agg(F.sum("sales").cast("double").alias("sales"))
     return m.agg(F.round(F.regr_slope("sales", "month_index"), 6).alias("slope_per_month"),
@@ -118,7 +118,7 @@ SELECT CAST(month(o_orderdate) AS INT) AS month_of_year, CAST(sum(sales) AS DOUB
 FROM ofacts GROUP BY 1""")
 def q27_seasonality(spark, sf):
     """Sales per calendar month over all years (seasonality, best months)."""
-    of = order_facts(Tables(spark, sf))
+    of = order_facts(Tables(spark, sf), with_profit=False)
     return of.groupBy(F.month("o_orderdate").alias("month_of_year")).agg(
         F.sum("sales").cast("double").alias("sales"), F.count_distinct(F.year("o_orderdate")).alias("n_years"))
 
@@ -197,7 +197,7 @@ def q04_avg_discount_by_group(spark, sf):
     Q32). Discounts are summed and counted per order first, so the region and
     segment totals need one row per order, not per line."""
     t = Tables(spark, sf)
-    oc = orders_with_customer(t)
+    oc = orders_with_customer(t, with_profit=False)
     # Region and segment totals come from one grouping-sets aggregate (one
     # pass over the order rows instead of one per dimension).
     g = oc.groupingSets([["r_name"], ["c_mktsegment"]], "r_name", "c_mktsegment").agg(
@@ -269,7 +269,7 @@ FROM ofacts GROUP BY o_custkey""")
 def q09_customer_order_value(spark, sf):
     """Average order value and size per customer (Q9, Q20): a two-level
     aggregate, lines to orders to customers."""
-    of = order_facts(Tables(spark, sf))
+    of = order_facts(Tables(spark, sf), with_profit=False)
     return of.groupBy("o_custkey").agg(
         F.count(F.lit(1)).alias("n_orders"), F.avg("sales").cast("double").alias("avg_order_value"),
         F.avg("quantity").cast("double").alias("avg_order_quantity"), F.sum("n_lines").cast("long").alias("n_lines"))
@@ -410,7 +410,7 @@ SELECT o_custkey, CAST(sum(sales) AS DOUBLE) AS sales FROM ofacts GROUP BY o_cus
 ORDER BY sum(sales) DESC, o_custkey LIMIT 10""")
 def q19_top_customers(spark, sf):
     """Top 10 customers by purchase value."""
-    of = order_facts(Tables(spark, sf))
+    of = order_facts(Tables(spark, sf), with_profit=False)
     per = of.groupBy("o_custkey").agg(F.sum("sales").alias("sales"))
     return O.top_k(per, "sales", 10, ["o_custkey"]).select("o_custkey", _d("sales").alias("sales"))
 
@@ -435,7 +435,7 @@ FROM ofacts GROUP BY 1, 2""")
 def q24_weekday_rates(spark, sf):
     """Orders, sales and average order value per weekday (Monday = 0), with
     the weekend flag (Q24, Q47): rates, not raw totals, for the comparison."""
-    of = order_facts(Tables(spark, sf))
+    of = order_facts(Tables(spark, sf), with_profit=False)
     return of.groupBy(DT.weekday("o_orderdate").alias("weekday"), DT.is_weekend("o_orderdate").alias("weekend")).agg(
         F.count(F.lit(1)).alias("n_orders"), F.sum("sales").cast("double").alias("sales"),
         F.avg("sales").cast("double").alias("avg_order_value"))
@@ -478,7 +478,7 @@ FROM ofacts GROUP BY 1""")
 def q28_holiday_discount(spark, sf):
     """Holiday months (November, December; our choice) against the rest:
     orders, sales and average discount."""
-    of = order_facts(Tables(spark, sf))
+    of = order_facts(Tables(spark, sf), with_profit=False)
     g = of.groupBy(F.month("o_orderdate").isin(11, 12).alias("holiday")).agg(
         F.count(F.lit(1)).alias("n_orders"), F.sum("sales").cast("double").alias("sales"),
         (F.sum("discount_sum").cast("double") / F.sum("n_lines").cast("double")).alias("avg_discount"))

@@ -78,18 +78,24 @@ def customer_region(t: Tables) -> DataFrame:
     return c.join(dims(t), c.c_nationkey == F.col("n_nationkey")).drop("n_nationkey")
 
 
-def order_facts(t: Tables) -> DataFrame:
-    """One row per order: exact sales, cost, profit, quantity, line count and
-    discount sum, joined to the order's date, customer and priority.
+def order_facts(t: Tables, with_profit: bool = True) -> DataFrame:
+    """One row per order: exact sales, quantity, line count and discount sum
+    (and cost and profit when ``with_profit``), joined to the order's date,
+    customer and priority.
 
     Lines are reduced to one row per order before the orders join, so the
-    big join carries a quarter of the line rows.
+    big join carries a quarter of the line rows. Without ``with_profit`` the
+    part join (a shuffle of all lines by part key) is left out entirely.
     """
-    lines = lines_with_profit(t)
-    per_order = lines.groupBy("l_orderkey").agg(
-        F.sum("sales").alias("sales"), F.sum("cost").alias("cost"), F.sum("profit").alias("profit"),
-        F.sum(money("l_quantity")).alias("quantity"), F.count(F.lit(1)).alias("n_lines"),
-        F.sum(F.col("l_discount").cast("decimal(4,2)")).alias("discount_sum"))
+    common = [F.sum(money("l_quantity")).alias("quantity"), F.count(F.lit(1)).alias("n_lines"),
+              F.sum(F.col("l_discount").cast("decimal(4,2)")).alias("discount_sum")]
+    if with_profit:
+        lines = lines_with_profit(t)
+        per_order = lines.groupBy("l_orderkey").agg(
+            F.sum("sales").alias("sales"), F.sum("cost").alias("cost"), F.sum("profit").alias("profit"), *common)
+    else:
+        li = t.lineitem.select("l_orderkey", "l_quantity", "l_extendedprice", "l_discount")
+        per_order = li.groupBy("l_orderkey").agg(F.sum(sales_expr()).alias("sales"), *common)
     o = t.orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     return per_order.join(o, per_order.l_orderkey == o.o_orderkey).drop("l_orderkey")
 
@@ -100,9 +106,9 @@ def customer_dims(t: Tables) -> DataFrame:
     return c.join(dims(t), c.c_nationkey == F.col("n_nationkey")).drop("c_nationkey")
 
 
-def orders_with_customer(t: Tables) -> DataFrame:
+def orders_with_customer(t: Tables, with_profit: bool = True) -> DataFrame:
     """``order_facts`` with the customer's segment, nation and region."""
-    of = order_facts(t)
+    of = order_facts(t, with_profit)
     return of.join(customer_dims(t), of.o_custkey == F.col("c_custkey")).drop("c_custkey")
 
 
