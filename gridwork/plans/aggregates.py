@@ -127,7 +127,7 @@ def a15_group_sum_mean_median(spark, sf):
 
 @register("a18_conditional_sum", """
 SELECT l_linestatus, CAST(sum(l_quantity) FILTER (WHERE l_returnflag = 'R') AS DOUBLE) AS returned_qty,
-       count_if(l_returnflag = 'R') AS returned_lines
+       CAST(count_if(l_returnflag = 'R') AS BIGINT) AS returned_lines
 FROM lineitem GROUP BY l_linestatus""")
 def a18_conditional_sum(spark, sf):
     """``np.sum(q[flag == 'R'])`` per group as a conditional aggregate."""
@@ -147,7 +147,7 @@ def a17_group_sum_map(spark, sf):
 
 
 @register("a22_occurrence_count", """
-SELECT l_returnflag, count_if(l_quantity = 50) AS qty_50_lines FROM lineitem GROUP BY 1""")
+SELECT l_returnflag, CAST(count_if(l_quantity = 50) AS BIGINT) AS qty_50_lines FROM lineitem GROUP BY 1""")
 def a22_occurrence_count(spark, sf):
     """``list.count(v)`` over a column: ``count_if``."""
     li = Tables(spark, sf).lineitem
@@ -155,7 +155,7 @@ def a22_occurrence_count(spark, sf):
 
 
 @register("a22_array_count", """
-SELECT l_orderkey, count_if(l_quantity = 50) AS qty_50_in_order FROM lineitem GROUP BY 1""")
+SELECT l_orderkey, CAST(count_if(l_quantity = 50) AS BIGINT) AS qty_50_in_order FROM lineitem GROUP BY 1""")
 def a22_array_count(spark, sf):
     """``lst.count(v)`` on an array column: the quantities of each order."""
     li = basket_lines(Tables(spark, sf), "l_quantity")

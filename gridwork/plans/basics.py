@@ -187,8 +187,8 @@ def f9_open_range(spark, sf):
 
 
 @register("f10_truthiness", """
-SELECT l_returnflag, count_if(coalesce(l_discount <> 0, false)) AS truthy,
-       count_if(NOT coalesce(l_discount <> 0, false)) AS falsy
+SELECT l_returnflag, CAST(count_if(coalesce(l_discount <> 0, false)) AS BIGINT) AS truthy,
+       CAST(count_if(NOT coalesce(l_discount <> 0, false)) AS BIGINT) AS falsy
 FROM lineitem GROUP BY l_returnflag""")
 def f10_truthiness(spark, sf):
     """``if discount:`` per line, counted per return flag."""
@@ -271,7 +271,7 @@ def c2_if_else(spark, sf):
 
 @register("c5_parity", """
 SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'even' ELSE 'odd' END AS parity,
-       count_if(l_partkey % 7 = 0) AS partkey_div7, count(*) AS n_lines
+       CAST(count_if(l_partkey % 7 = 0) AS BIGINT) AS partkey_div7, count(*) AS n_lines
 FROM lineitem GROUP BY parity""")
 def c5_parity(spark, sf):
     """``x % 2 == 0`` and ``n % 7 == 0``."""

@@ -34,12 +34,12 @@ def events_with_gaps(spark, sf) -> DataFrame:
 
 @register("a23_null_counts", f"""
 WITH g AS {_GAPS_SQL}
-SELECT 'event_id' AS column_name, 'bigint' AS dtype, count_if(event_id IS NULL) AS null_count FROM g
-UNION ALL SELECT 'user_id', 'bigint', count_if(user_id IS NULL) FROM g
-UNION ALL SELECT 'ts', 'timestamp_ntz', count_if(ts IS NULL) FROM g
-UNION ALL SELECT 'event_type', 'string', count_if(event_type IS NULL) FROM g
-UNION ALL SELECT 'value', 'double', count_if(value IS NULL OR isnan(value)) FROM g
-UNION ALL SELECT 'k', 'double', count_if(k IS NULL OR isnan(k)) FROM g""")
+SELECT 'event_id' AS column_name, 'bigint' AS dtype, CAST(count_if(event_id IS NULL) AS BIGINT) AS null_count FROM g
+UNION ALL SELECT 'user_id', 'bigint', CAST(count_if(user_id IS NULL) AS BIGINT) FROM g
+UNION ALL SELECT 'ts', 'timestamp_ntz', CAST(count_if(ts IS NULL) AS BIGINT) FROM g
+UNION ALL SELECT 'event_type', 'string', CAST(count_if(event_type IS NULL) AS BIGINT) FROM g
+UNION ALL SELECT 'value', 'double', CAST(count_if(value IS NULL OR isnan(value)) AS BIGINT) FROM g
+UNION ALL SELECT 'k', 'double', CAST(count_if(k IS NULL OR isnan(k)) AS BIGINT) FROM g""")
 def a23_null_counts(spark, sf):
     """``df.isna().sum()`` with the column types, one aggregate pass."""
     return AG.null_counts(events_with_gaps(spark, sf))

@@ -139,7 +139,7 @@ def q05_sales_by_nation(spark, sf):
 
 @register("q06_loss_nations", _WITH_ALL + """
 , y AS (SELECT n_name, year(o_orderdate) AS yr, sum(profit) AS profit FROM oc GROUP BY 1, 2)
-SELECT n_name, count(*) AS n_years, count_if(profit < 0) AS loss_years,
+SELECT n_name, count(*) AS n_years, CAST(count_if(profit < 0) AS BIGINT) AS loss_years,
        CAST(min(profit) AS DOUBLE) AS worst_year_profit, bool_and(profit < 0) AS loses_every_year
 FROM y GROUP BY n_name""")
 def q06_loss_nations(spark, sf):
@@ -250,7 +250,7 @@ WITH {LINES_CTE}
 SELECT CASE WHEN l_discount >= 0.08 THEN 'high' WHEN l_discount >= 0.04 THEN 'medium'
             WHEN l_discount > 0 THEN 'low' ELSE 'none' END AS discount_band,
        count(*) AS n_lines, CAST(sum(profit) AS DOUBLE) AS profit, {avg_dec('profit', 4)} AS avg_profit,
-       count_if(profit < 0) AS losing_lines
+       CAST(count_if(profit < 0) AS BIGINT) AS losing_lines
 FROM lines GROUP BY 1""")
 def q39_discount_bands(spark, sf):
     """Profit per discount band (if / elif / else banding)."""
@@ -342,7 +342,7 @@ def q16_over_discounted_losing(spark, sf):
 
 @register("q17_repeat_buyers", """
 WITH c AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey)
-SELECT count(*) AS customers, count_if(n > 1) AS repeat_customers,
+SELECT count(*) AS customers, CAST(count_if(n > 1) AS BIGINT) AS repeat_customers,
        CAST(count_if(n > 1) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS repeat_rate,
        CAST(sum(n) AS BIGINT) AS orders
 FROM c""")
@@ -446,7 +446,7 @@ WITH {CUST_CTE}, d AS (
   SELECT r_name, o_orderpriority, date_diff('day', o_orderdate, l_shipdate) AS delay
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN cust ON o_custkey = c_custkey)
 SELECT r_name, o_orderpriority, count(*) AS n_lines, CAST(sum(delay) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS avg_delay_days,
-       count_if(delay < 0) AS shipped_before_order, count_if(delay > 30) AS late_lines,
+       CAST(count_if(delay < 0) AS BIGINT) AS shipped_before_order, CAST(count_if(delay > 30) AS BIGINT) AS late_lines,
        CAST(count_if(delay > 30) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS late_share
 FROM d GROUP BY r_name, o_orderpriority""")
 def q25_ship_delay(spark, sf):
@@ -507,7 +507,7 @@ def q33_quantity_per_product(spark, sf):
 
 @register("q34_bulk_orders_losses", f"""
 WITH {LINES_CTE}, q AS (SELECT quantile_cont(l_quantity, 0.9) AS p90 FROM lineitem)
-SELECT l_quantity >= (SELECT p90 FROM q) AS bulk, count(*) AS n_lines, count_if(profit < 0) AS losing_lines,
+SELECT l_quantity >= (SELECT p90 FROM q) AS bulk, count(*) AS n_lines, CAST(count_if(profit < 0) AS BIGINT) AS losing_lines,
        CAST(count_if(profit < 0) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS losing_share,
        CAST(sum(profit) AS DOUBLE) AS profit
 FROM lines GROUP BY 1""")
@@ -544,7 +544,7 @@ def q32_nation_discount(spark, sf):
 
 @register("q35_bulk_share_by_brand", f"""
 WITH {LINES_CTE}, q AS (SELECT quantile_cont(l_quantity, 0.9) AS p90 FROM lineitem)
-SELECT p_brand, count(*) AS n_lines, count_if(l_quantity >= (SELECT p90 FROM q)) AS bulk_lines,
+SELECT p_brand, count(*) AS n_lines, CAST(count_if(l_quantity >= (SELECT p90 FROM q)) AS BIGINT) AS bulk_lines,
        round(CAST(count_if(l_quantity >= (SELECT p90 FROM q)) AS DOUBLE) / count(*), 9) AS bulk_share
 FROM lines GROUP BY p_brand""")
 def q35_bulk_share_by_brand(spark, sf):

@@ -146,8 +146,8 @@ def st7_anova_profit_by_priority(spark, sf):
 @register("st8_late_share_two_priorities", """
 WITH d AS (SELECT o_orderpriority AS g, date_diff('day', o_orderdate, l_shipdate) > 30 AS late
            FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority IN ('5-LOW', '1-URGENT')),
-s AS (SELECT count(*) FILTER (WHERE g = '5-LOW') AS n1, count_if(late AND g = '5-LOW') AS k1,
-             count(*) FILTER (WHERE g = '1-URGENT') AS n2, count_if(late AND g = '1-URGENT') AS k2 FROM d)
+s AS (SELECT count(*) FILTER (WHERE g = '5-LOW') AS n1, CAST(count_if(late AND g = '5-LOW') AS BIGINT) AS k1,
+             count(*) FILTER (WHERE g = '1-URGENT') AS n2, CAST(count_if(late AND g = '1-URGENT') AS BIGINT) AS k2 FROM d)
 SELECT n1, k1, n2, k2, round(CAST(k1 AS DOUBLE) / n1, 9) AS share1, round(CAST(k2 AS DOUBLE) / n2, 9) AS share2,
        round((CAST(k1 AS DOUBLE) / n1 - CAST(k2 AS DOUBLE) / n2)
              / sqrt((CAST(k1 + k2 AS DOUBLE) / (n1 + n2)) * (1 - CAST(k1 + k2 AS DOUBLE) / (n1 + n2)) * (1.0 / n1 + 1.0 / n2)), 6) AS z_stat

@@ -53,6 +53,18 @@ def _norm(v, digits=None):
     return (6, str(v))
 
 
+# Spark simple type names and the DuckDB types that hold the same values.
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "smallint": "SMALLINT", "tinyint": "TINYINT", "float": "FLOAT"}
+
+
+def type_diffs(spark_schema, duck_relation):
+    """Columns whose Spark type and DuckDB type differ."""
+    d = dict(zip(duck_relation.columns, [str(t) for t in duck_relation.types]))
+    return [(f.name, f.dataType.simpleString(), d.get(f.name)) for f in spark_schema.fields
+            if SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString()) != d.get(f.name)]
+
+
 def rows_of(pdf, digits=None):
     cols = sorted(pdf.columns)
     out = []
@@ -97,6 +109,11 @@ def main():
             print(f"ROWS {name}: {len(spdf)} rows (no oracle) {ts:.1f}s")
             continue
         try:
+            diffs = type_diffs(sdf.schema, con.sql(ORACLE[name]))
+            if diffs:
+                print(f"FAIL {name}: column types differ {diffs}")
+                bad += 1
+                continue
             dpdf = con.execute(ORACLE[name]).fetchdf()
         except Exception as e:  # noqa: BLE001
             print(f"FAIL {name}: duckdb error {str(e)[:400]}")

@@ -29,7 +29,9 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, con, name):
-    spdf = QUERIES[name](spark, SF_SMALL).toPandas()
+    sdf = QUERIES[name](spark, SF_SMALL)
+    assert check.type_diffs(sdf.schema, con.sql(ORACLE[name])) == []
+    spdf = sdf.toPandas()
     dpdf = con.execute(ORACLE[name]).fetchdf()
     sc, sr = check.rows_of(spdf)
     dc, dr = check.rows_of(dpdf)
