@@ -83,3 +83,24 @@ def test_truthiness_and_dates(spark):
     r = d.select(DT.weekday("d").alias("w"), DT.is_weekend("d").alias("we"),
                  DT.parse_date(F.lit("not a date")).alias("bad")).first()
     assert (r.w, r.we, r.bad) == (6, True, None)
+
+
+_REGEX_ALPHABET = "aZé_19٣½ \t\n  ́ß\U0001F44E-.,!$@"
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.text(alphabet=_REGEX_ALPHABET, max_size=15), min_size=1, max_size=5))
+def test_regex_classes_match_python_re(spark, texts):
+    import re
+    from gridwork.functions import regex as RX
+    df = inline_table(spark, [(i, s) for i, s in enumerate(texts)], "i INT, s STRING")
+    got = df.select("i", F.array_join(RX.findall("s", RX.WORD), "").alias("w"),
+                    RX.digits_joined("s").alias("d"), RX.strip_punct("s").alias("p"),
+                    RX.count_matches("s", RX.WORD).alias("n"),
+                    TX.split_ws("s").alias("sp")).orderBy("i").collect()
+    for s, r in zip(texts, got):
+        assert r.w == "".join(re.findall(r"\w", s))
+        assert r.d == "".join(re.findall(r"\d", s))
+        assert r.p == re.sub(r"[^\w\s]", "", s)
+        assert r.n == len(re.findall(r"\w", s))
+        assert r.sp == s.split()
