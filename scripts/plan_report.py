@@ -21,10 +21,10 @@ from gridwork.plans.registry import QUERIES, load_all  # noqa: E402
 
 
 def summarise(plan: str) -> dict:
-    scans = re.findall(r"FileScan parquet [^\n]*?Location: InMemoryFileIndex\(\d+ paths\)\[[^\]]*/([a-z]+)\.parquet\]"
-                       r"[^\n]*?PushedFilters: \[([^\]]*)\][^\n]*?ReadSchema: struct<([^>]*)>", plan)
+    scans = re.findall(r"FileScan parquet \[([^\]\n]*)\][^\n]*?Location: InMemoryFileIndex\(\d+ paths\)"
+                       r"\[[^\]\n]*/([a-z]+)\.parquet\][^\n]*?PushedFilters: \[([^\]\n]*)\]", plan)
     return {
-        "scans": [(t, len(cols.split(",")), f) for t, f, cols in scans],
+        "scans": [(t, len(cols.split(",")), f) for cols, t, f in scans],
         "shuffles": len(re.findall(r"Exchange hashpartitioning|Exchange rangepartitioning|Exchange SinglePartition", plan)),
         "broadcast": plan.count("BroadcastExchange"),
         "bhj": plan.count("BroadcastHashJoin"),
