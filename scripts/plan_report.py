@@ -22,7 +22,7 @@ from gridwork.plans.registry import QUERIES, load_all  # noqa: E402
 
 def summarise(plan: str) -> dict:
     scans = re.findall(r"FileScan parquet \[([^\]\n]*)\][^\n]*?Location: InMemoryFileIndex\(\d+ paths\)"
-                       r"\[[^\]\n]*/([a-z]+)\.parquet\][^\n]*?PushedFilters: \[([^\]\n]*)\]", plan)
+                       r"\[[^\]\n]*/([a-z]+)\.parquet\][^\n]*?PushedFilters: \[([^\n]*?)(?:\]|\.\.\.), ReadSchema", plan)
     return {
         "scans": [(t, len(cols.split(",")), f) for cols, t, f in scans],
         "shuffles": len(re.findall(r"Exchange hashpartitioning|Exchange rangepartitioning|Exchange SinglePartition", plan)),
