@@ -40,19 +40,34 @@ def describe(df: DataFrame, value: str, group_by: Sequence[str] = ()) -> DataFra
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
-                    group_by: Sequence[str] = (), names: Sequence[str] | None = None) -> DataFrame:
+                    group_by: Sequence[str] = (), names: Sequence[str] | None = None,
+                    method: str = "sort", accuracy: int = 100_000) -> DataFrame:
     """Exact quantiles with linear interpolation (pandas ``quantile`` /
     ``median``; NULLs skipped), one row per group.
 
-    Sort based: rows are range-partitioned on (group, value) and numbered
-    (``ordinal``), then only the two neighbouring ranks of each quantile are
-    kept per group. No group is ever held whole by one task, unlike
-    ``percentile``/``median``, whose buffer holds every distinct value of a
-    group. For a quick answer at scale use ``percentile_approx`` instead.
+    Neither method buffers a group in one task (``percentile``/``median``
+    keep every distinct value of a group in one aggregation buffer):
+
+    * ``"sort"``: rows are range-partitioned on (group, value) and numbered
+      (``order.ordinal``); only the two neighbouring ranks of each quantile
+      are kept. One full shuffle and sort of the column; any number of groups.
+    * ``"window"``: for few groups (one sketch per group is held in memory).
+      A ``percentile_approx`` sketch (rank error at most n/``accuracy``) gives,
+      per quantile, a value window that must contain the two ranks needed; a
+      second pass counts the rows below each window, a third keeps only the
+      rows inside the windows and ranks those. Three scans of one column and
+      a sort of about 8n/``accuracy`` rows per quantile instead of a sort of
+      everything. The window is checked against the counts and the query
+      fails (``raise_error``) rather than return a wrong value if a rank fell
+      outside it.
     """
     g = _names(group_by)
-    names = list(names or [f"q{int(round(p * 100))}" for p in probs])
+    names = list(names or ["q" + format(p * 100, "g").replace(".", "_") for p in probs])
     base = df.where(F.col(value).isNotNull()).select(*g, F.col(value).alias("_gw_v"))
+    if method == "window":
+        return _quantiles_by_window(base, g, list(probs), names, accuracy)
+    if method != "sort":
+        raise ValueError(f"method={method!r}")
     ranked = ordinal(base, ["_gw_v"], g, name="_gw_rank", group_size="_gw_n")
     picks = []
     cond = F.lit(False)
@@ -73,6 +88,56 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     return agg.select(*g, *outs)
 
 
+def _attach(df: DataFrame, small: DataFrame, g: list[str]) -> DataFrame:
+    """Columns of ``small`` (one row per group, or one row in all) on every
+    row of ``df``: a join on the group keys, or scalar subqueries."""
+    if g:
+        return df.join(small, g)
+    packed = small.select(F.struct(*small.columns).alias("_gw_s")).scalar()
+    return df.select("*", *[packed.getField(c).alias(c) for c in small.columns])
+
+
+def _quantiles_by_window(base: DataFrame, g: list[str], probs: list[float], names: list[str],
+                         accuracy: int) -> DataFrame:
+    margin = 4.0 / accuracy
+    cuts = []
+    for p in probs:
+        cuts += [max(p - margin, 0.0), min(p + margin, 1.0)]
+    sketch = F.percentile_approx("_gw_v", cuts, accuracy).alias("_gw_cut")
+    bounds = base.groupBy(*g).agg(sketch) if g else base.agg(sketch)
+    v = F.col("_gw_v")
+
+    def inside(i):
+        return v.between(F.col("_gw_cut")[2 * i], F.col("_gw_cut")[2 * i + 1])
+
+    withb = _attach(base, bounds, g)
+    counts = [F.count(F.lit(1)).alias("_gw_n")]
+    for i in range(len(probs)):
+        counts += [F.count_if(v < F.col("_gw_cut")[2 * i]).alias(f"_gw_nb{i}"),
+                   F.count_if(inside(i)).alias(f"_gw_nc{i}")]
+    stats = withb.groupBy(*g).agg(*counts) if g else withb.agg(*counts)
+    # Rows inside a window, once per window they fall in (windows may overlap).
+    tags = F.filter(F.array(*[F.when(inside(i), F.lit(i)) for i in range(len(probs))]), lambda x: x.isNotNull())
+    cand = withb.select(*g, "_gw_v", F.explode(tags).alias("_gw_w"))
+    ranked = ordinal(cand, ["_gw_v"], [*g, "_gw_w"], name="_gw_r")
+    ranked = _attach(ranked, stats, g)
+    aggs, outs = [], []
+    for i, (p, nm) in enumerate(zip(probs, names)):
+        h = (F.col("_gw_n") - 1) * F.lit(float(p))
+        lo = F.floor(h) - F.col(f"_gw_nb{i}")
+        hi = F.ceil(h) - F.col(f"_gw_nb{i}")
+        mine = F.col("_gw_w") == i
+        aggs += [F.max(F.when(mine & (F.col("_gw_r") == lo), v)).alias(f"_lo_{nm}"),
+                 F.max(F.when(mine & (F.col("_gw_r") == hi), v)).alias(f"_hi_{nm}"),
+                 F.max(h - F.floor(h)).alias(f"_fr_{nm}"),
+                 F.max((lo < 0) | (hi >= F.col(f"_gw_nc{i}"))).alias(f"_bad_{nm}")]
+        val = (F.col(f"_lo_{nm}") + (F.col(f"_hi_{nm}") - F.col(f"_lo_{nm}")) * F.col(f"_fr_{nm}")).cast("double")
+        outs.append(F.when(F.col(f"_bad_{nm}"), F.raise_error(F.lit(f"quantile {p} outside its window")))
+                    .otherwise(val).cast("double").alias(nm))
+    agg = ranked.groupBy(*g).agg(*aggs) if g else ranked.agg(*aggs)
+    return agg.select(*g, *outs)
+
+
 def value_counts(df: DataFrame, column: str, normalize: bool = False,
                  name: str | None = None) -> DataFrame:
     """``value_counts()``: NULLs dropped, most frequent first (ties by value).

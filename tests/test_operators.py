@@ -122,3 +122,13 @@ def test_position_slice_paths_agree(spark):
         O.TOP_K_LIMIT = O_LIMIT
     assert [tuple(r) for r in small] == [tuple(r) for r in big]
     assert [r.position for r in small] == list(range(10, 20)) and small[0].x == 489
+
+
+def test_quantile_methods_agree(spark):
+    pdf, df = _skewed(spark, n=20000)
+    probs = [0.0, 0.1, 0.5, 0.9, 0.999, 1.0]
+    a = AG.exact_quantiles(df, "v", probs, ["k"], method="sort").toPandas().set_index("k").sort_index()
+    b = AG.exact_quantiles(df, "v", probs, ["k"], method="window", accuracy=200).toPandas().set_index("k").sort_index()
+    assert np.allclose(a.to_numpy(dtype=float), b.to_numpy(dtype=float))
+    g = AG.exact_quantiles(df, "v", [0.5, 0.75], method="window", accuracy=100).first()
+    assert np.allclose([g.q50, g.q75], np.quantile(pdf["v"].dropna().to_numpy(), [0.5, 0.75]))
