@@ -98,8 +98,17 @@ def _attach(df: DataFrame, small: DataFrame, g: list[str]) -> DataFrame:
 
 
 def _quantiles_by_window(base: DataFrame, g: list[str], probs: list[float], names: list[str],
-                         accuracy: int) -> DataFrame:
-    margin = 4.0 / accuracy
+                         accuracy: int, max_groups: int = 10_000) -> DataFrame:
+    # The sketch's rank error is at most n/accuracy, and its rank convention
+    # (ceil(q*n)) differs from the interpolation ranks ((n-1)*q) by up to two
+    # rows, so the window is widened by both; the smallest group sets the
+    # second term. Its size, and the number of groups (one sketch each), is a
+    # small collected aggregate.
+    sizes = base.groupBy(*g).agg(F.count(F.lit(1)).alias("n")) if g else base.agg(F.count(F.lit(1)).alias("n"))
+    info = sizes.agg(F.count(F.lit(1)).alias("groups"), F.min("n").alias("n_min")).first()
+    if info["groups"] > max_groups:
+        raise ValueError(f"{info['groups']} groups exceed max_groups={max_groups}; use method='sort'")
+    margin = 4.0 / accuracy + 3.0 / max(info["n_min"] or 1, 1)
     cuts = []
     for p in probs:
         cuts += [max(p - margin, 0.0), min(p + margin, 1.0)]

@@ -132,3 +132,14 @@ def test_quantile_methods_agree(spark):
     assert np.allclose(a.to_numpy(dtype=float), b.to_numpy(dtype=float))
     g = AG.exact_quantiles(df, "v", [0.5, 0.75], method="window", accuracy=100).first()
     assert np.allclose([g.q50, g.q75], np.quantile(pdf["v"].dropna().to_numpy(), [0.5, 0.75]))
+
+
+def test_window_quantiles_small_groups_and_ties(spark):
+    rng = np.random.default_rng(11)
+    rows = [(k, float(rng.integers(0, 4))) for k in range(1, 41) for _ in range(k)]
+    df = spark.createDataFrame(rows, "k INT, v DOUBLE")
+    probs = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
+    got = AG.exact_quantiles(df, "v", probs, ["k"], method="window").toPandas().set_index("k").sort_index()
+    pdf = pd.DataFrame(rows, columns=["k", "v"])
+    exp = np.array([np.quantile(g.v.to_numpy(), probs) for _, g in pdf.groupby("k")])
+    assert np.allclose(got.to_numpy(dtype=float), exp)
