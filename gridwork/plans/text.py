@@ -270,16 +270,3 @@ def r12_emails(spark, sf):
     return d.select("doc_id", F.array_join(RX.findall("text", RX.EMAIL), ";").alias("emails"),
                     RX.count_matches("text", RX.PHONE).cast("long").alias("phones"))
 
-
-@register("r11_pages_tag_strip", """
-SELECT page_id, length(html) AS html_len, len(regexp_extract_all(html, '<[^>]+>')) AS n_tags,
-       length(regexp_replace(html, '<[^>]+>', '', 'g')) AS text_len
-FROM pages""")
-def r11_pages_tag_strip(spark, sf):
-    """``re.sub(r'<[^>]+>', '', html)`` and ``len(re.findall(...))`` on every
-    raw page."""
-    p = Tables(spark, sf).pages
-    tag = "<[^>]+>"
-    return p.select("page_id", F.length("html").cast("long").alias("html_len"),
-                    RX.count_matches("html", tag).cast("long").alias("n_tags"),
-                    F.length(RX.sub("html", tag, "")).cast("long").alias("text_len"))
