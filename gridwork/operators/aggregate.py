@@ -41,7 +41,7 @@ def describe(df: DataFrame, value: str, group_by: Sequence[str] = ()) -> DataFra
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
                     group_by: Sequence[str] = (), names: Sequence[str] | None = None,
-                    method: str = "sort", accuracy: int = 100_000) -> DataFrame:
+                    method: str = "auto", accuracy: int = 100_000) -> DataFrame:
     """Exact quantiles with linear interpolation (pandas ``quantile`` /
     ``median``; NULLs skipped), one row per group.
 
@@ -60,13 +60,18 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
       everything. The window is checked against the counts and the query
       fails (``raise_error``) rather than return a wrong value if a rank fell
       outside it.
+    * ``"auto"``: the window method above ``SORT_ALL_ROWS`` rows, the sort
+      method below (where one shuffle is cheaper than three passes); the row
+      count comes from the same small aggregate the window method needs.
     """
     g = _names(group_by)
     names = list(names or ["q" + format(p * 100, "g").replace(".", "_") for p in probs])
     base = df.where(F.col(value).isNotNull()).select(*g, F.col(value).alias("_gw_v"))
-    if method == "window":
-        return _quantiles_by_window(base, g, list(probs), names, accuracy)
-    if method != "sort":
+    if method in ("auto", "window"):
+        info = _group_sizes(base, g)
+        if method == "window" or (info["n_total"] or 0) > SORT_ALL_ROWS:
+            return _quantiles_by_window(base, g, list(probs), names, accuracy, info)
+    elif method != "sort":
         raise ValueError(f"method={method!r}")
     ranked = ordinal(base, ["_gw_v"], g, name="_gw_rank", group_size="_gw_n")
     picks = []
@@ -97,15 +102,25 @@ def _attach(df: DataFrame, small: DataFrame, g: list[str]) -> DataFrame:
     return df.select("*", *[packed.getField(c).alias(c) for c in small.columns])
 
 
+# Below this many rows the sort method (one range shuffle of the column) is
+# cheaper than the three passes of the window method.
+SORT_ALL_ROWS = 20_000_000
+
+
+def _group_sizes(base: DataFrame, g: list[str]):
+    """Number of groups, smallest group and total rows: one small collected
+    aggregate (one row)."""
+    sizes = base.groupBy(*g).agg(F.count(F.lit(1)).alias("n")) if g else base.agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.count(F.lit(1)).alias("groups"), F.min("n").alias("n_min"),
+                     F.sum("n").alias("n_total")).first()
+
+
 def _quantiles_by_window(base: DataFrame, g: list[str], probs: list[float], names: list[str],
-                         accuracy: int, max_groups: int = 10_000) -> DataFrame:
+                         accuracy: int, info, max_groups: int = 10_000) -> DataFrame:
     # The sketch's rank error is at most n/accuracy, and its rank convention
     # (ceil(q*n)) differs from the interpolation ranks ((n-1)*q) by up to two
     # rows, so the window is widened by both; the smallest group sets the
-    # second term. Its size, and the number of groups (one sketch each), is a
-    # small collected aggregate.
-    sizes = base.groupBy(*g).agg(F.count(F.lit(1)).alias("n")) if g else base.agg(F.count(F.lit(1)).alias("n"))
-    info = sizes.agg(F.count(F.lit(1)).alias("groups"), F.min("n").alias("n_min")).first()
+    # second term. The number of groups is capped: one sketch each.
     if info["groups"] > max_groups:
         raise ValueError(f"{info['groups']} groups exceed max_groups={max_groups}; use method='sort'")
     margin = 4.0 / accuracy + 3.0 / max(info["n_min"] or 1, 1)

@@ -45,7 +45,7 @@ def a7_quantiles_price(spark, sf):
     interpolation, sort based so no group is buffered whole in one task."""
     li = Tables(spark, sf).lineitem
     return AG.exact_quantiles(li, "l_extendedprice", [0.5, 0.25, 0.75], ["l_returnflag"],
-                              names=["median", "q25", "q75"], method="window")
+                              names=["median", "q25", "q75"], method="auto")
 
 
 @register("a8_quantile_global", """
@@ -123,7 +123,7 @@ def a15_group_sum_mean_median(spark, sf):
     c = Tables(spark, sf).customer
     sums = c.groupBy("c_mktsegment").agg(F.sum(money("c_acctbal")).cast("double").alias("total"),
                                          F.avg(money("c_acctbal")).cast("double").alias("mean"))
-    med = AG.exact_quantiles(c, "c_acctbal", [0.5], ["c_mktsegment"], names=["median"], method="window")
+    med = AG.exact_quantiles(c, "c_acctbal", [0.5], ["c_mktsegment"], names=["median"], method="auto")
     return sums.join(med, "c_mktsegment")
 
 

@@ -515,7 +515,7 @@ def q34_bulk_orders_losses(spark, sf):
     """Are bulk lines (quantity at or above the exact 90th percentile) more
     often losing? (Q34, Q35)."""
     t = Tables(spark, sf)
-    p90 = AG.exact_quantiles(t.lineitem, "l_quantity", [0.9], names=["p90"], method="window").scalar()
+    p90 = AG.exact_quantiles(t.lineitem, "l_quantity", [0.9], names=["p90"], method="auto").scalar()
     li = lines_with_profit(t)
     g = li.groupBy((F.col("l_quantity") >= p90).alias("bulk")).agg(
         F.count(F.lit(1)).alias("n_lines"), F.count_if(F.col("profit") < 0).alias("losing_lines"),
@@ -551,7 +551,7 @@ def q35_bulk_share_by_brand(spark, sf):
     """Q35: which sub-categories (brands) are mostly ordered in bulk
     (quantity at or above the exact 90th percentile)?"""
     t = Tables(spark, sf)
-    p90 = AG.exact_quantiles(t.lineitem, "l_quantity", [0.9], names=["p90"], method="window").scalar()
+    p90 = AG.exact_quantiles(t.lineitem, "l_quantity", [0.9], names=["p90"], method="auto").scalar()
     li = lines_with_profit(t)
     g = li.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n_lines"),
                                   F.count_if(F.col("l_quantity") >= p90).alias("bulk_lines"))
