@@ -143,3 +143,30 @@ def test_window_quantiles_small_groups_and_ties(spark):
     pdf = pd.DataFrame(rows, columns=["k", "v"])
     exp = np.array([np.quantile(g.v.to_numpy(), probs) for _, g in pdf.groupby("k")])
     assert np.allclose(got.to_numpy(dtype=float), exp)
+
+
+def test_matrix_reductions_match_numpy(spark):
+    from gridwork.operators import matrix as MX
+    rng = np.random.default_rng(5)
+    data = rng.integers(0, 10, size=(10, 5))
+    df = spark.createDataFrame([(i, [int(x) for x in row]) for i, row in enumerate(data)], "row_id INT, row ARRAY<INT>")
+    t = MX.total_reduce(df, "row").first()
+    assert (t.total, t.max, t.min) == (data.sum(), data.max(), data.min())
+    cols = MX.column_reduce(df, "row", ("sum", "max")).orderBy("col_id").collect()
+    assert [r.col_sum for r in cols] == list(data.sum(axis=0)) and [r.col_max for r in cols] == list(data.max(axis=0))
+    rows = df.select("row_id", MX.row_sums("row").alias("s"), MX.row_argmax("row").alias("a")).orderBy("row_id").collect()
+    assert [r.s for r in rows] == list(data.sum(axis=1)) and [r.a for r in rows] == list(data.argmax(axis=1))
+    fa = MX.flat_argmax(df, "row_id", "row", 5).first()
+    fi = MX.flat_argmax(df, "row_id", "row", 5, largest=False).first()
+    assert (fa.flat_index, fi.flat_index) == (data.argmax(), data.argmin())
+    tr = MX.transpose_long(df, "row_id", "row").collect()
+    assert all(data.T[r.row_id, r.col_id] == r.value for r in tr) and len(tr) == 50
+
+
+def test_shape_and_types(spark):
+    from gridwork.operators import schema as S
+    df = spark.createDataFrame([(1, 2.0, "a"), (2, None, "b")], "i INT, d DOUBLE, s STRING")
+    assert tuple(S.shape(df).first()) == (2, 3)
+    assert S.size(df).first()[0] == 6
+    assert S.dtypes(df) == [("i", "int"), ("d", "double"), ("s", "string")]
+    assert S.select_dtypes(df, "float") == ["d"] and S.select_dtypes(df, "number") == ["i", "d"]
