@@ -368,3 +368,11 @@ def m10_value_types(spark, sf):
     li = Tables(spark, sf).lineitem
     pairs = ", ".join(f"'{c}', typeof(`{c}`)" for c in _M10_COLS)
     return li.selectExpr(f"stack({len(_M10_COLS)}, {pairs}) as (column_name, value_type)").distinct()
+
+
+@register("m5_rename_columns", """
+SELECT c_custkey AS id, c_name AS name, c_nationkey AS nation, c_acctbal AS balance, c_mktsegment AS segment
+FROM customer""")
+def m5_rename_columns(spark, sf):
+    """``df.columns = [...]``: every column renamed at once, by position."""
+    return Tables(spark, sf).customer.toDF("id", "name", "nation", "balance", "segment")
