@@ -376,3 +376,13 @@ FROM customer""")
 def m5_rename_columns(spark, sf):
     """``df.columns = [...]``: every column renamed at once, by position."""
     return Tables(spark, sf).customer.toDF("id", "name", "nation", "balance", "segment")
+
+
+@register("m6_row_labels", """
+SELECT c_custkey, 'row' || CAST(row_number() OVER (ORDER BY c_custkey) AS VARCHAR) AS label FROM customer""")
+def m6_row_labels(spark, sf):
+    """``df.index = ['row1', 'row2', ...]``: a label per row from its position
+    in key order (a distributed ordinal, not a single-task window)."""
+    c = Tables(spark, sf).customer.select("c_custkey")
+    pos = O.ordinal(c, ["c_custkey"], name="pos")
+    return pos.select("c_custkey", F.concat(F.lit("row"), (F.col("pos") + 1).cast("string")).alias("label"))
