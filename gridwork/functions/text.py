@@ -27,7 +27,9 @@ def py_strip(s, chars: str | None = None, side: str = "both") -> Column:
         cls = WS
     else:
         cls = "[" + "".join("\\" + ch if ch in "\\^]-[" else ch for ch in chars) + "]"
-    pat = {"both": f"^{cls}+|{cls}+$", "left": f"^{cls}+", "right": f"{cls}+$"}[side]
+    # \A and \z: the very start and end (Java's ``$`` also matches before a
+    # final newline, which would strip characters Python keeps).
+    pat = {"both": f"\\A{cls}+|{cls}+\\z", "left": f"\\A{cls}+", "right": f"{cls}+\\z"}[side]
     return F.regexp_replace(s, pat, "")
 
 
@@ -44,7 +46,9 @@ def split_lines(s) -> Column:
 
 
 def word_count(s) -> Column:
-    return F.size(split_ws(s))
+    """``len(s.split())``: the number of maximal runs of non-whitespace,
+    counted without building the list of words."""
+    return F.regexp_count(_c(s), F.lit(f"[^{WS[1:-1]}]+"))
 
 
 def is_upper(s) -> Column:
@@ -60,23 +64,23 @@ def is_lower(s) -> Column:
 
 def is_alpha(s) -> Column:
     """``isalpha`` (letters, non-empty)."""
-    return _c(s).rlike(r"^\p{L}+$")
+    return _c(s).rlike(r"\A\p{L}+\z")
 
 
 def is_alnum(s) -> Column:
-    return _c(s).rlike(r"^[\p{L}\p{N}]+$")
+    return _c(s).rlike(r"\A[\p{L}\p{N}]+\z")
 
 
 def is_numeric(s) -> Column:
-    return _c(s).rlike(r"^\p{N}+$")
+    return _c(s).rlike(r"\A\p{N}+\z")
 
 
 def is_digit(s) -> Column:
-    return _c(s).rlike(r"^\p{Nd}+$")
+    return _c(s).rlike(r"\A\p{Nd}+\z")
 
 
 def is_space(s) -> Column:
-    return _c(s).rlike(f"^{WS}+$")
+    return _c(s).rlike(f"\\A{WS}+\\z")
 
 
 def py_find(s, sub: str) -> Column:

@@ -22,21 +22,25 @@ def test_floor_div_mod_bin(spark):
     assert tuple(z) == (None, None)
 
 
-@settings(max_examples=25, deadline=None)
-@given(st.lists(st.text(alphabet=" \t\n-+0123456789abcXYZé👎ß", max_size=12), min_size=1, max_size=6))
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet=" \t\n-+0123456789abcXYZé👎ß.!", max_size=12), min_size=1, max_size=6))
 def test_string_methods_match_python(spark, words):
     df = inline_table(spark, [(i, w) for i, w in enumerate(words)], "i INT, s STRING")
     got = df.select("i", TX.zfill("s", 8).alias("z"), TX.center("s", 9, "*").alias("c"),
                     TX.center("s", 10).alias("c2"), TX.py_strip("s").alias("st"),
-                    F.size(TX.split_ws("s")).alias("n"), TX.py_find("s", "a").alias("f"),
+                    F.size(TX.split_ws("s")).alias("n"), TX.word_count("s").alias("wc"),
+                    TX.py_find("s", "a").alias("f"),
                     TX.py_slice("s", -3, None).alias("sl"), TX.py_slice("s", 1, -1).alias("sl2"),
-                    TX.is_alpha("s").alias("al"), TX.is_space("s").alias("sp")).orderBy("i").collect()
+                    TX.is_alpha("s").alias("al"), TX.is_space("s").alias("sp"),
+                    TX.is_digit("s").alias("dg"), TX.py_strip("s", ".!").alias("sc"),
+                    TX.py_strip("s", side="right").alias("rs")).orderBy("i").collect()
     for w, r in zip(words, got):
         assert r.z == w.zfill(8)
         assert r.c == w.center(9, "*") and r.c2 == w.center(10)
-        assert r.st == w.strip() and r.n == len(w.split()) and r.f == w.find("a")
+        assert r.st == w.strip() and r.n == len(w.split()) == r.wc and r.f == w.find("a")
         assert r.sl == w[-3:] and r.sl2 == w[1:-1]
-        assert r.al == w.isalpha() and r.sp == w.isspace()
+        assert r.al == w.isalpha() and r.sp == w.isspace() and r.dg == w.isdigit()
+        assert r.sc == w.strip(".!") and r.rs == w.rstrip()
 
 
 @settings(max_examples=25, deadline=None)
