@@ -129,8 +129,10 @@ def prefixes(s, max_len: int | None = None, include_full: bool = False) -> Colum
 
 
 def chars(s) -> Column:
-    """One array item per code point (emoji stay whole)."""
-    return F.split(_c(s), "")
+    """``list(s)``: one array item per code point (emoji stay whole); the
+    empty string gives an empty array (``split`` alone would give ``['']``)."""
+    s = _c(s)
+    return F.when(F.length(s) == 0, F.array().cast("array<string>")).otherwise(F.split(s, ""))
 
 
 def py_slice(s, start: int | None = None, stop: int | None = None) -> Column:
