@@ -40,6 +40,18 @@ def count_matches(s, pattern: str) -> Column:
     return F.regexp_count(_c(s), F.lit(pattern))
 
 
+def count_chars(s, char_class: str) -> Column:
+    """``len(re.findall(char_class, s))`` for a one-character class such as
+    ``[aeiou]`` or ``[^\\p{Nd}]``: the text minus every run of the other
+    characters, measured. One replacement per run instead of one match per
+    character."""
+    if not (char_class.startswith("[") and char_class.endswith("]")):
+        raise ValueError("char_class must be a bracket expression")
+    inner = char_class[1:-1]
+    other = "[" + inner[1:] + "]" if inner.startswith("^") else "[^" + inner + "]"
+    return F.length(F.regexp_replace(_c(s), other + "+", ""))
+
+
 def search(s, pattern: str) -> Column:
     """``re.search(...) is not None``."""
     return _c(s).rlike(pattern)

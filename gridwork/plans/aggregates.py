@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridwork.functions import arrays as AR
+from gridwork.functions import regex as RX
 from gridwork.operators import aggregate as AG
 from gridwork.operators import order as O
 from gridwork.operators.window import lag_in_group
@@ -173,7 +174,7 @@ def a24_letter_count(spark, sf):
     """A counter incremented per character passing a test (``isalpha``),
     as one expression over each whole text."""
     d = Tables(spark, sf).documents
-    letters = F.length(F.regexp_replace("text", r"[^\p{L}]", ""))
+    letters = RX.count_chars("text", r"[\p{L}]")
     return d.select("doc_id", letters.cast("long").alias("letters"),
                     (F.length("text") - letters).cast("long").alias("non_letters"))
 

@@ -199,8 +199,11 @@ def r1_findall_counts(spark, sf):
     def n(p):
         return RX.count_matches("text", p).cast("long")
 
-    return d.select("doc_id", n("[aeiou]").alias("vowels"), n(r"\$").alias("dollars"),
-                    n(RX.WORD).alias("word_chars"), n("th.").alias("th_any"), n("e+").alias("e_runs"),
+    def nc(cls):
+        return RX.count_chars("text", cls).cast("long")
+
+    return d.select("doc_id", nc("[aeiou]").alias("vowels"), n(r"\$").alias("dollars"),
+                    nc(RX.WORD).alias("word_chars"), n("th.").alias("th_any"), n("e+").alias("e_runs"),
                     n("es?").alias("e_opt_s"), n("e{2}").alias("ee"), n("the|and").alias("the_or_and"))
 
 
@@ -212,7 +215,7 @@ def r2_digits(spark, sf):
     """``''.join(re.findall(r'\\d', s))`` and ``len(re.findall(r'\\D', s))``."""
     d = Tables(spark, sf).documents
     return d.select("doc_id", RX.digits_joined("text").alias("digits"),
-                    RX.count_matches("text", r"[^\p{Nd}]").cast("long").alias("non_digits"))
+                    RX.count_chars("text", r"[^\p{Nd}]").cast("long").alias("non_digits"))
 
 
 @register("r6_end_anchor", """

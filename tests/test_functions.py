@@ -121,3 +121,14 @@ def test_lines_chars_prefixes_match_python(spark, texts):
         assert r.ch == list(s)
         assert r.pf == [s[:k] for k in range(1, len(s))]
         assert r.ix == (s.index("b") if "b" in s else None)
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.text(alphabet=_REGEX_ALPHABET + "aeiou", max_size=30))
+def test_count_chars_matches_findall(spark, s):
+    import re
+    from gridwork.functions import regex as RX
+    df = inline_table(spark, [(s,)], "s STRING")
+    r = df.select(RX.count_chars("s", "[aeiou]").alias("v"), RX.count_chars("s", RX.WORD).alias("w"),
+                  RX.count_chars("s", r"[^\p{Nd}]").alias("nd")).first()
+    assert (r.v, r.w, r.nd) == (len(re.findall("[aeiou]", s)), len(re.findall(r"\w", s)), len(re.findall(r"\D", s)))
