@@ -45,6 +45,15 @@ def split_lines(s) -> Column:
                   F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
+def line_count(s) -> Column:
+    """``len(s.splitlines())`` for \\n, \\r\\n and \\r, from the number of
+    line breaks (plus one for a last line without a break), with no array."""
+    s = _c(s)
+    breaks = F.regexp_count(s, F.lit(r"\r\n|\r|\n"))
+    open_last = (F.length(s) > 0) & ~s.rlike(r"[\r\n]\z")
+    return breaks + F.when(open_last, 1).otherwise(0)
+
+
 def word_count(s) -> Column:
     """``len(s.split())``: the number of maximal runs of non-whitespace,
     counted without building the list of words."""

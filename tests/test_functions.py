@@ -115,9 +115,10 @@ def test_regex_classes_match_python_re(spark, texts):
 def test_lines_chars_prefixes_match_python(spark, texts):
     df = inline_table(spark, [(i, s) for i, s in enumerate(texts)], "i INT, s STRING")
     got = df.select("i", TX.split_lines("s").alias("ln"), TX.chars("s").alias("ch"),
-                    TX.prefixes("s").alias("pf"), TX.py_index("s", "b").alias("ix")).orderBy("i").collect()
+                    TX.prefixes("s").alias("pf"), TX.py_index("s", "b").alias("ix"),
+                    TX.line_count("s").alias("nl")).orderBy("i").collect()
     for s, r in zip(texts, got):
-        assert r.ln == s.splitlines()
+        assert r.ln == s.splitlines() and r.nl == len(s.splitlines())
         assert r.ch == list(s)
         assert r.pf == [s[:k] for k in range(1, len(s))]
         assert r.ix == (s.index("b") if "b" in s else None)
