@@ -118,3 +118,21 @@ def n6_dropna_all(spark, sf):
     """``dropna(how='all')`` over the two gap columns."""
     g = events_with_gaps(spark, sf).select("event_id", "value", "k")
     return NL.dropna(g, "all", subset=["value", "k"])
+
+
+@register("f5_pandas_comparisons", f"""
+WITH g AS {_GAPS_SQL}
+SELECT event_type, CAST(count_if(value <> 50) AS BIGINT) AS sql_ne,
+       CAST(count_if(value IS DISTINCT FROM 50) AS BIGINT) AS pandas_ne,
+       CAST(count_if(k NOT IN (1, 2, 3)) AS BIGINT) AS sql_not_in,
+       CAST(count_if(coalesce(k NOT IN (1, 2, 3), true)) AS BIGINT) AS pandas_not_in
+FROM g GROUP BY event_type""")
+def f5_pandas_comparisons(spark, sf):
+    """``!=`` and ``~isin`` on columns with gaps: SQL drops the missing rows,
+    pandas counts them as not equal; both answers side by side."""
+    from gridwork.functions import predicates as P
+    g = events_with_gaps(spark, sf)
+    return g.groupBy("event_type").agg(
+        F.count_if(F.col("value") != 50).alias("sql_ne"), F.count_if(P.pd_ne("value", 50)).alias("pandas_ne"),
+        F.count_if(~F.col("k").isin(1, 2, 3)).alias("sql_not_in"),
+        F.count_if(P.pd_not_isin("k", [1, 2, 3])).alias("pandas_not_in"))

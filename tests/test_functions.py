@@ -133,3 +133,20 @@ def test_count_chars_matches_findall(spark, s):
     r = df.select(RX.count_chars("s", "[aeiou]").alias("v"), RX.count_chars("s", RX.WORD).alias("w"),
                   RX.count_chars("s", r"[^\p{Nd}]").alias("nd")).first()
     assert (r.v, r.w, r.nd) == (len(re.findall("[aeiou]", s)), len(re.findall(r"\w", s)), len(re.findall(r"\D", s)))
+
+
+def test_pandas_comparison_rules(spark):
+    import pandas as pd
+    from gridwork.functions import predicates as P
+    vals = [1.0, None, 3.0]
+    df = spark.createDataFrame([(v,) for v in vals], "x DOUBLE")
+    s = pd.Series([1.0, float("nan"), 3.0])
+    r = df.select(P.pd_ne("x", 1.0).alias("ne"), P.pd_eq("x", 1.0).alias("eq"),
+                  P.pd_not_isin("x", [3.0]).alias("ni"), P.pd_isin("x", [3.0]).alias("i"),
+                  P.pd_mask_not(F.col("x") > 2).alias("nm")).collect()
+    assert [x.ne for x in r] == list(s != 1.0) and [x.eq for x in r] == list(s == 1.0)
+    assert [x.ni for x in r] == list(~s.isin([3.0])) and [x.i for x in r] == list(s.isin([3.0]))
+    assert [x.nm for x in r] == list(~(s > 2))
+    # Spark's own NOT IN drops the missing row; the pandas rule keeps it.
+    assert df.where(~F.col("x").isin(3.0)).count() == 1
+    assert df.where(P.pd_not_isin("x", [3.0])).count() == 2
