@@ -122,10 +122,10 @@ def n6_dropna_all(spark, sf):
 
 @register("f5_pandas_comparisons", f"""
 WITH g AS {_GAPS_SQL}
-SELECT event_type, CAST(count_if(value <> 50) AS BIGINT) AS sql_ne,
-       CAST(count_if(value IS DISTINCT FROM 50) AS BIGINT) AS pandas_ne,
-       CAST(count_if(k NOT IN (1, 2, 3)) AS BIGINT) AS sql_not_in,
-       CAST(count_if(coalesce(k NOT IN (1, 2, 3), true)) AS BIGINT) AS pandas_not_in
+SELECT event_type, count(*) FILTER (WHERE value <> 50) AS sql_ne,
+       count(*) FILTER (WHERE value IS DISTINCT FROM 50) AS pandas_ne,
+       count(*) FILTER (WHERE k NOT IN (1, 2, 3)) AS sql_not_in,
+       count(*) FILTER (WHERE coalesce(k NOT IN (1, 2, 3), true)) AS pandas_not_in
 FROM g GROUP BY event_type""")
 def f5_pandas_comparisons(spark, sf):
     """``!=`` and ``~isin`` on columns with gaps: SQL drops the missing rows,
