@@ -106,14 +106,14 @@ def customer_dims(t: Tables) -> DataFrame:
     return c.join(dims(t), c.c_nationkey == F.col("n_nationkey")).drop("c_nationkey")
 
 
-def order_places(t: Tables) -> DataFrame:
+def order_places(t: Tables, extra: tuple = ()) -> DataFrame:
     """One row per order with its customer's nation and region (an
     orders-sized table). Joining lines to it on the order key needs one
     shuffle of the lines, by order key, instead of one by order and another
     by customer."""
-    o = t.orders.select("o_orderkey", "o_custkey")
+    o = t.orders.select("o_orderkey", "o_custkey", *extra)
     return o.join(customer_dims(t), o.o_custkey == F.col("c_custkey")).select(
-        "o_orderkey", "n_name", "r_name", "c_mktsegment")
+        "o_orderkey", "n_name", "r_name", "c_mktsegment", *extra)
 
 
 def orders_with_customer(t: Tables, with_profit: bool = True) -> DataFrame:
