@@ -170,3 +170,25 @@ def test_shape_and_types(spark):
     assert S.size(df).first()[0] == 6
     assert S.dtypes(df) == [("i", "int"), ("d", "double"), ("s", "string")]
     assert S.select_dtypes(df, "float") == ["d"] and S.select_dtypes(df, "number") == ["i", "d"]
+
+
+def test_empty_inputs(spark):
+    from gridwork.operators import nulls as NL
+    from gridwork.operators import reshape as RS
+    from gridwork.operators import sets as ST
+    e = spark.createDataFrame([], "k INT, t BIGINT, v DOUBLE, s STRING")
+    assert AG.exact_quantiles(e, "v", [0.5], ["k"], method="sort").count() == 0
+    assert AG.exact_quantiles(e, "v", [0.5], ["k"], method="window").count() == 0
+    assert AG.exact_quantiles(e, "v", [0.5]).count() <= 1
+    assert O.ordinal(e, ["t"], ["k"]).count() == 0
+    assert forward_fill(e, ["v"], ["t"], ["k"]).count() == 0
+    assert lag_in_group(e, "v", ["t"], ["k"]).count() == 0
+    assert AG.value_counts(e, "s").count() == 0
+    assert AG.value_counts(e, "s", normalize=True).count() == 0
+    assert {r.k for r in AG.pivot_with_total(e, ["k"], {"n": F.count("v")}).collect()} <= {"Grand Total"}
+    assert all(r.null_count == 0 for r in AG.null_counts(e).collect())
+    assert NL.fill_mean(e, ["v"]).count() == 0
+    assert AG.arg_extreme(e, "v", "s", "t").count() <= 1
+    assert RS.one_hot(e, "s").columns == ["k", "t", "v"]
+    assert ST.relations(e.select("k"), e.select("k")).first().is_subset
+    assert O.position_slice(e, ["t"], 0, 5).count() == 0 and O.position_slice(e, ["t"], -3, None).count() == 0
