@@ -192,3 +192,11 @@ def test_empty_inputs(spark):
     assert RS.one_hot(e, "s").columns == ["k", "t", "v"]
     assert ST.relations(e.select("k"), e.select("k")).first().is_subset
     assert O.position_slice(e, ["t"], 0, 5).count() == 0 and O.position_slice(e, ["t"], -3, None).count() == 0
+
+
+def test_nan_beside_null(spark):
+    from gridwork.operators import nulls as NL
+    df = spark.createDataFrame([(0, 1.0), (1, float("nan")), (2, None), (3, 3.0)], "i INT, v DOUBLE")
+    assert {r.column_name: r.null_count for r in AG.null_counts(df).collect()}["v"] == 2
+    assert [r.v for r in NL.fill_mean(df, ["v"]).orderBy("i").collect()] == [1.0, 2.0, 2.0, 3.0]
+    assert NL.dropna(df, "any").count() == 2
