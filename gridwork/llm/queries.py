@@ -17,7 +17,7 @@ from .common import is_held_out, new_dir, ship, table
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 END_ID = 2
-MIX = {"clean": 0.85, "low": 0.1, "toxic": 0.05}
+MIX = {"clean": 0.84, "low": 0.08, "toxic": 0.08}
 
 
 def register(name: str, sql: str | None = None):

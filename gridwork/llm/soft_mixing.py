@@ -9,7 +9,7 @@ expected in the mix. DataFrame functions only.
 
 from __future__ import annotations
 
-from math import log
+from math import log, sqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,15 +18,15 @@ from .common import hash01, is_held_out, materialize
 
 FIT = 20_000              # labelled documents the classifier is fitted on, about, at most
 BUCKETS = 1 << 14         # hashed words
-SMOOTH = 0.5
-LENGTHS = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0)     # words of evidence a document may count for; one is chosen
-STEPS = 120               # gradient steps at most
-PATIENCE = 40             # steps after which fitting stops if they brought nothing
-CLOSE = 1e-7              # relative distance from the targets at which fitting stops
+CLEAR = 6.0               # standard deviations by which a word's count must differ to weigh
+EDGES = (0.5, 2.0, 4.0, 8.0)      # strengths of evidence that are told apart
+STEPS = 40                # gradient steps at most
+PATIENCE = 5              # steps after which fitting stops if they brought nothing
+CLOSE = 1e-6              # relative distance from the targets at which fitting stops
 
 
 def _words(text: Column) -> Column:
-    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+")
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\s.,]+|(?<=\pL)(?=[^\pL\s.,])")
 
 
 def _bucket(word: Column) -> Column:
@@ -34,68 +34,78 @@ def _bucket(word: Column) -> Column:
 
 
 class Classifier:
-    """Log probabilities of hashed words by domain, and of the domains."""
+    """Weights of hashed words for each domain, and for each kind of evidence
+    (the domain whose words weigh most, and how much) the probabilities that
+    labelled documents with it showed."""
 
-    def __init__(self, domains: list[str], prior: list[float], weights: list[list[float]], length: float = LENGTHS[3]):
-        self.domains, self.prior, self.weights, self.length = domains, prior, weights, length
+    def __init__(self, domains: list[str], prior: list[float], weights: list[list[float]], table: list[list[float]] | None = None):
+        self.domains, self.prior, self.weights = domains, prior, weights
+        self.table = table or [prior] * (1 + len(domains) * len(EDGES))
 
     def evidence(self, text: Column) -> Column:
         """Struct of n (words of the whole text) and s0, s1, ...: the sums of
-        their weights for each domain."""
+        its different words' weights for each domain."""
         # one foldable literal a domain, not a tree of numbers
         tables = [F.split(F.lit(",".join(f"{x:.6g}" for x in w)), ",").cast("array<double>") for w in self.weights]
-        zero = F.struct(F.lit(0).cast("long").alias("n"), *[F.lit(0.0).alias(f"s{i}") for i in range(len(tables))])
+        hashed = F.filter(F.transform(_words(text), lambda w: F.when(w != "", _bucket(w))), lambda b: b.isNotNull())
+        zero = F.struct(*[F.lit(0.0).alias(f"s{i}") for i in range(len(tables))], F.lit(0).alias("k"))
 
-        def add(s: Column, w: Column) -> Column:
-            return F.when(w == "", s).otherwise(F.struct((s["n"] + 1).alias("n"), *[(s[f"s{i}"] + F.get(t, _bucket(w))).alias(f"s{i}") for i, t in enumerate(tables)]))
-        return F.aggregate(_words(text), zero, add)
+        def add(s: Column, b: Column) -> Column:
+            return F.struct(*[(s[f"s{i}"] + F.get(t, b)).alias(f"s{i}") for i, t in enumerate(tables)], (s["k"] + 1).alias("k"))
+        # the list of words is made once: it is the only element of an array that is folded
+        return F.transform(F.array(hashed), lambda h: F.struct(F.size(h).cast("long").alias("n"), F.aggregate(F.array_distinct(h), zero, add).alias("e")))[0]
 
-    def probabilities(self, found: str, length: float) -> list[Column]:
-        """The domains' probabilities, from a column of :meth:`evidence`. A
-        text counts as ``length`` words of its mean evidence (or its own number
-        of words, if that is less), which keeps them soft."""
-        n = F.col(f"{found}.n")
-        scale = F.least(n.cast("double"), F.lit(length)) / F.greatest(n, F.lit(1).cast("long"))
-        logit = [F.col(f"{found}.s{i}") * scale + F.lit(p) for i, p in enumerate(self.prior)]
-        top = F.greatest(*logit) if len(logit) > 1 else logit[0]
-        grown = [F.exp(x - top) for x in logit]
-        total = sum(grown[1:], grown[0])
-        return [x / total for x in grown]
+    def kind(self, found: str) -> Column:
+        """The kind of evidence: 0 for none, else by domain and strength."""
+        s = [F.col(f"{found}.e.s{i}") for i in range(len(self.domains))]
+        top = F.greatest(*s) if len(s) > 1 else s[0]
+        which = F.coalesce(*[F.when(x == top, F.lit(i)) for i, x in enumerate(s)])
+        strength = sum((F.when(top >= e, 1).otherwise(0) for e in EDGES[1:]), F.lit(1))
+        return F.when(top >= EDGES[0], which * len(EDGES) + strength).otherwise(0)
+
+    def probabilities(self, found: str) -> list[Column]:
+        """The domains' probabilities, from a column of :meth:`evidence`."""
+        kind = self.kind(found)
+        return [F.get(F.array(*[F.lit(row[i]) for row in self.table]), kind) for i in range(len(self.domains))]
 
 
 def fit_classifier(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain") -> Classifier:
     """Naive Bayes over hashed words, fitted on a bounded sample of the
-    labelled rows (about ``FIT``). Ids held out of learning are left out; on
-    them the evidence's length is chosen, by the least log loss."""
+    labelled rows (about ``FIT``); a word weighs for a domain by the logarithm
+    of its count against the expected one, if it is clearly above. Ids held out of learning are left out; on
+    them the probabilities of each kind of evidence are counted."""
     marks = labelled.select(F.col(id_col).alias("_id"), F.col(domain_col).cast("string").alias("_d")).where("_id is not null and _d is not null").distinct()
     counts = {r[0]: r[1] for r in marks.groupBy("_d").count().collect()}
     domains = sorted(counts)
     share = min(1.0, FIT / max(1, sum(counts.values())))
     picked = marks.where(~is_held_out("_id") & (hash01("_id") < share))
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
-    words = (own.join(F.broadcast(picked), "_id")          # at most about FIT rows
-             .select("_d", F.explode(_words(F.col("_t"))).alias("w")).where("w <> ''"))
-    table = {d: [SMOOTH] * BUCKETS for d in domains}
-    for d, b, n in words.groupBy("_d", _bucket(F.col("w")).alias("b")).count().collect():      # at most domains x BUCKETS rows
-        table[d][b] += n
+    fitted = own.join(F.broadcast(picked), "_id").dropDuplicates(["_t", "_d"])          # at most about FIT rows; a copy counts once
+    fitted = materialize(fitted, "mixing")
+    words = (fitted.select("_d", F.explode(F.array_distinct(F.transform(_words(F.col("_t")), lambda w: F.when(w != "", _bucket(w))))).alias("b")).where("b is not null"))
+    table = {d: [0] * BUCKETS for d in domains}
+    for d, b, n in words.groupBy("_d", "b").count().collect():      # at most domains x BUCKETS rows
+        table[d][b] = n
+    size = {r[0]: r[1] for r in fitted.groupBy("_d").count().collect()}
+    size = {d: size.get(d, 0) for d in domains}
     weights = []
     for d in domains:
-        total = sum(table[d])
-        weights.append([log(x / total) for x in table[d]])
-    center = [sum(w[b] for w in weights) / max(1, len(weights)) for b in range(BUCKETS)]
-    weights = [[x - c for x, c in zip(w, center, strict=True)] for w in weights]
+        own_weights = [0.0] * BUCKETS
+        for b in range(BUCKETS):
+            usual = size[d] * sum(table[x][b] for x in domains) / max(1, sum(size.values()))
+            if table[d][b] - usual > CLEAR * sqrt(usual + 1):
+                own_weights[b] = log((table[d][b] + 1) / (usual + 1))
+        weights.append(own_weights)
     total = sum(counts.values())
-    out = Classifier(domains, [log(counts[d] / total) for d in domains], weights)
+    prior = [counts[d] / total for d in domains]
+    out = Classifier(domains, prior, weights)
     if not domains:
         return out
     tried = own.join(F.broadcast(marks.where(is_held_out("_id") & (hash01("_id") < share))), "_id").select("_d", out.evidence(F.col("_t")).alias("_e"))
-    losses = []
-    for length in LENGTHS:
-        p = out.probabilities("_e", length)
-        mine = F.coalesce(*[F.when(F.col("_d") == d, x) for d, x in zip(domains, p, strict=True)])
-        losses.append(F.sum(-F.log(F.greatest(mine, F.lit(1e-9)))))
-    found = [x if x is not None else 0.0 for x in tried.agg(*losses).first()]
-    out.length = LENGTHS[found.index(min(found))] if any(found) else out.length
+    seen = [[4.0 * p for p in prior] for _ in out.table]            # as much as four documents with the domains' shares
+    for d, kind, n in tried.groupBy("_d", out.kind("_e").alias("kind")).count().collect():         # at most domains x kinds rows
+        seen[kind][domains.index(d)] += n
+    out.table = [[x / sum(row) for x in row] for row in seen]
     return out
 
 
@@ -104,7 +114,7 @@ def memberships(docs: DataFrame, classifier: Classifier, text_col: str = "text",
     whole text) and p0, p1, ... Null or empty text: no tokens, the domains'
     shares."""
     found = docs.withColumn(out, classifier.evidence(F.col(text_col)))
-    p = classifier.probabilities(out, classifier.length) if classifier.domains else []
+    p = classifier.probabilities(out) if classifier.domains else []
     return found.withColumn(out, F.struct(F.col(f"{out}.n").alias("tokens"), *[x.alias(f"p{i}") for i, x in enumerate(p)]))
 
 
@@ -112,11 +122,11 @@ def fit_rates(scored: DataFrame, targets: list[float], mix: str = "__mix") -> tu
     """The rate of each row as an expression of its memberships, and what was
     reached: steps, current and fitted totals.
 
-    Distances are weighted with the domains' present totals and the gradient
-    is taken in the metric of the documents' tokens; in it the curvature is at
-    most 1, so the step is 1. A rate is its start moved along the memberships
-    and clipped at zero, again and again, so the sums of a few numbers a
-    domain are all that is gathered in a step."""
+    Distances are weighted with the inverse of the memberships' token-weighted
+    products (one small matrix) and the gradient is taken in the metric of the
+    documents' tokens; in it the curvature is at most 1, so the step is 1. A
+    rate is its start moved along the memberships and clipped at zero, again
+    and again, so a number a domain is all that is gathered in a step."""
     k = len(targets)
     p = [F.col(f"{mix}.p{i}") for i in range(k)]
     t = F.col(f"{mix}.tokens").cast("double")
@@ -126,7 +136,9 @@ def fit_rates(scored: DataFrame, targets: list[float], mix: str = "__mix") -> tu
         row = scored.agg(*[F.sum(t * x * rate) for x in p]).first() if k else []
         return [float(x or 0.0) for x in row]
     now = start = totals()
-    size = [x if x > 0 else 1.0 for x in start]
+    cells = [F.sum(t * x * y) for x in p for y in p]
+    found = [float(x or 0.0) for x in scored.agg(*cells).first()] if k else []
+    inverse = _inverse([found[i * k:(i + 1) * k] for i in range(k)])
     moves: list[list[float]] = []
     best = float("inf")
     for step in range(STEPS):
@@ -135,12 +147,27 @@ def fit_rates(scored: DataFrame, targets: list[float], mix: str = "__mix") -> tu
             break
         if step % PATIENCE == 0:
             best = min(best, off)
-        moves.append([float(f"{(a - b) / s:.12g}") if c > 0 else 0.0 for a, b, s, c in zip(now, targets, size, start, strict=True)])
+        moves.append([float(f"{sum(inverse[i][j] * (now[j] - targets[j]) for j in range(k)):.12g}") for i in range(k)])
         rate = _move(rate, p, moves[-1])
         now = totals()
     return rate, {"steps": len(moves), "before": start, "after": now, "moves": moves}
 
 
+def _inverse(a: list[list[float]]) -> list[list[float]]:
+    """Inverse of a small symmetric matrix, lifted a little so that it has one."""
+    k = len(a)
+    lift = 1e-9 * (sum(a[i][i] for i in range(k)) or 1.0)
+    rows = [[a[i][j] + (lift if i == j else 0.0) for j in range(k)] + [float(i == j) for j in range(k)] for i in range(k)]
+    for i in range(k):
+        best = max(range(i, k), key=lambda r: abs(rows[r][i]))
+        rows[i], rows[best] = rows[best], rows[i]
+        rows[i] = [x / rows[i][i] for x in rows[i]]
+        for r in range(k):
+            if r != i:
+                rows[r] = [x - rows[r][i] * y for x, y in zip(rows[r], rows[i], strict=True)]
+    return [row[k:] for row in rows]
+
+
 def _move(rate: Column, p: list[Column], g: list[float]) -> Column:
     pull = F.lit(0.0)
     for x, v in zip(p, g, strict=True):
