@@ -26,8 +26,8 @@ from .common import components, materialize, mix64
 ROWS = 4                 # components of a band
 MISS = 1e-7              # chance that a pair at the threshold shares no band
 SLACK = 6.0              # standard deviations below the threshold at which signatures already rule a pair out
-SMALL = 32               # buckets up to this size are joined; larger ones are compared in blocks
 BLOCK = 512              # members of a block of a large bucket
+GROUP = 5000             # members of small buckets that are handled at a time, about
 CHUNK = 200_000          # shingles whose permutations are held at once
 
 
@@ -159,19 +159,59 @@ def _confirm(width: int, num: int, den: int):
     return confirm
 
 
-def _cross(least: int):
-    """Pairs of a block of a bucket that belong to different groups and agree."""
+def _meeting(pdf: pd.DataFrame, i: int, j: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each bucket of a group of buckets the row numbers (left, right) of
+    its pairs that agree, belong to different groups and meet in no earlier
+    band."""
+    sig = np.frombuffer(b"".join(pdf.sig), np.uint16).reshape(len(pdf), -1)
+    band = sig.reshape(len(pdf), -1, ROWS).copy().view(np.uint64)[:, :, 0]
+    block, label, number, rep = (pdf[c].to_numpy() for c in ("block", "label", "band", "rep"))
+    keys = pdf.key.to_numpy()
+    order = np.argsort(keys, kind="stable")
+    for rows in np.split(order, np.nonzero(np.diff(keys[order]))[0] + 1):
+        left, right = rows[block[rows] == i], rows[block[rows] == j]
+        for x in left:
+            y = right[rep[right] > rep[x]] if i == j else right
+            y = y[label[y] != label[x]]
+            y = y[(band[y, :number[x]] != band[x, :number[x]]).all(axis=1)] if len(y) else y
+            y = y[(sig[y] == sig[x]).sum(axis=1) >= least] if len(y) else y
+            if len(y):
+                yield np.full(len(y), x), y
+
+
+def _flagged(least: int):
+    """Members of open buckets that have a pair still to be compared."""
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         _, i, j = key
-        left, right = pdf[pdf.block == i], pdf[pdf.block == j]
-        x, y = (np.frombuffer(b"".join(d.sig), np.uint16).reshape(len(d), -1) if len(d) else np.empty((0, 1), np.uint16) for d in (left, right))
-        out = []
-        for r in range(len(left)):
-            ok = ((y == x[r]).sum(axis=1) >= least) & (right.label.to_numpy() != left.label.iloc[r])
-            if i == j:
-                ok[:r + 1] = False
-            out += [(left.rep.iloc[r], z) for z in right.rep.to_numpy()[ok]]
-        return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
+        hit = np.zeros(len(pdf), bool)
+        for x, y in _meeting(pdf, i, j, least):
+            hit[x] = hit[y] = True
+        return pdf[hit]
+    return run
+
+
+def _joined(least: int, width: int, num: int, den: int):
+    """Links between different groups, confirmed on the full sets: for each
+    member one to each other group."""
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        _, i, j = key
+        words, sets, out = _WordHashes(), {}, set()
+        text, rep, label = pdf.text.to_numpy(), pdf.rep.to_numpy(), pdf.label.to_numpy()
+
+        def full(r: int) -> np.ndarray:
+            if r not in sets:
+                sets[r] = shingle_set(text[r], width, words)
+            return sets[r]
+        for xs, ys in _meeting(pdf, i, j, least):
+            a, done = full(xs[0]), set()
+            for y in ys:
+                if label[y] not in done:
+                    b = full(y)
+                    both = len(np.intersect1d(a, b, assume_unique=True))
+                    if both and den * both >= num * (len(a) + len(b) - both):
+                        done.add(label[y])
+                        out.add((int(rep[xs[0]]), int(rep[y])))
+        return pd.DataFrame(sorted(out), columns=["u", "v"]).astype("int64")
     return run
 
 
@@ -184,8 +224,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Equal sets become one class before any bucket is formed. In every bucket
     all members are compared with the least one; after grouping, buckets that
     still hold members of different groups are compared again between those
-    groups (joined when small, in blocks when large), so no candidate link
-    between groups is missed and no group's pairs are written out. A pair at
+    groups (many small ones at a time, a large one in blocks), so no candidate
+    link between groups is missed and no pairs but links are written out. A pair at
     the threshold shares no band with a chance of ``MISS``.
 
     Null, empty or word-free text: empty set, linked with nothing. Repeated
@@ -213,20 +253,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # what the star left open: members other than the pivot that are in different groups
     named = classes.select("rep", "sig").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         "rep", "sig", F.coalesce("root", "rep").alias("label"))
-    wide = named.select("rep", "label", F.explode(keys).alias("key")).join(pivots.where("size > 2"), "key").where("rep <> pivot")
+    wide = named.select("rep", "label", F.posexplode(keys).alias("band", "key")).join(pivots.where("size > 2"), "key").where("rep <> pivot")
     still = wide.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("k")).where("x <> y").select("key", "k")
-    members = materialize(wide.select("key", "rep", "label").join(still, "key"), "superminhash")
-    small = members.where(F.col("k") <= SMALL).select("key", "rep", "label")
-    other = small.select("key", F.col("rep").alias("v"), F.col("label").alias("label_v"))
-    near = small.join(other, "key").where("rep < v and label <> label_v").select(F.col("rep").alias("u"), "v")
+    members = materialize(wide.select("key", "band", "rep", "label").join(still, "key"), "superminhash")
+    groups = max(1, members.count() // GROUP)
     blocks = F.ceil(F.col("k") / BLOCK).cast("int")
-    large = (members.where(F.col("k") > SMALL).join(named.select("rep", "sig"), "rep")
+    # small buckets are handled many at a time; a large one in pairs of blocks
+    dealt = (members.join(named.select("rep", "sig"), "rep")
              .withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "label", "sig"))
-    far = large.groupBy("key", "i", "j").applyInPandas(_cross(least), "u long, v long")
-    more = near.unionByName(far).distinct().join(star, ["u", "v"], "left_anti")
-    more = materialize(_linked(more, docs, classes, id_col, text_col, _agree(least), _confirm(width, num, den)), "superminhash")
+             .select(F.when(F.col("blocks") == 1, F.pmod(F.col("key"), F.lit(groups))).otherwise(F.col("key")).alias("g"),
+                     F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "band", "block", "rep", "label", "sig"))
+    flagged = materialize(dealt.groupBy("g", "i", "j").applyInPandas(_flagged(least), dealt.schema), "superminhash")
+    texts = _texts(docs, flagged.select(F.col("rep").alias("id")).distinct(), id_col, text_col).withColumnRenamed("id", "rep")
+    more = materialize(flagged.join(texts, "rep").groupBy("g", "i", "j").applyInPandas(_joined(least, width, num, den), "u long, v long"), "superminhash")
     if more.limit(1).count():
         labels = materialize(components(edges.unionByName(more)), "superminhash")
     out = (sk.join(classes.select("a", "b", "n", "rep"), ["a", "b", "n"], "left")
@@ -244,23 +284,29 @@ def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str,
         return classes.select(F.col("rep").alias(name), F.col("sig").alias(out))
     pairs = pairs.join(sig("u", "su"), "u").join(sig("v", "sv"), "v").where(agree(F.col("su"), F.col("sv"))).select("u", "v").distinct()
     pairs = materialize(pairs, "superminhash")
-    wanted = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-    texts = materialize(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
-                        .join(wanted.hint("shuffle_hash"), "id", "left_semi"), "superminhash")
+    texts = _texts(docs, pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct(), id_col, text_col)
     left = texts.select(F.col("id").alias("u"), F.col("text").alias("tu"))
     right = texts.select(F.col("id").alias("v"), F.col("text").alias("tv"))
     both = pairs.join(right, "v").join(left, "u")
     return both.where(confirm(F.col("tu"), F.col("tv"))).select("u", "v").distinct()
 
 
+def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Texts of the documents with the wanted ids, written down."""
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    return materialize(own.join(wanted.hint("shuffle_hash"), "id", "left_semi"), "superminhash")
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of one document of each group, all columns as they were. Of
     rows that repeat the kept id only one stays; rows with a null id and
     documents without words are all kept. ``options`` as in
     :func:`near_duplicates`."""
     gone = near_duplicates(docs, id_col, text_col, **options).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    twice = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_twice")).count().where("count > 1").select("_twice")
     kept = docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
-    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
+    same = F.col(id_col) == F.col("_twice")
+    return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates([id_col]))
 
 
 __all__: list[str] = ["near_duplicates", "drop_near_duplicates", "shingle_set", "signatures", "n_bands"]
