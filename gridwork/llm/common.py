@@ -87,6 +87,27 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+class Memory:
+    """Results by text piece, in two generations of ``size``: when the young
+    one is full it becomes the old one, and what is asked for again moves to
+    the young. Bounded, and what is frequent stays."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def missing(self, pieces: set) -> list:
+        """Those not known; the others are all in the young generation."""
+        if len(self.young) > self.size:
+            self.old, self.young = self.young, {}
+        new = []
+        for p in pieces - self.young.keys():
+            if p in self.old:
+                self.young[p] = self.old[p]
+            else:
+                new.append(p)
+        return new
+
+
 def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     """Connected components of undirected ``edges`` (u, v): rows (node, root),
     root the smallest node reachable. Alternates large-star and small-star

@@ -22,10 +22,12 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .common import Memory
+
 MARK = "▁"
 PART = 3_000_000          # characters of text encoded at a time
 INDEX = 1_500_000         # characters of a suffix array, if no single word is longer
-KNOWN = 400_000           # words remembered
+KNOWN = 250_000           # words in a generation of those remembered
 SPAN = 1 << 15            # characters of a word above which it is relaxed on its own
 NONE = np.iinfo(np.int32).max
 
@@ -252,7 +254,7 @@ class Codec:
 
     def __init__(self, path: str):
         self.model = Model(path)
-        self.known: dict[str, bytes] = {}
+        self.known = Memory(KNOWN)
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         part, held = [], 0
@@ -266,19 +268,18 @@ class Codec:
         yield from self._encode(part)
 
     def _encode(self, part: list[list[str]]) -> Iterator[np.ndarray]:
-        if len(self.known) > KNOWN:
-            self.known.clear()
-        new = list(set().union(*part) - self.known.keys())
+        new = self.known.missing(set().union(*part))
+        young = self.known.young
         lo = 0
         while lo < len(new):
             hi, held = lo, 0
             while hi < len(new) and (held == 0 or held + len(new[hi]) < INDEX):
                 held += len(new[hi]) + 1
                 hi += 1
-            self.known.update(zip(new[lo:hi], self._index(new[lo:hi]), strict=True))
+            young.update(zip(new[lo:hi], self._index(new[lo:hi]), strict=True))
             lo = hi
         for words in part:
-            yield np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.int32)
+            yield np.frombuffer(b"".join(map(young.__getitem__, words)), np.int32)
 
     def _index(self, words: list[str]) -> list[bytes]:
         m = self.model

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -22,14 +23,14 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_dir
+from .common import Memory, new_dir
 
 MAGIC = b"GWTOKFR1"
 ENTRY = np.dtype([("doc_id", "<i8"), ("null_id", "<u4"), ("size", "<u4"), ("offset", "<u8"), ("n_tokens", "<u4"), ("crc32", "<u4")])
 FOOTER = np.dtype([("table_offset", "<u8"), ("frames", "<u8"), ("table_crc32", "<u4"), ("version", "<u4"), ("magic", "S8")])
 LEVEL = 3
 CHARS_PER_FILE = 16_000_000
-KNOWN = 500_000          # pieces of text whose ids are remembered
+KNOWN = 320_000          # pieces of text in a generation of those remembered
 PART = 4_000_000         # characters encoded at a time
 
 # White space as the byte-level pre-tokenizer sees it. Its pieces never reach
@@ -47,7 +48,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.known = Memory(KNOWN)
 
     def __call__(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         part, held = [], 0
@@ -60,13 +61,13 @@ class Encoder:
         yield from self._encode(part)
 
     def _encode(self, part: list[list[str]]) -> Iterator[bytes]:
-        if len(self.known) > KNOWN:
-            self.known.clear()
-        new = list(set().union(*part) - self.known.keys())
+        new = self.known.missing(set().union(*part))
+        young = self.known.young
         for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[p] = np.array(e.ids, "<u4").tobytes()
+            ids = e.ids
+            young[p] = struct.pack(f"<{len(ids)}I", *ids)
         for pieces in part:
-            yield b"".join(map(self.known.__getitem__, pieces))
+            yield b"".join(map(young.__getitem__, pieces))
 
 
 _ENCODERS: dict[str, Encoder] = {}       # of this worker process
