@@ -143,10 +143,25 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     order). Repeated rows and null ids are kept. Empty table: empty result."""
     rows = find(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     base = F.filter("__pii", lambda s: s["kind"] < len(BASE))
-    return rows.select("doc_id", *[F.size(F.filter("__pii", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(BASE)],
+
+    def count(i: int) -> Column:
+        return F.size(F.filter("__pii", lambda s: s["kind"] == i)).cast("long")
+    return rows.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(BASE)],
                        F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("__pii")).alias("spans"), F.col("__pii.score").alias("scores"))
 
 
+def _replaced(text: Column, m: Column, g: Column, kind: Kind) -> Column:
+    n = F.size(m)
+    items = F.arrays_zip(F.slice(g, F.lit(1), n).alias("before"), m.alias("match"), F.slice(g, F.lit(2), n).alias("after"))
+
+    def part(x: Column) -> Column:
+        keep = confirmed(kind.name, x["match"])
+        if kind.name not in BASE:
+            keep = keep & (score(kind, x["before"], x["after"]) >= REPORTED)
+        return F.concat(x["before"], F.when(keep, F.lit(f"<{kind.name.upper()}>")).otherwise(x["match"]))
+    return F.when(n > 0, F.concat(F.array_join(F.transform(items, part), ""), F.get(g, n))).otherwise(text)
+
+
 def redacted(docs: DataFrame, text_col: str = "text", chars_col: str | None = None) -> DataFrame:
     """Every confirmed match replaced by its kind in angle brackets, one kind
     after the other, longer ones first; all rows and columns stay. ``chars_col``
@@ -154,15 +169,5 @@ def redacted(docs: DataFrame, text_col: str = "text", chars_col: str | None = No
     out, text = docs, F.col(f"`{text_col}`")
     for k in sorted(KINDS, key=lambda k: ("iban", "email", "phone", "card", "ip", "ssn").index(k.name)):
         out = out.withColumn("__found", _matches(text, k))
-        m, g = F.col("__found.m"), F.col("__found.g")
-        n = F.size(m)
-        items = F.arrays_zip(F.slice(g, F.lit(1), n).alias("before"), m.alias("match"), F.slice(g, F.lit(2), n).alias("after"))
-
-        def part(x: Column, k: Kind = k) -> Column:
-            keep = confirmed(k.name, x["match"])
-            if k.name not in BASE:
-                keep = keep & (score(k, x["before"], x["after"]) >= REPORTED)
-            return F.concat(x["before"], F.when(keep, F.lit(f"<{k.name.upper()}>")).otherwise(x["match"]))
-        joined = F.concat(F.array_join(F.transform(items, part), ""), F.get(g, n))
-        out = out.withColumn(text_col, F.when(n > 0, joined).otherwise(text)).drop("__found")
+        out = out.withColumn(text_col, _replaced(text, F.col("__found.m"), F.col("__found.g"), k)).drop("__found")
     return out.withColumn(chars_col, F.length(text).cast(dict(docs.dtypes)[chars_col])) if chars_col else out

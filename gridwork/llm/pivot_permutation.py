@@ -22,6 +22,7 @@ from .common import components, materialize
 
 SAMPLE = 8192        # rows the pivots are chosen from, at most (the least by hash)
 MOST_PIVOTS = 1024
+APART = 0.8          # greatest cosine between two pivots
 PREFIX = 8           # nearest pivots that describe a vector
 SHARED = 3           # pivots two vectors must share to be compared
 SMALL = 32           # lists up to this size are joined; larger ones are multiplied in blocks
@@ -30,12 +31,16 @@ BLOCK = 512          # vectors of a block of a large list
 
 def choose_pivots(sample: np.ndarray, n_rows: int) -> np.ndarray:
     """Unit reference points for ``n_rows`` vectors: about 4 * sqrt(n_rows)
-    rows of the sample, evenly taken."""
-    n = min(len(sample), MOST_PIVOTS, max(64, round(4 * math.sqrt(n_rows))))
-    if n == 0:
-        return np.empty((0, sample.shape[1] if sample.ndim == 2 else 0))
-    picked = sample[np.linspace(0, len(sample) - 1, n).astype(int)]
-    return picked / np.linalg.norm(picked, axis=1, keepdims=True)
+    rows of the sample, in its order, leaving out those near one already taken
+    (a group of near copies would otherwise fill its members' descriptions
+    with pivots that differ by noise alone)."""
+    n = min(MOST_PIVOTS, max(64, round(4 * math.sqrt(n_rows))))
+    taken = np.empty((0, sample.shape[1] if sample.ndim == 2 else 0))
+    for v in sample:
+        v = v / np.linalg.norm(v)
+        if len(taken) < n and not (taken @ v > APART).any():
+            taken = np.vstack([taken, v])
+    return taken
 
 
 def nearest_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
