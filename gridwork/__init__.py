@@ -9,6 +9,6 @@ plans/      the named analysis queries built from the operators, with oracle SQL
 streaming/  running the Column-level functions on a streaming source
 """
 
-from gridwork.session import get_session, checkpoint_dir
+from gridwork.session import get_session
 
-__all__ = ["get_session", "checkpoint_dir"]
+__all__ = ["get_session"]

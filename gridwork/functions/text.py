@@ -126,13 +126,11 @@ def center(s, width: int, fill: str = " ") -> Column:
     return F.when(n >= width, s).otherwise(padded)
 
 
-def prefixes(s, max_len: int | None = None, include_full: bool = False) -> Column:
+def prefixes(s, include_full: bool = False) -> Column:
     """Array of the leading substrings ``s[:1], s[:2], ...``; the full string
-    only if ``include_full``; at most ``max_len`` of them if given."""
+    only if ``include_full``."""
     s = _c(s)
     n = F.length(s) if include_full else F.length(s) - 1
-    if max_len is not None:
-        n = F.least(n, F.lit(max_len))
     return F.when(n >= 1, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(s, 1, i))) \
             .otherwise(F.array().cast("array<string>"))
 

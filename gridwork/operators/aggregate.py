@@ -1,9 +1,7 @@
 """Aggregates: describe, quantiles, value counts, shares, pivots, arg-max.
 
 All of these are one hash aggregate (partial aggregation before the shuffle,
-final after), except the exact quantiles, which are sort based so that a group
-holding a large share of the rows is split across tasks instead of being
-buffered by one task.
+final after); the exact quantiles add running counts over sorted chunks.
 """
 
 from __future__ import annotations
@@ -12,9 +10,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from gridwork.operators.order import ordinal
+from gridwork.operators.missing import missing
+from gridwork.operators.order import running_total
 
 
 def _names(cs) -> list[str]:
@@ -40,125 +38,38 @@ def describe(df: DataFrame, value: str, group_by: Sequence[str] = ()) -> DataFra
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
-                    group_by: Sequence[str] = (), names: Sequence[str] | None = None,
-                    method: str = "auto", accuracy: int = 100_000) -> DataFrame:
+                    group_by: Sequence[str] = (), names: Sequence[str] | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (pandas ``quantile`` /
-    ``median``; NULLs skipped), one row per group.
+    ``median``; NULL and NaN skipped), one row per group, NULL groups included.
 
-    Neither method buffers a group in one task (``percentile``/``median``
-    keep every distinct value of a group in one aggregation buffer):
-
-    * ``"sort"``: rows are range-partitioned on (group, value) and numbered
-      (``order.ordinal``); only the two neighbouring ranks of each quantile
-      are kept. One full shuffle and sort of the column; any number of groups.
-    * ``"window"``: for few groups (one sketch per group is held in memory).
-      A ``percentile_approx`` sketch (rank error at most n/``accuracy``) gives,
-      per quantile, a value window that must contain the two ranks needed; a
-      second pass counts the rows below each window, a third keeps only the
-      rows inside the windows and ranks those. Three scans of one column and
-      a sort of about 8n/``accuracy`` rows per quantile instead of a sort of
-      everything. The window is checked against the counts and the query
-      fails (``raise_error``) rather than return a wrong value if a rank fell
-      outside it.
-    * ``"auto"``: the window method above ``SORT_ALL_ROWS`` rows, the sort
-      method below (where one shuffle is cheaper than three passes); the row
-      count comes from the same small aggregate the window method needs.
-    """
+    Rows are first reduced to (group, value, count) by a map-side aggregate,
+    so a value holding half the rows is one row; running counts over chunks
+    (``order.running_total``) then give each value's range of ranks. One
+    method at every size, no group is gathered in a task."""
     g = _names(group_by)
     names = list(names or ["q" + format(p * 100, "g").replace(".", "_") for p in probs])
-    base = df.where(F.col(value).isNotNull()).select(*g, F.col(value).alias("_gw_v"))
-    if method in ("auto", "window"):
-        info = _group_sizes(base, g)
-        if method == "window" or (info["n_total"] or 0) > SORT_ALL_ROWS:
-            return _quantiles_by_window(base, g, list(probs), names, accuracy, info)
-    elif method != "sort":
-        raise ValueError(f"method={method!r}")
-    ranked = ordinal(base, ["_gw_v"], g, name="_gw_rank", group_size="_gw_n")
-    picks = []
-    cond = F.lit(False)
+    values = df.where(~missing(df, value)).groupBy(*g, F.col(value).alias("_gw_v")).agg(F.count(F.lit(1)).alias("_gw_c"))
+    ranged = running_total(values, F.col("_gw_c"), ["_gw_v"], g, name="_gw_b")
+    totals = values.groupBy(*g).agg(F.sum("_gw_c").alias("_gw_n"))
+    if g:
+        totals = totals.select(*[F.col(c).alias(f"_gw_g_{c}") for c in g], "_gw_n")
+        same = [F.col(c).eqNullSafe(F.col(f"_gw_g_{c}")) for c in g]
+        ranged = ranged.join(totals, same)
+    else:
+        ranged = ranged.withColumn("_gw_n", totals.scalar())
+    aggs, outs, needed = [], [], F.lit(False)
     for p, nm in zip(probs, names):
         h = (F.col("_gw_n") - 1) * F.lit(float(p))
-        lo, hi = F.floor(h), F.ceil(h)
-        cond = cond | (F.col("_gw_rank") == lo) | (F.col("_gw_rank") == hi)
-        picks.append((nm, h, lo, hi))
-    kept = ranked.where(cond)
-    aggs = []
-    for nm, h, lo, hi in picks:
-        aggs += [F.max(F.when(F.col("_gw_rank") == lo, F.col("_gw_v"))).alias(f"_lo_{nm}"),
-                 F.max(F.when(F.col("_gw_rank") == hi, F.col("_gw_v"))).alias(f"_hi_{nm}"),
-                 F.max(h - lo).alias(f"_fr_{nm}")]
-    agg = kept.groupBy(*g).agg(*aggs) if g else kept.agg(*aggs)
-    outs = [(F.col(f"_lo_{nm}") + (F.col(f"_hi_{nm}") - F.col(f"_lo_{nm}")) * F.col(f"_fr_{nm}"))
-            .cast("double").alias(nm) for nm, *_ in picks]
-    return agg.select(*g, *outs)
-
-
-def _attach(df: DataFrame, small: DataFrame, g: list[str]) -> DataFrame:
-    """Columns of ``small`` (one row per group, or one row in all) on every
-    row of ``df``: a join on the group keys, or scalar subqueries."""
-    if g:
-        return df.join(small, g)
-    packed = small.select(F.struct(*small.columns).alias("_gw_s")).scalar()
-    return df.select("*", *[packed.getField(c).alias(c) for c in small.columns])
-
-
-# Below this many rows the sort method (one range shuffle of the column) is
-# cheaper than the three passes of the window method.
-SORT_ALL_ROWS = 20_000_000
-
 
-def _group_sizes(base: DataFrame, g: list[str]):
-    """Number of groups, smallest group and total rows: one small collected
-    aggregate (one row)."""
-    sizes = base.groupBy(*g).agg(F.count(F.lit(1)).alias("n")) if g else base.agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.count(F.lit(1)).alias("groups"), F.min("n").alias("n_min"),
-                     F.sum("n").alias("n_total")).first()
-
-
-def _quantiles_by_window(base: DataFrame, g: list[str], probs: list[float], names: list[str],
-                         accuracy: int, info, max_groups: int = 10_000) -> DataFrame:
-    # The sketch's rank error is at most n/accuracy, and its rank convention
-    # (ceil(q*n)) differs from the interpolation ranks ((n-1)*q) by up to two
-    # rows, so the window is widened by both; the smallest group sets the
-    # second term. The number of groups is capped: one sketch each.
-    if info["groups"] > max_groups:
-        raise ValueError(f"{info['groups']} groups exceed max_groups={max_groups}; use method='sort'")
-    margin = 4.0 / accuracy + 3.0 / max(info["n_min"] or 1, 1)
-    cuts = []
-    for p in probs:
-        cuts += [max(p - margin, 0.0), min(p + margin, 1.0)]
-    sketch = F.percentile_approx("_gw_v", cuts, accuracy).alias("_gw_cut")
-    bounds = base.groupBy(*g).agg(sketch) if g else base.agg(sketch)
-    v = F.col("_gw_v")
-
-    def inside(i):
-        return v.between(F.col("_gw_cut")[2 * i], F.col("_gw_cut")[2 * i + 1])
-
-    withb = _attach(base, bounds, g)
-    counts = [F.count(F.lit(1)).alias("_gw_n")]
-    for i in range(len(probs)):
-        counts += [F.count_if(v < F.col("_gw_cut")[2 * i]).alias(f"_gw_nb{i}"),
-                   F.count_if(inside(i)).alias(f"_gw_nc{i}")]
-    stats = withb.groupBy(*g).agg(*counts) if g else withb.agg(*counts)
-    # Rows inside a window, once per window they fall in (windows may overlap).
-    tags = F.filter(F.array(*[F.when(inside(i), F.lit(i)) for i in range(len(probs))]), lambda x: x.isNotNull())
-    cand = withb.select(*g, "_gw_v", F.explode(tags).alias("_gw_w"))
-    ranked = ordinal(cand, ["_gw_v"], [*g, "_gw_w"], name="_gw_r")
-    ranked = _attach(ranked, stats, g)
-    aggs, outs = [], []
-    for i, (p, nm) in enumerate(zip(probs, names)):
-        h = (F.col("_gw_n") - 1) * F.lit(float(p))
-        lo = F.floor(h) - F.col(f"_gw_nb{i}")
-        hi = F.ceil(h) - F.col(f"_gw_nb{i}")
-        mine = F.col("_gw_w") == i
-        aggs += [F.max(F.when(mine & (F.col("_gw_r") == lo), v)).alias(f"_lo_{nm}"),
-                 F.max(F.when(mine & (F.col("_gw_r") == hi), v)).alias(f"_hi_{nm}"),
-                 F.max(h - F.floor(h)).alias(f"_fr_{nm}"),
-                 F.max((lo < 0) | (hi >= F.col(f"_gw_nc{i}"))).alias(f"_bad_{nm}")]
-        val = (F.col(f"_lo_{nm}") + (F.col(f"_hi_{nm}") - F.col(f"_lo_{nm}")) * F.col(f"_fr_{nm}")).cast("double")
-        outs.append(F.when(F.col(f"_bad_{nm}"), F.raise_error(F.lit(f"quantile {p} outside its window")))
-                    .otherwise(val).cast("double").alias(nm))
-    agg = ranked.groupBy(*g).agg(*aggs) if g else ranked.agg(*aggs)
+        def holds(rank):
+            return (F.col("_gw_b") <= rank) & (rank < F.col("_gw_b") + F.col("_gw_c"))
+        lo, hi = holds(F.floor(h)), holds(F.ceil(h))
+        needed = needed | lo | hi
+        aggs += [F.max(F.when(lo, F.col("_gw_v"))).alias(f"_lo_{nm}"), F.max(F.when(hi, F.col("_gw_v"))).alias(f"_hi_{nm}"),
+                 F.max(h - F.floor(h)).alias(f"_fr_{nm}")]
+        outs.append((F.col(f"_lo_{nm}") + (F.col(f"_hi_{nm}") - F.col(f"_lo_{nm}")) * F.col(f"_fr_{nm}")).cast("double").alias(nm))
+    kept = ranged.where(needed)
+    agg = kept.groupBy(*g).agg(*aggs) if g else kept.agg(*aggs)
     return agg.select(*g, *outs)
 
 
@@ -228,41 +139,12 @@ def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     cols = list(columns or df.columns)
     types = {f.name: f.dataType for f in df.schema.fields}
 
-    def missing(c: str) -> Column:
-        cond = F.col(c).isNull()
-        if isinstance(types[c], (T.DoubleType, T.FloatType)):
-            cond = cond | F.isnan(F.col(c))
-        return F.count_if(cond).alias(c)
-
-    wide = df.agg(*[missing(c) for c in cols])
+    wide = df.agg(*[F.count_if(missing(df, c)).alias(c) for c in cols])
     pairs = ", ".join(f"'{c}', '{types[c].simpleString()}', `{c}`" for c in cols)
     return wide.selectExpr(f"stack({len(cols)}, {pairs}) as (column_name, dtype, null_count)")
 
 
-def group_to_map(df: DataFrame, key: str, value: Column, max_keys: int = 100_000) -> DataFrame:
-    """``{k: sum(v[keys == k]) for k in unique(keys)}`` as one MAP value.
-
-    One aggregate replaces the per-key scans of the lesson. The map is built in
-    one row, so the number of keys is checked first."""
-    grouped = df.groupBy(key).agg(value.alias("_gw_v"))
-    n = grouped.count()
-    if n > max_keys:
-        raise ValueError(f"{n} keys exceed max_keys={max_keys}; keep the grouped table instead")
-    return grouped.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "_gw_v")))).alias("map"))
-
-
-def guard_group_size(df: DataFrame, keys: Sequence[str], max_rows: int) -> DataFrame:
-    """``df`` unchanged, but failing before any row reaches a later grouping
-    if some ``keys`` group has more than ``max_rows`` rows.
-
-    Use it in front of an aggregate that collects a group into one value
-    (``collect_list``, ``collect_set``): such a value lives in one task, so
-    its size must be bounded. The largest group size is a scalar subquery (a
-    partial-aggregated count, one row per group after the shuffle) evaluated
-    by the filter, i.e. before the rows are collected.
-    """
-    biggest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_gw_n")).agg(F.max("_gw_n")).scalar()
-    ok = F.when(biggest > F.lit(max_rows),
-                F.raise_error(F.lit(f"a group of {list(keys)} exceeds {max_rows} rows; "
-                                    "keep it as rows instead of collecting it"))).otherwise(F.lit(True))
-    return df.where(ok)
+def group_sums(df: DataFrame, key: str, value: Column, name: str = "value") -> DataFrame:
+    """``{k: sum(v[keys == k]) for k in unique(keys)}`` as (key, value) rows:
+    one aggregate replaces the per-key scans of the lesson."""
+    return df.groupBy(key).agg(value.alias(name))

@@ -2,8 +2,7 @@
 
 Catalyst picks broadcast-hash, shuffle-hash or sort-merge from sizes and AQE
 re-plans at runtime from measured sizes, so these functions only state the
-logical join. ``bounded_broadcast`` is the one place a broadcast is forced,
-and only after the side's row count has been checked.
+logical join; nothing here forces a broadcast.
 
 pandas ``merge`` differences kept here:
 * one key column in the output (from the right side for ``how='right'``);
@@ -24,21 +23,6 @@ _HOW = {"inner": "inner", "left": "left", "right": "right", "outer": "full",
         "full": "full", "left_anti": "left_anti", "left_semi": "left_semi"}
 
 
-_ROW_COUNTS: dict[tuple, int] = {}
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` if it has at most ``max_rows`` rows, else return it
-    unchanged so the planner shuffles instead. Meant for fixed-size dimension
-    tables (the count is one cheap job over a small table, remembered per
-    session and plan, since the driver tables are not rewritten in place)."""
-    key = (id(df.sparkSession), df.semanticHash())
-    n = _ROW_COUNTS.get(key)
-    if n is None:
-        n = _ROW_COUNTS[key] = df.count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def merge(left: DataFrame, right: DataFrame, on: str | Sequence[str], how: str = "inner",
           null_safe: bool = False, suffixes: tuple[str, str] = ("_x", "_y"),
           indicator: bool = False) -> DataFrame:
@@ -88,23 +72,3 @@ def semi_join(left: DataFrame, right: DataFrame, on: str | Sequence[str], null_s
     """Rows of ``left`` with at least one match in ``right``, each once."""
     return merge(left, right.select(*([on] if isinstance(on, str) else on)),
                  on, "left_semi", null_safe=null_safe)
-
-
-def cross_product(left: DataFrame, right: DataFrame, max_right_rows: int = 10_000,
-                  suffixes: tuple[str, str] = ("_x", "_y")) -> DataFrame:
-    """Every left row with every right row (the nested loop / constant-key
-    merge of the lessons), with ``_x``/``_y`` suffixes on clashing names.
-
-    The output has ``len(left) * len(right)`` rows, so it is only offered for a
-    right side whose row count is checked against ``max_right_rows`` (one
-    count job); that side is broadcast and the left side is never shuffled.
-    Larger inputs raise instead of producing a quadratic result.
-    """
-    n = right.count()
-    if n > max_right_rows:
-        raise ValueError(f"right side has {n} rows > max_right_rows={max_right_rows}; "
-                         "a cross product of growing tables is not supported")
-    clash = set(left.columns) & set(right.columns)
-    l = left.select(*[F.col(c).alias(c + suffixes[0] if c in clash else c) for c in left.columns])
-    r = right.select(*[F.col(c).alias(c + suffixes[1] if c in clash else c) for c in right.columns])
-    return l.crossJoin(F.broadcast(r))

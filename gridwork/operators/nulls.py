@@ -13,17 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridwork.operators.missing import missing
 from gridwork.operators.window import forward_fill
 
 
-def _missing(df: DataFrame, c: str):
-    t = df.schema[c].dataType
-    m = F.col(c).isNull()
-    if isinstance(t, (T.DoubleType, T.FloatType)):
-        m = m | F.isnan(c)
-    return m
-
-
 def fill_mean(df: DataFrame, columns: Sequence[str] | None = None, decimal_scale: int | None = None) -> DataFrame:
     """``df[c].fillna(df[c].mean())`` for each of ``columns`` (default: every
     numeric column), with the means from a single aggregate. With
@@ -32,7 +25,7 @@ def fill_mean(df: DataFrame, columns: Sequence[str] | None = None, decimal_scale
     cols = list(columns or [f.name for f in df.schema.fields if isinstance(f.dataType, num)])
 
     def val(c):
-        v = F.when(~_missing(df, c), F.col(c))
+        v = F.when(~missing(df, c), F.col(c))
         return v.cast(f"decimal(18,{decimal_scale})") if decimal_scale is not None else v
 
     means = df.agg(*[F.avg(val(c)).cast("double").alias(c) for c in cols])
@@ -40,7 +33,7 @@ def fill_mean(df: DataFrame, columns: Sequence[str] | None = None, decimal_scale
     # so the aggregate runs once).
     packed = means.select(F.struct(*cols).alias("m")).scalar()
     fills = {c: packed.getField(c) for c in cols}
-    return df.select(*[F.when(_missing(df, c), fills[c]).otherwise(F.col(c)).alias(c) if c in fills else F.col(c)
+    return df.select(*[F.when(missing(df, c), fills[c]).otherwise(F.col(c)).alias(c) if c in fills else F.col(c)
                        for c in df.columns])
 
 

@@ -1,14 +1,17 @@
 """Row order without a row index: ordinals, slices, head/tail, n-th largest.
 
 A pandas frame carries a total row order; a Spark DataFrame does not, so every
-operator here takes an explicit ``order_by`` that must be a total order (add
-tie-break columns) when the answer depends on it.
+operator here takes an explicit ``order_by``: column names, ``"-name"`` for
+descending (NULL first ascending, last descending, as Spark sorts). It must be
+a total order (add tie-break columns) when the answer depends on it.
 
 ``row_number().over(Window.orderBy(...))`` without ``partitionBy`` runs in one
 task, and a window partitioned by a hot key runs that key in one task too.
-``ordinal`` instead range-partitions on (group, order) so a large group is cut
-across many tasks, numbers rows inside each task, and adds the row counts of
-the earlier tasks of the same group (a table with one row per task and group).
+Here a row's chunk is a pure function of the row: its sort key is compared
+with split points from one bounded sample (a scalar subquery, so nothing runs
+while a query is built). Rows are shuffled once, by chunk; windows run inside
+(chunk, group), and what crosses a chunk border comes from at most two rows a
+chunk.
 """
 
 from __future__ import annotations
@@ -18,70 +21,116 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_PID, _MID = "_gw_pid", "_gw_mid"
-# Largest row count gathered by a top-k style plan (one task merges it).
-TOP_K_LIMIT = 100_000
+_PID, _TIE, _POINTS = "_gw_chunk", "_gw_tie", "_gw_points"
+SAMPLED = 32        # sampled rows a chunk's borders are drawn from
+
+
+def names_of(cs) -> list[str]:
+    cs = [] if cs is None else [cs] if isinstance(cs, (str, Column)) else list(cs)
+    if any(not isinstance(c, str) for c in cs):
+        raise TypeError("columns are given by name, '-name' for descending order")
+    return cs
 
 
-def _cols(cs) -> list:
-    if cs is None:
-        return []
-    if isinstance(cs, (str, Column)):
-        return [cs]
-    return list(cs)
+def _keys(order_by) -> list[tuple[str, bool]]:
+    return [(c.removeprefix("-"), c.startswith("-")) for c in names_of(order_by)]
 
 
-def _n_parts(df: DataFrame, n: int | None) -> int:
-    if n:
-        return n
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def sort_columns(order_by) -> list[Column]:
+    return [F.col(c).desc() if d else F.col(c).asc() for c, d in _keys(order_by)]
 
 
-def sorted_chunks(df: DataFrame, order_by, partition_by=(), n_partitions: int | None = None) -> DataFrame:
-    """Range-partition on (partition_by, order_by), sort inside each task and tag
-    rows with the task id (``_gw_pid``) and a per-task increasing id (``_gw_mid``).
+def reversed_order(order_by) -> list[str]:
+    """The exact reverse, NULLs included."""
+    return [c if d else f"-{c}" for c, d in _keys(order_by)]
 
-    Rows of one group end up in consecutive tasks in order, so a group holding a
-    third of the table is split over a third of the tasks.
-    """
-    keys = [*_cols(partition_by), *_cols(order_by)]
-    n = _n_parts(df, n_partitions)
-    tagged = (df.repartitionByRange(n, *keys)
-                .sortWithinPartitions(*keys)
-                .withColumn(_PID, F.spark_partition_id())
-                .withColumn(_MID, F.monotonically_increasing_id()))
-    # The callers read these rows twice (per-chunk summary, then the rows
-    # themselves). Range bounds come from a sample seeded by the RDD id, so two
-    # separately planned copies could cut the chunks differently. A reliable
-    # checkpoint (in the session's shared checkpoint folder) pins one copy:
-    # both reads see the same chunks, and lost executors recover from it.
-    return tagged.checkpoint(eager=False)
-
-
-def ordinal(df: DataFrame, order_by, partition_by=(), name: str = "ordinal",
-            group_size: str | None = None, n_partitions: int | None = None) -> DataFrame:
-    """Add the 0-based position of each row inside its ``partition_by`` group
-    under ``order_by`` (and, if ``group_size`` is given, the group's row count).
 
-    Ties in ``order_by`` get distinct, arbitrary positions.
-    """
-    groups = [c for c in _cols(partition_by)]
-    group_names = [c if isinstance(c, str) else None for c in groups]
-    if any(g is None for g in group_names):
-        raise TypeError("partition_by takes column names")
-    tagged = sorted_chunks(df, order_by, groups, n_partitions)
-    per_task = tagged.groupBy(_PID, *groups).agg(
-        F.count(F.lit(1)).alias("_gw_cnt"), F.min(_MID).alias("_gw_start"))
-    w = Window.partitionBy(*groups).orderBy(_PID)
-    offsets = per_task.withColumn(
-        "_gw_before",
-        F.coalesce(F.sum("_gw_cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    if group_size:
-        offsets = offsets.withColumn(group_size, F.sum("_gw_cnt").over(Window.partitionBy(*groups)))
-    keep = [_PID, *groups, "_gw_before", "_gw_start"] + ([group_size] if group_size else [])
-    out = tagged.join(offsets.select(*keep), [_PID, *groups], "inner")
-    out = out.withColumn(name, (F.col("_gw_before") + F.col(_MID) - F.col("_gw_start")).cast("long"))
-    return out.drop(_PID, _MID, "_gw_before", "_gw_start")
+def _before(a: Column, b: Column, keys: list[tuple[str, bool]]) -> Column:
+    """Whether key struct ``a`` sorts strictly before ``b``."""
+    out = a["tie"] < b["tie"]
+    for i, (_, down) in reversed(list(enumerate(keys))):
+        x, y = a[f"k{i}"], b[f"k{i}"]
+        nulls = (y.isNull() & x.isNotNull()) if down else (x.isNull() & y.isNotNull())
+        strictly = F.when(x.isNull() | y.isNull(), nulls).otherwise((x > y) if down else (x < y))
+        out = strictly | (x.eqNullSafe(y) & out)
+    return out
+
+
+def sorted_chunks(df: DataFrame, order_by, partition_by=(), n_chunks: int | None = None) -> DataFrame:
+    """Rows shuffled by chunk (``_gw_chunk``), chunks in (partition_by,
+    order_by) order; ``_gw_tie`` (a hash of the row) breaks ties the same way
+    in every reader. A group holding a third of the rows is cut into a third
+    of the chunks."""
+    keys = [(c, False) for c in names_of(partition_by)] + _keys(order_by)
+    n = n_chunks or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hashable = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    tied = df.withColumn(_TIE, F.xxhash64(*[F.col(f"`{c}`") for c in hashable]))
+    key = F.struct(*[F.col(c).alias(f"k{i}") for i, (c, _) in enumerate(keys)], F.col(_TIE).alias("tie"))
+    # a bounded sample, the least rows by hash
+    sample = tied.select(key.alias("r")).orderBy(F.xxhash64(F.col("r.tie"), F.lit(1))).limit(SAMPLED * n)
+    compare = lambda a, b: F.when(_before(a, b, keys), -1).when(_before(b, a, keys), 1).otherwise(0)
+    listed = sample.agg(F.array_sort(F.collect_list("r"), compare).alias("s"))
+    step = max(1, round(n ** 0.5))
+    listed = listed.select(F.when(F.size("s") > 0, F.transform(F.sequence(F.lit(1), F.lit(max(1, n - 1))),
+                                                            lambda i: F.get("s", F.floor(i * F.size("s") / n).cast("int")))).otherwise(F.col("s")).alias("p"))
+    coarse = F.filter("p", lambda x, i: i % step == step - 1)
+    # a column of its own: Spark takes no subquery inside a lambda
+    tied = tied.withColumn(_POINTS, listed.select(F.struct("p", coarse.alias("c")).alias("both")).scalar())
+    points = F.col(_POINTS)
+
+    def passed(borders: Column) -> Column:
+        return F.size(F.filter(borders, lambda p: ~_before(key, p, keys)))
+    first = passed(points["c"])
+    chunk = first * step + passed(F.slice(points["p"], first * step + 1, F.lit(step)))
+    return tied.withColumn(_PID, chunk).drop(_POINTS).repartition(F.col(_PID))
+
+
+def chunk_window(order_by, partition_by):
+    return Window.partitionBy(_PID, *names_of(partition_by)).orderBy(*sort_columns(order_by), _TIE)
+
+
+def group_key(partition_by) -> Column:
+    g = names_of(partition_by)
+    return F.struct(*g) if g else F.struct(F.lit(0).alias("one"))
+
+
+def carried(per_chunk: DataFrame, value: Column, partition_by, make) -> DataFrame:
+    """What earlier chunks pass on. ``per_chunk`` has a row for each (chunk,
+    group); only a chunk's first and last group can reach over its borders, so
+    at most two rows a chunk are looked at. ``make`` turns (column ``v``,
+    window over a group's chunks) into what is passed to the next chunk.
+    Returns _gw_chunk, _gw_group, _gw_carry; at most two rows a chunk."""
+    rows = per_chunk.select(_PID, group_key(partition_by).alias("g"), value.alias("v"))
+    both = F.struct("g", "v")
+    edges = rows.groupBy(_PID).agg(F.min_by(both, "g").alias("a"), F.max_by(both, "g").alias("b"))
+    edges = edges.select(_PID, F.explode(F.when(F.col("a.g") == F.col("b.g"), F.array("a")).otherwise(F.array("a", "b"))).alias("e")).select(_PID, "e.*")
+    return edges.select(_PID, F.col("g").alias("_gw_group"), make(F.col("v"), Window.partitionBy("g").orderBy(_PID)).alias("_gw_carry"))
+
+
+def with_carry(tagged: DataFrame, carry: DataFrame, partition_by) -> DataFrame:
+    """``_gw_carry`` of the row's chunk and group (NULL if nothing reaches it).
+    A chunk's first group alone can be reached, so the join is on the chunk."""
+    first = carry.groupBy(_PID).agg(F.min_by(F.struct("_gw_group", "_gw_carry"), "_gw_group").alias("_gw_e"))
+    out = tagged.join(first, _PID, "left")
+    return out.withColumn("_gw_carry", F.when(F.col("_gw_e._gw_group").eqNullSafe(group_key(partition_by)), F.col("_gw_e._gw_carry"))).drop("_gw_e")
+
+
+def running_total(df: DataFrame, weight: Column, order_by, partition_by=(), name: str = "before", n_chunks: int | None = None) -> DataFrame:
+    """Sum of ``weight`` over the earlier rows of the row's group."""
+    tagged = sorted_chunks(df.withColumn("_gw_w", weight), order_by, partition_by, n_chunks)
+    inside = F.sum("_gw_w").over(chunk_window(order_by, partition_by).rowsBetween(Window.unboundedPreceding, -1))
+    per_chunk = tagged.groupBy(_PID, *names_of(partition_by)).agg(F.sum("_gw_w").alias("_gw_v"))
+    carry = carried(per_chunk, F.col("_gw_v"), partition_by, lambda v, w: F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    out = with_carry(tagged.withColumn("_gw_in", inside), carry, partition_by)
+    zero = F.lit(0)
+    return out.withColumn(name, F.coalesce("_gw_in", zero) + F.coalesce("_gw_carry", zero)).drop(_PID, _TIE, "_gw_w", "_gw_in", "_gw_carry")
+
+
+def ordinal(df: DataFrame, order_by, partition_by=(), name: str = "ordinal", n_chunks: int | None = None) -> DataFrame:
+    """Add the 0-based position of each row inside its ``partition_by`` group
+    under ``order_by``. Rows with a NULL group are a group. Ties in
+    ``order_by`` get distinct, arbitrary positions."""
+    return running_total(df, F.lit(1).cast("long"), order_by, partition_by, name, n_chunks)
 
 
 def position_slice(df: DataFrame, order_by, start: int | None = None, stop: int | None = None,
@@ -91,14 +140,8 @@ def position_slice(df: DataFrame, order_by, start: int | None = None, stop: int
     from the end, bounds past the end clip, an empty range gives no rows."""
     cols = list(columns or df.columns)
     picked = cols[slice(col_start, col_stop)]
-    if start is not None and start >= 0 and stop is not None and 0 <= stop <= TOP_K_LIMIT:
-        # A short slice from the front is a top-k: each task keeps ``stop``
-        # rows, the merge keeps ``stop``; numbering the at most ``stop`` rows
-        # left is a window over a bounded table.
-        head_rows = df.orderBy(*_cols(order_by)).limit(stop)
-        w = Window.orderBy(*_cols(order_by))
-        numbered = head_rows.withColumn("position", (F.row_number().over(w) - 1).cast("long"))
-        return numbered.where(F.col("position") >= start).select("position", *picked)
+    if start is not None and stop is not None and (start < 0) == (stop < 0) and stop <= start:
+        return df.where(F.lit(False)).select(F.lit(0).cast("long").alias("position"), *picked)      # empty by its bounds
     # Negative bounds count from the end: the row count enters as a scalar
     # subquery, so the plan stays lazy.
     n = df.agg(F.count(F.lit(1))).scalar() if any(b is not None and b < 0 for b in (start, stop)) else None
@@ -135,13 +178,12 @@ def label_slice(df: DataFrame, order_by, label_col: str, first_label, last_label
 
 def head(df: DataFrame, order_by, n: int = 5) -> DataFrame:
     """First ``n`` rows under ``order_by`` (a top-k: each task keeps n rows)."""
-    return df.orderBy(*_cols(order_by)).limit(n)
+    return df.orderBy(*sort_columns(order_by)).limit(n)
 
 
 def tail(df: DataFrame, order_by, n: int = 5) -> DataFrame:
     """Last ``n`` rows under ``order_by``, returned in ascending order."""
-    rev = [(F.col(c).desc_nulls_first() if isinstance(c, str) else c) for c in _cols(order_by)]
-    return df.orderBy(*rev).limit(n)
+    return df.orderBy(*sort_columns(reversed_order(order_by))).limit(n).orderBy(*sort_columns(order_by))
 
 
 def nth_largest(df: DataFrame, value: str, n: int, tie_break: Sequence[str] = ()) -> DataFrame:

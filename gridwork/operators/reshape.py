@@ -2,30 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def categories(df: DataFrame, column: str, max_categories: int = 1_000) -> list:
-    """The sorted distinct non-NULL values of ``column``. They become output
-    columns, so their number is checked first (one small aggregate) and the
-    list is fetched only below ``max_categories``."""
-    d = df.where(F.col(column).isNotNull()).select(column).distinct()
-    n = d.count()
-    if n > max_categories:
-        raise ValueError(f"{n} categories exceed max_categories={max_categories}")
-    return [r[0] for r in d.orderBy(column).collect()]
-
-
-def one_hot(df: DataFrame, column: str, prefix: str | None = None, max_categories: int = 1_000,
-            keep: bool = False) -> DataFrame:
-    """``pd.get_dummies(df[column]) + 0``: one 0/1 column per category in
-    sorted order, named ``{prefix}_{value}``; a NULL row is all zeros."""
+def one_hot(df: DataFrame, column: str, categories: Sequence, prefix: str | None = None, keep: bool = False) -> DataFrame:
+    """``pd.get_dummies(df[column]) + 0``: one 0/1 column per category, named
+    ``{prefix}_{value}``; a NULL row is all zeros. The categories are the
+    result's columns, so the caller names them."""
     prefix = prefix or column
-    cats = categories(df, column, max_categories)
     rest = [c for c in df.columns if keep or c != column]
-    return df.select(*rest, *[F.when(F.col(column) == F.lit(v), 1).otherwise(0).alias(f"{prefix}_{v}")
-                              for v in cats])
+    return df.select(*rest, *[F.coalesce(F.col(column) == F.lit(v), F.lit(False)).cast("int").alias(f"{prefix}_{v}") for v in categories])
 
 
 def threshold_flags(series: DataFrame, value: str, threshold, name: str = "above") -> DataFrame:

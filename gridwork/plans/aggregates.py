@@ -15,7 +15,7 @@ from gridwork.operators import order as O
 from gridwork.operators.window import lag_in_group
 from gridwork.plans.registry import register
 from gridwork.plans.sqlkit import avg_dec
-from gridwork.plans.star import basket_lines, money
+from gridwork.plans.star import lines_with_profit, money
 from gridwork.sources import Tables
 
 
@@ -43,19 +43,17 @@ SELECT l_returnflag, quantile_cont(l_extendedprice, 0.5) AS median,
 FROM lineitem GROUP BY l_returnflag""")
 def a7_quantiles_price(spark, sf):
     """``median()`` and ``quantile(0.25/0.75)``, exact with linear
-    interpolation, sort based so no group is buffered whole in one task."""
+    interpolation, from counts of equal values; no group in one task."""
     li = Tables(spark, sf).lineitem
     return AG.exact_quantiles(li, "l_extendedprice", [0.5, 0.25, 0.75], ["l_returnflag"],
-                              names=["median", "q25", "q75"], method="auto")
+                              names=["median", "q25", "q75"])
 
 
 @register("a8_quantile_global", """
 SELECT quantile_cont(o_totalprice, 0.5) AS median, quantile_cont(o_totalprice, 0.9) AS q90 FROM orders""")
 def a8_quantile_global(spark, sf):
-    """Table-wide exact quantiles (no group key): a sketch narrows each
-    quantile to a value window, only the rows inside are sorted."""
-    return AG.exact_quantiles(Tables(spark, sf).orders, "o_totalprice", [0.5, 0.9], names=["median", "q90"],
-                              method="window")
+    """Table-wide exact quantiles (no group key)."""
+    return AG.exact_quantiles(Tables(spark, sf).orders, "o_totalprice", [0.5, 0.9], names=["median", "q90"])
 
 
 @register("a9_argmax_first", """
@@ -124,7 +122,7 @@ def a15_group_sum_mean_median(spark, sf):
     c = Tables(spark, sf).customer
     sums = c.groupBy("c_mktsegment").agg(F.sum(money("c_acctbal")).cast("double").alias("total"),
                                          F.avg(money("c_acctbal")).cast("double").alias("mean"))
-    med = AG.exact_quantiles(c, "c_acctbal", [0.5], ["c_mktsegment"], names=["median"], method="auto")
+    med = AG.exact_quantiles(c, "c_acctbal", [0.5], ["c_mktsegment"], names=["median"])
     return sums.join(med, "c_mktsegment")
 
 
@@ -141,12 +139,12 @@ def a18_conditional_sum(spark, sf):
         F.count_if(r).alias("returned_lines"))
 
 
-@register("a17_group_sum_map")
+@register("a17_group_sum_map", """
+SELECT l_returnflag, CAST(sum(l_quantity) AS DOUBLE) AS value FROM lineitem GROUP BY l_returnflag""")
 def a17_group_sum_map(spark, sf):
-    """``{flag: q[flags == flag].sum() for flag in np.unique(flags)}`` as one
-    MAP value (one aggregate instead of a scan per key; key count checked)."""
-    li = Tables(spark, sf).lineitem
-    return AG.group_to_map(li, "l_returnflag", F.sum("l_quantity"), max_keys=10_000)
+    """``{flag: q[flags == flag].sum() for flag in np.unique(flags)}`` as
+    (key, value) rows (one aggregate instead of a scan per key)."""
+    return AG.group_sums(Tables(spark, sf).lineitem, "l_returnflag", F.sum("l_quantity"))
 
 
 @register("a22_occurrence_count", """
@@ -158,12 +156,12 @@ def a22_occurrence_count(spark, sf):
 
 
 @register("a22_array_count", """
-SELECT l_orderkey, CAST(count_if(l_quantity = 50) AS BIGINT) AS qty_50_in_order FROM lineitem GROUP BY 1""")
+SELECT vec_id, CAST(len(list_filter(embedding, lambda x: floor(256 * CAST(x AS DOUBLE)) = 0)) AS BIGINT) AS zeros FROM embeddings""")
 def a22_array_count(spark, sf):
-    """``lst.count(v)`` on an array column: the quantities of each order."""
-    li = basket_lines(Tables(spark, sf), "l_quantity")
-    per = li.groupBy("l_orderkey").agg(F.collect_list("l_quantity").alias("qs"))
-    return per.select("l_orderkey", AR.count_of("qs", F.lit(50.0)).cast("long").alias("qty_50_in_order"))
+    """``lst.count(v)`` on an array column."""
+    e = Tables(spark, sf).embeddings
+    whole = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")))
+    return e.select("vec_id", AR.count_of(whole, F.lit(0).cast("long")).cast("long").alias("zeros"))
 
 
 @register("a24_letter_count", r"""
@@ -182,14 +180,19 @@ def a24_letter_count(spark, sf):
 # -- W: sort, n-th largest, top-k, lag -------------------------------------
 
 @register("w1_sorted_parts_desc", """
-SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_partkey DESC) AS parts_desc
-FROM lineitem GROUP BY l_orderkey""")
+SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey DESC) - 1 AS position, l_partkey AS part FROM lineitem""")
 def w1_sorted_parts_desc(spark, sf):
-    """``lst.sort(reverse=True)`` on each order's part list."""
-    li = basket_lines(Tables(spark, sf), "l_partkey")
-    per = li.groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("p"))
-    return per.select("l_orderkey", F.array_join(F.sort_array("p", asc=False).cast("array<string>"), ",")
-                      .alias("parts_desc"))
+    """``lst.sort(reverse=True)`` of each order's parts, as rows."""
+    li = Tables(spark, sf).lineitem.select("l_orderkey", F.col("l_partkey").alias("part"))
+    return O.ordinal(li, ["-part"], ["l_orderkey"], name="position").select("l_orderkey", "position", "part")
+
+
+@register("w3_sorted_parts", """
+SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice, p_partkey) - 1 AS position FROM part""")
+def w3_sorted_parts(spark, sf):
+    """``sort_values(by=price)``: every row with its place, ascending."""
+    p = Tables(spark, sf).part.select("p_partkey", "p_retailprice")
+    return O.ordinal(p, ["p_retailprice", "p_partkey"], name="position").select("p_partkey", "position")
 
 
 @register("w2_nth_largest", """
@@ -201,15 +204,12 @@ def w2_nth_largest(spark, sf):
 
 
 @register("w4_reverse_parts", """
-SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber DESC, l_partkey DESC) AS parts_reversed
-FROM lineitem GROUP BY l_orderkey""")
+SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC) - 1 AS position, l_partkey AS part
+FROM lineitem""")
 def w4_reverse_parts(spark, sf):
-    """``lst.reverse()`` of each order's parts in line order."""
-    li = basket_lines(Tables(spark, sf), "l_linenumber", "l_partkey")
-    per = li.groupBy("l_orderkey").agg(
-        F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("p"))
-    return per.select("l_orderkey", F.array_join(F.reverse(F.col("p.l_partkey")).cast("array<string>"), ",")
-                      .alias("parts_reversed"))
+    """``lst.reverse()`` of each order's parts in line order, as rows."""
+    li = Tables(spark, sf).lineitem.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("part"))
+    return O.ordinal(li, ["-l_linenumber", "-part"], ["l_orderkey"], name="position").select("l_orderkey", "position", "part")
 
 
 @register("w5_top_orders", """
@@ -237,7 +237,7 @@ def w2_position_rank(spark, sf):
     """Position of every order in descending value order (a whole-table
     ordinal built from per-task counts, not a single-task window)."""
     o = Tables(spark, sf).orders.select("o_orderkey", "o_totalprice")
-    return O.ordinal(o, [F.col("o_totalprice").desc(), F.col("o_orderkey")], name="position") \
+    return O.ordinal(o, ["-o_totalprice", "o_orderkey"], name="position") \
             .select("o_orderkey", "position")
 
 
@@ -247,7 +247,6 @@ FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand""")
 def a19_pivot_mean_profit_by_brand(spark, sf):
     """``pivot_table(values='Profit', index='Sub-Category', aggfunc=np.mean)``
     with brand as the sub-category."""
-    from gridwork.plans.star import lines_with_profit
     li = lines_with_profit(Tables(spark, sf))
     return li.groupBy("p_brand").agg(F.avg("profit").cast("double").alias("mean_profit"))
 
@@ -262,7 +261,6 @@ def a21_pivot_grand_total_type(spark, sf):
     """``pivot_table(values=['Sales', 'Quantity'], index='Category',
     aggfunc='sum', margins=True, margins_name='Grand Total')``: grouping sets
     (type), () with the total row labelled, no sub-totals."""
-    from gridwork.plans.star import lines_with_profit
     li = lines_with_profit(Tables(spark, sf))
     p = AG.pivot_with_total(li, ["p_type"], {"sales": F.sum("sales"), "quantity": F.sum(money("l_quantity"))})
     return p.select("p_type", F.col("sales").cast("double").alias("sales"),
@@ -277,11 +275,11 @@ SELECT c_custkey, CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN 1 ELSE 0 END AS seg
        CASE WHEN c_mktsegment = 'MACHINERY' THEN 1 ELSE 0 END AS seg_MACHINERY
 FROM customer""")
 def g1_one_hot_segment(spark, sf):
-    """``pd.get_dummies(df['Segment']) + 0``: categories discovered from the
-    data (count checked), one 0/1 column each."""
+    """``pd.get_dummies(df['Segment']) + 0``: categories
+    given (they are the result's columns), one 0/1 column each."""
     from gridwork.operators.reshape import one_hot
     c = Tables(spark, sf).customer.select("c_custkey", "c_mktsegment")
-    return one_hot(c, "c_mktsegment", prefix="seg")
+    return one_hot(c, "c_mktsegment", ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"], prefix="seg")
 
 
 @register("g4_daily_value_threshold", """
@@ -297,3 +295,51 @@ def g4_daily_value_threshold(spark, sf):
     d = ev.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(
         F.sum(money("value")).cast("double").alias("total"))
     return threshold_flags(d, "total", d.agg(F.avg("total")).scalar())
+
+
+_TYPE_BRAND = """l AS (SELECT p_type, p_brand, CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) AS sales,
+       CAST(l_quantity AS DECIMAL(18,2)) * CAST(p_retailprice AS DECIMAL(18,2)) AS cost FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+
+
+@register("a20_sums_by_type_and_brand", f"""
+WITH {_TYPE_BRAND}
+SELECT p_type, p_brand, CAST(sum(sales) AS DOUBLE) AS sales, CAST(sum(sales - cost) AS DOUBLE) AS profit FROM l GROUP BY p_type, p_brand""")
+def a20_sums_by_type_and_brand(spark, sf):
+    """``pivot_table(values=['Sales', 'Profit'], index=['Category',
+    'Sub-Category'], aggfunc='sum')``."""
+    return lines_with_profit(Tables(spark, sf)).groupBy("p_type", "p_brand").agg(
+        F.sum("sales").cast("double").alias("sales"), F.sum("profit").cast("double").alias("profit"))
+
+
+@register("a21_two_keys_grand_total", f"""
+WITH {_TYPE_BRAND}
+SELECT p_type, p_brand, CAST(sum(sales) AS DOUBLE) AS sales FROM l GROUP BY p_type, p_brand
+UNION ALL SELECT 'Grand Total', NULL, CAST(sum(sales) AS DOUBLE) FROM l""")
+def a21_two_keys_grand_total(spark, sf):
+    """``pivot_table(index=['Category', 'Sub-Category'], margins=True)``: two
+    keys and one grand-total row, no sub-totals."""
+    p = AG.pivot_with_total(lines_with_profit(Tables(spark, sf)), ["p_type", "p_brand"], {"sales": F.sum("sales")})
+    return p.select("p_type", "p_brand", F.col("sales").cast("double").alias("sales"))
+
+
+@register("a16_two_key_share", f"""
+WITH {_TYPE_BRAND}, g AS (SELECT p_type, p_brand, sum(sales) AS total FROM l GROUP BY p_type, p_brand)
+SELECT p_type, p_brand, CAST(total AS DOUBLE) AS total, round(CAST(total AS DOUBLE) * 100.0 / (SELECT CAST(sum(total) AS DOUBLE) FROM g), 9) AS share_pct FROM g""")
+def a16_two_key_share(spark, sf):
+    """``groupby(['Category', 'Sub-Category']).sum() / sum() * 100``."""
+    g = AG.group_share(lines_with_profit(Tables(spark, sf)), ["p_type", "p_brand"], "sales")
+    return g.select("p_type", "p_brand", F.col("total").cast("double").alias("total"), F.round("share_pct", 9).alias("share_pct"))
+
+
+@register("n7_null_group_key", """
+WITH e AS (SELECT event_id, ts, value, CASE WHEN event_type <> 'error' THEN event_type END AS kind FROM events),
+w AS (SELECT *, lag(value) OVER (PARTITION BY kind ORDER BY ts, event_id) AS prev FROM e),
+q AS (SELECT kind, quantile_cont(value, 0.5) AS median FROM e GROUP BY kind)
+SELECT event_id, prev, median FROM w JOIN q ON w.kind IS NOT DISTINCT FROM q.kind""")
+def n7_null_group_key(spark, sf):
+    """Lag and median inside groups one of which has a NULL key."""
+    kind = F.when(F.col("event_type") != "error", F.col("event_type"))
+    e = Tables(spark, sf).events.select("event_id", "ts", "value", kind.alias("kind"))
+    med = AG.exact_quantiles(e, "value", [0.5], ["kind"], names=["median"]).withColumnRenamed("kind", "kind_q")
+    lagged = lag_in_group(e, "value", ["ts", "event_id"], ["kind"], name="prev")
+    return lagged.join(med, F.col("kind").eqNullSafe(F.col("kind_q"))).select("event_id", "prev", "median")

@@ -35,15 +35,10 @@ def s3_parquet_scan_pruned(spark, sf):
 SELECT o_orderkey, CAST(unnest(generate_series(1, n)) AS BIGINT) AS slot
 FROM (SELECT l_orderkey AS o_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey)""")
 def s8_line_slots(spark, sf):
-    """``range(1, n + 1)`` per order, one row per slot (sequence + explode)."""
-    from gridwork.plans.star import MAX_BASKET
-    per = Tables(spark, sf).lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")) \
-        .agg(F.count(F.lit(1)).alias("n"))
-    # The sequence is one array per order: an order above the basket bound
-    # fails here, before the array is allocated.
-    slots = F.when(F.col("n") > MAX_BASKET, F.raise_error(F.lit("order exceeds the basket bound"))) \
-             .otherwise(F.sequence(F.lit(1).cast("long"), F.col("n")))
-    return per.select("o_orderkey", F.explode(slots).alias("slot"))
+    """``range(1, n + 1)`` per order, one row per slot: each line's position in
+    its order."""
+    li = Tables(spark, sf).lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber")
+    return O.ordinal(li, ["l_linenumber"], ["o_orderkey"], name="at").select("o_orderkey", (F.col("at") + 1).alias("slot"))
 
 
 @register("s9_labels_constant", """
@@ -56,15 +51,12 @@ def s9_labels_constant(spark, sf):
 
 
 @register("s11_order_part_lists", """
-SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_partkey) AS parts
-FROM lineitem GROUP BY l_orderkey""")
+SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) - 1 AS position, l_partkey AS part FROM lineitem""")
 def s11_order_part_lists(spark, sf):
-    """``.tolist()`` per order: the sorted part keys of each order (a bounded
-    group: the lines of one order)."""
-    from gridwork.plans.star import basket_lines
-    li = basket_lines(Tables(spark, sf), "l_partkey")
-    return li.groupBy("l_orderkey").agg(
-        F.array_join(F.array_sort(F.collect_list("l_partkey")).cast("array<string>"), ",").alias("parts"))
+    """``.tolist()`` per order: its part keys in order, as (order, position,
+    part) rows, so that no order is gathered into one value."""
+    li = Tables(spark, sf).lineitem.select("l_orderkey", F.col("l_partkey").alias("part"))
+    return O.ordinal(li, ["part"], ["l_orderkey"], name="position").select("l_orderkey", "position", "part")
 
 
 # -- M: schema and shape -----------------------------------------------------

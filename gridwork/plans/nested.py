@@ -1,8 +1,8 @@
 """Arrays, maps, nested records and JSON (inventory K) on the driver tables.
 
-Order baskets: the lines of one order as ``array<struct>`` in line order (a
-bounded group: the lines of a single order), accessed and edited with the
-Python list methods of ``functions.arrays``. Events: the JSON ``props`` text
+Lists: each vector's components as whole numbers, an array its row already
+holds, accessed and edited with the Python list methods of
+``functions.arrays``. Events: the JSON ``props`` text
 parsed with a schema, and a per-event MAP edited with ``functions.maps``.
 """
 
@@ -13,22 +13,19 @@ from pyspark.sql import functions as F
 from gridwork.functions import arrays as AR
 from gridwork.functions import maps as MP
 from gridwork.plans.registry import register
-from gridwork.plans.star import basket_lines
 from gridwork.sources import Tables
 
 
-def _baskets(spark, sf):
-    li = basket_lines(Tables(spark, sf), "l_linenumber", "l_partkey", "l_quantity")
-    per = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(
-        F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"),
-                 F.col("l_quantity").alias("q")))).alias("lines"))
-    return per.select("l_orderkey", "lines", F.col("lines.p").alias("parts"))
+def _lists(spark, sf):
+    """Each vector as whole numbers (``parts``) and as nested records with
+    their position (``lines``), both arrays that a row already holds."""
+    e = Tables(spark, sf).embeddings
+    parts = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")))
+    lines = F.transform("parts", lambda p, i: F.struct((i + 1).alias("n"), p.alias("p"), (p * 0.5).alias("q")))
+    return e.select("vec_id", parts.alias("parts")).select("vec_id", "parts", lines.alias("lines"))
 
 
-_BASKETS_SQL = """(SELECT l_orderkey,
-        list_sort(list({'n': l_linenumber, 'p': l_partkey, 'q': l_quantity})) AS lines,
-        list(l_partkey ORDER BY l_linenumber, l_partkey, l_quantity) AS parts
- FROM lineitem GROUP BY l_orderkey)"""
+_LISTS_SQL = """(SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS parts FROM embeddings)"""
 
 
 def _txt(a):
@@ -36,7 +33,7 @@ def _txt(a):
 
 
 @register("k1_list_methods", f"""
-SELECT l_orderkey, CAST(len(parts) AS BIGINT) AS size, parts[-1] AS last_part,
+SELECT vec_id, CAST(len(parts) AS BIGINT) AS size, parts[-1] AS last_part,
        array_to_string(parts[2:3], ',') AS slice_1_3,
        array_to_string(list_append(parts, 0), ',') AS appended,
        array_to_string(list_concat(parts[1:len(parts) - 1], [0], parts[len(parts):len(parts)]), ',') AS inserted,
@@ -46,16 +43,16 @@ SELECT l_orderkey, CAST(len(parts) AS BIGINT) AS size, parts[-1] AS last_part,
        CAST(list_position(parts, list_max(parts)) - 1 AS BIGINT) AS index_of_max,
        array_to_string(list_reverse(parts), ',') AS reversed,
        array_to_string(list_sort(parts), ',') AS sorted
-FROM {_BASKETS_SQL}""")
+FROM {_LISTS_SQL}""")
 def k1_list_methods(spark, sf):
     """``a[-1]``, ``a[1:3]``, ``append``, ``insert(-1, v)`` (before the last
     item), ``pop(2)``, ``remove(a[0])`` (first match only), ``a[0] = v``,
-    ``index``, ``reverse``, ``sort`` on each order's part list."""
-    b = _baskets(spark, sf)
+    ``index``, ``reverse``, ``sort`` on each vector's list."""
+    b = _lists(spark, sf)
     p = F.col("parts")
     zero = F.lit(0).cast("long")
     return b.select(
-        "l_orderkey", F.size(p).cast("long").alias("size"), AR.item(p, -1).alias("last_part"),
+        "vec_id", F.size(p).cast("long").alias("size"), AR.item(p, -1).alias("last_part"),
         _txt(AR.list_slice(p, 1, 3)).alias("slice_1_3"), _txt(F.array_append(p, zero)).alias("appended"),
         _txt(AR.insert_at(p, -1, zero)).alias("inserted"), _txt(AR.pop_at(p, 2)).alias("popped_2"),
         _txt(AR.remove_first(p, AR.item(p, 0))).alias("removed_first"),
@@ -65,14 +62,13 @@ def k1_list_methods(spark, sf):
 
 
 @register("k11_nested_access", f"""
-SELECT l_orderkey, lines[1].p AS first_part, lines[-1].q AS last_quantity,
-       CAST(list_sum([x.q for x in lines]) AS DOUBLE) AS total_quantity
-FROM {_BASKETS_SQL}""")
+SELECT vec_id, parts[1] AS first_part, parts[-1] * 0.5::DOUBLE AS last_quantity, CAST(list_sum(parts) AS DOUBLE) / 2 AS total_quantity
+FROM {_LISTS_SQL}""")
 def k11_nested_access(spark, sf):
     """``order['lines'][0]['p']``, ``order['lines'][-1]['q']`` on nested
     records, and a reduction over a nested field."""
-    b = _baskets(spark, sf)
-    return b.select("l_orderkey", AR.item("lines", 0)["p"].alias("first_part"),
+    b = _lists(spark, sf)
+    return b.select("vec_id", AR.item("lines", 0)["p"].alias("first_part"),
                     AR.item("lines", -1)["q"].alias("last_quantity"),
                     F.aggregate("lines.q", F.lit(0.0), lambda acc, x: acc + x).alias("total_quantity"))
 
@@ -116,8 +112,8 @@ def k12_map_methods(spark, sf):
 
 
 @register("k18_explode_baskets", """
-SELECT l_orderkey, l_linenumber AS n, l_partkey AS p FROM lineitem""")
-def k18_explode_baskets(spark, sf):
+SELECT vec_id, CAST(i AS INTEGER) AS n, parts[i] AS p FROM (SELECT vec_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM """ + _LISTS_SQL + ")")
+def k18_explode_lists(spark, sf):
     """Nested lists back to rows (``explode`` / ``inline``)."""
-    b = _baskets(spark, sf)
-    return b.select("l_orderkey", F.inline("lines")).select("l_orderkey", "n", "p")
+    b = _lists(spark, sf)
+    return b.select("vec_id", F.inline("lines")).select("vec_id", "n", "p")

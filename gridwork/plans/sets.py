@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from gridwork.functions import arrays as AR
 from gridwork.operators import sets as ST
 from gridwork.plans.registry import register
-from gridwork.plans.star import basket_lines
 from gridwork.sources import Tables
 
 _A = "(SELECT DISTINCT o_custkey FROM orders WHERE year(o_orderdate) = 1996)"
@@ -66,47 +65,52 @@ def u10_extend_bag(spark, sf):
     return bag.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("copies"))
 
 
-def _agg(cond):
-    return f"coalesce(string_agg(CAST(l_suppkey AS VARCHAR), ',' ORDER BY l_suppkey) FILTER (WHERE {cond}), '')"
+_XY = """(SELECT vec_id, list_distinct(list_transform(embedding[1:40], lambda v: CAST(floor(256 * CAST(v AS DOUBLE)) AS BIGINT))) AS x,
+  list_distinct(list_transform(embedding[21:64], lambda v: CAST(floor(256 * CAST(v AS DOUBLE)) AS BIGINT))) AS y FROM embeddings)"""
+
+
+def _text(items):
+    return f"array_to_string(list_sort({items}), ',')"
 
 
-# Supplier keys are never negative, so the added -1 sorts first.
 @register("u_array_set_ops", f"""
-WITH s AS (
-  SELECT l_orderkey, l_suppkey, bool_or(l_linenumber <= 3) AS in_x, bool_or(l_linenumber >= 2) AS in_y
-  FROM lineitem GROUP BY l_orderkey, l_suppkey)
-SELECT l_orderkey,
-       {_agg('in_x OR in_y')} AS set_union,
-       {_agg('in_x AND in_y')} AS set_intersection,
-       {_agg('in_x AND NOT in_y')} AS set_difference,
-       {_agg('in_x <> in_y')} AS set_symmetric_difference,
-       bool_and(NOT in_x OR in_y) AS x_subset_of_y,
-       NOT bool_or(in_x AND in_y) AS disjoint,
-       CASE WHEN {_agg('in_x')} = '' THEN '-1' ELSE '-1,' || {_agg('in_x')} END AS x_add,
-       {_agg('in_x AND l_suppkey <> (SELECT min(l_suppkey) FROM lineitem)')} AS x_discard_min
-FROM s GROUP BY l_orderkey""")
+SELECT vec_id, {_text('list_distinct(list_concat(x, y))')} AS set_union,
+       {_text('list_filter(x, lambda v: list_contains(y, v))')} AS set_intersection,
+       {_text('list_filter(x, lambda v: NOT list_contains(y, v))')} AS set_difference,
+       {_text('list_concat(list_filter(x, lambda v: NOT list_contains(y, v)), list_filter(y, lambda v: NOT list_contains(x, v)))')} AS set_symmetric_difference,
+       len(list_filter(x, lambda v: NOT list_contains(y, v))) = 0 AS x_subset_of_y,
+       len(list_filter(x, lambda v: list_contains(y, v))) = 0 AS disjoint,
+       {_text('list_distinct(list_append(x, -1000))')} AS x_add,
+       {_text('list_filter(x, lambda v: v <> 0)')} AS x_discard
+FROM {_XY}""")
 def u_array_set_ops(spark, sf):
-    """Per order, Python set methods on array columns: ``union``,
-    ``intersection``, ``difference``, ``symmetric_difference``, ``issubset``,
-    ``isdisjoint``, ``add(-1)`` and ``discard(min supplier)``."""
-    t = Tables(spark, sf)
-    li = basket_lines(t, "l_linenumber", "l_suppkey")
-    per = li.groupBy("l_orderkey").agg(
-        F.collect_set(F.when(F.col("l_linenumber") <= 3, F.col("l_suppkey"))).alias("x"),
-        F.collect_set(F.when(F.col("l_linenumber") >= 2, F.col("l_suppkey"))).alias("y"))
-    lowest = t.lineitem.agg(F.min("l_suppkey")).scalar()
+    """Python set methods on array columns: ``union``, ``intersection``,
+    ``difference``, ``symmetric_difference``, ``issubset``, ``isdisjoint``,
+    ``add`` and ``discard``, on two overlapping stretches of each vector."""
+    whole = F.transform("embedding", lambda v: F.floor(256 * v.cast("double")))
+    e = Tables(spark, sf).embeddings.select("vec_id", whole.alias("w"))
+    per = e.select("vec_id", F.array_distinct(F.slice("w", 1, 40)).alias("x"), F.array_distinct(F.slice("w", 21, 44)).alias("y"))
 
     def text(a):
         return F.array_join(F.sort_array(a).cast("array<string>"), ",")
 
     x, y = F.col("x"), F.col("y")
     return per.select(
-        "l_orderkey",
+        "vec_id",
         text(F.array_union(x, y)).alias("set_union"),
         text(F.array_intersect(x, y)).alias("set_intersection"),
         text(F.array_except(x, y)).alias("set_difference"),
         text(AR.symmetric_difference(x, y)).alias("set_symmetric_difference"),
         AR.is_subset(x, y).alias("x_subset_of_y"),
         AR.is_disjoint(x, y).alias("disjoint"),
-        text(AR.add_item(x, F.lit(-1).cast("long"))).alias("x_add"),
-        text(F.array_remove(x, lowest)).alias("x_discard_min"))
+        text(AR.add_item(x, F.lit(-1000).cast("long"))).alias("x_add"),
+        text(F.array_remove(x, F.lit(0).cast("long"))).alias("x_discard"))
+
+
+@register("u_order_supplier_flags", """
+SELECT l_orderkey, l_suppkey, bool_or(l_linenumber <= 3) AS in_x, bool_or(l_linenumber >= 2) AS in_y FROM lineitem GROUP BY l_orderkey, l_suppkey""")
+def u_order_supplier_flags(spark, sf):
+    """Two supplier sets of each order as rows with membership flags, so an
+    order of any size is never gathered."""
+    return Tables(spark, sf).lineitem.groupBy("l_orderkey", "l_suppkey").agg(
+        F.bool_or(F.col("l_linenumber") <= 3).alias("in_x"), F.bool_or(F.col("l_linenumber") >= 2).alias("in_y"))

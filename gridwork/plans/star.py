@@ -9,8 +9,7 @@ category = p_type; sub-category = p_brand; segment = c_mktsegment; ship mode
 Money is summed as DECIMAL so totals do not depend on summation order.
 
 Scale notes. lineitem, orders, customer and part grow with the data; nation
-(25 rows) and region (5 rows) are fixed-size and broadcast after a row-count
-check. Measures are aggregated to the join key before each join (per order,
+(25 rows) and region (5 rows) are left to AQE like the others. Measures are aggregated to the join key before each join (per order,
 then per customer), so only pre-aggregated rows cross the big shuffles.
 """
 
@@ -19,7 +18,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridwork.operators.joins import bounded_broadcast
 from gridwork.sources import Tables
 
 MONEY = "decimal(18,2)"
@@ -45,19 +43,13 @@ def cost_expr() -> Column:
     return F.col("l_quantity").cast("decimal(6,2)") * F.col("p_retailprice").cast("decimal(11,2)")
 
 
-def nation_region(t: Tables) -> DataFrame:
-    """nation joined with region: 25 rows, both sides fixed-size and checked."""
-    region = bounded_broadcast(t.region, max_rows=1_000)
+def dims(t: Tables) -> DataFrame:
+    """nation joined with region (25 rows); AQE sees their size."""
     nation = t.nation.select("n_nationkey", "n_name", "n_regionkey")
-    return nation.join(region, nation.n_regionkey == region.r_regionkey).select(
+    return nation.join(t.region, nation.n_regionkey == F.col("r_regionkey")).select(
         "n_nationkey", "n_name", "r_regionkey", "r_name")
 
 
-def dims(t: Tables) -> DataFrame:
-    """``nation_region`` behind a checked broadcast, for joining onto facts."""
-    return bounded_broadcast(nation_region(t), max_rows=1_000)
-
-
 def lines_with_profit(t: Tables, extra_line_cols=()) -> DataFrame:
     """lineitem with exact ``sales``, ``cost`` and ``profit`` per line.
 
@@ -120,14 +112,3 @@ def orders_with_customer(t: Tables, with_profit: bool = True) -> DataFrame:
     """``order_facts`` with the customer's segment, nation and region."""
     of = order_facts(t, with_profit)
     return of.join(customer_dims(t), of.o_custkey == F.col("c_custkey")).drop("c_custkey")
-
-
-# Largest order a basket (the lines of one order as one array) may hold.
-MAX_BASKET = 100_000
-
-
-def basket_lines(t: Tables, *cols: str) -> DataFrame:
-    """lineitem columns for building per-order arrays, guarded so that no
-    order with more than ``MAX_BASKET`` lines is ever collected into one row."""
-    from gridwork.operators.aggregate import guard_group_size
-    return guard_group_size(t.lineitem.select("l_orderkey", *cols), ["l_orderkey"], MAX_BASKET)

@@ -1,10 +1,8 @@
-"""Session construction and the shared checkpoint folder."""
+"""Session construction."""
 
 from __future__ import annotations
 
 import math
-import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -19,8 +17,6 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.ansi.enabled": "true",
-    # Remove checkpoint files (pinned range chunks) once their plans are gone.
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -42,29 +38,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(spark)
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
-
-    On a cluster that setting points at shared storage and is used as is.
-    Only when it is unset (local runs, tests) a fresh folder is created.
-    """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if current:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(current)
-        return current
-    if not sc.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-    path = tempfile.mkdtemp(prefix="gridwork-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(path)
-    return path
-
-
 def scale_conf(input_bytes: int, total_cores: int, partition_bytes: int = 256 << 20) -> dict:
     """Shuffle and scan sizing for a job reading ``input_bytes`` on
     ``total_cores`` executor cores: enough shuffle partitions that each holds

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from gridwork.functions import regex as RX
 from gridwork.functions import text as TX
-from gridwork.session import checkpoint_dir
 
 
 def read_stream(spark: SparkSession, path: str, like: str | None = None,
@@ -39,11 +38,11 @@ def text_profile_stream(docs: DataFrame) -> DataFrame:
         F.length(RX.strip_punct("text")).cast("long").alias("clean_len"))
 
 
-def run_available_now(df: DataFrame, out_path: str, name: str) -> None:
+def run_available_now(df: DataFrame, out_path: str, checkpoint: str) -> None:
     """Process everything available now into parquet at ``out_path`` and stop.
-    The stream's checkpoint is ``{spark.checkpoint.dir}/streams/{name}``."""
-    ckpt = os.path.join(checkpoint_dir(df.sparkSession), "streams", name)
+    The stream keeps its progress in the folder ``checkpoint`` (shared storage
+    on a cluster)."""
     q = (df.writeStream.format("parquet").option("path", out_path)
-           .option("checkpointLocation", ckpt).outputMode("append")
+           .option("checkpointLocation", checkpoint).outputMode("append")
            .trigger(availableNow=True).start())
     q.awaitTermination()

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from gridwork.operators import aggregate as AG
@@ -23,10 +24,9 @@ def _skewed(spark, n=3000, seed=7):
 
 def test_ordinal_hot_key(spark):
     pdf, df = _skewed(spark)
-    got = O.ordinal(df, ["t"], ["k"], name="pos", group_size="n").toPandas().sort_values("t")
+    got = O.ordinal(df, ["t"], ["k"], name="pos").toPandas().sort_values("t")
     exp = pdf.sort_values("t").groupby("k").cumcount()
     assert got["pos"].tolist() == exp.tolist()
-    assert got["n"].tolist() == pdf.sort_values("t").groupby("k")["t"].transform("size").tolist()
 
 
 def test_fill_and_lag_hot_key(spark):
@@ -53,7 +53,7 @@ def test_slices_and_topk(spark):
     got = O.position_slice(df, ["x"], -5, -2).select("x").collect()
     assert [r[0] for r in got] == list(range(100))[-5:-2]
     assert O.position_slice(df, ["x"], 7, 3).count() == 0
-    assert [r[0] for r in O.tail(df, "x", 3).collect()] == [99, 98, 97]
+    assert [r[0] for r in O.tail(df, "x", 3).collect()] == [97, 98, 99]
     assert O.nth_largest(df, "x", 2).first()[0] == 97
     ties = spark.createDataFrame([(1, 5), (2, 5), (3, 4)], "id INT, v INT")
     assert [r.id for r in O.top_k(ties, "v", 2, ["id"]).collect()] == [1, 2]
@@ -100,49 +100,45 @@ def test_narrow_types(spark):
     assert [f.dataType.simpleString() for f in S.narrow(df).schema] == ["tinyint", "smallint", "int", "bigint"]
 
 
-def test_group_size_guard(spark):
-    import pytest
-    from pyspark.errors import PySparkException
-    df = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 0)], "k INT, v INT")
-    ok = AG.guard_group_size(df, ["k"], 50).groupBy("k").agg(F.collect_list("v").alias("l"))
-    assert ok.count() == 2
-    bad = AG.guard_group_size(df, ["k"], 10).groupBy("k").agg(F.collect_list("v").alias("l"))
-    with pytest.raises(PySparkException, match="exceeds 10 rows"):
-        bad.collect()
-
-
-def test_position_slice_paths_agree(spark):
+def test_position_slice_descending(spark):
     df = spark.range(500).select((F.col("id") * 7 % 500).alias("x"), F.col("id").alias("y"))
-    small = O.position_slice(df, [F.col("x").desc()], 10, 20).orderBy("position").collect()
-    O_LIMIT = O.TOP_K_LIMIT
-    try:
-        O.TOP_K_LIMIT = 0
-        big = O.position_slice(df, [F.col("x").desc()], 10, 20).orderBy("position").collect()
-    finally:
-        O.TOP_K_LIMIT = O_LIMIT
-    assert [tuple(r) for r in small] == [tuple(r) for r in big]
-    assert [r.position for r in small] == list(range(10, 20)) and small[0].x == 489
-
-
-def test_quantile_methods_agree(spark):
-    pdf, df = _skewed(spark, n=20000)
-    probs = [0.0, 0.1, 0.5, 0.9, 0.999, 1.0]
-    a = AG.exact_quantiles(df, "v", probs, ["k"], method="sort").toPandas().set_index("k").sort_index()
-    b = AG.exact_quantiles(df, "v", probs, ["k"], method="window", accuracy=200).toPandas().set_index("k").sort_index()
-    assert np.allclose(a.to_numpy(dtype=float), b.to_numpy(dtype=float))
-    g = AG.exact_quantiles(df, "v", [0.5, 0.75], method="window", accuracy=100).first()
-    assert np.allclose([g.q50, g.q75], np.quantile(pdf["v"].dropna().to_numpy(), [0.5, 0.75]))
-
-
-def test_window_quantiles_small_groups_and_ties(spark):
-    rng = np.random.default_rng(11)
-    rows = [(k, float(rng.integers(0, 4))) for k in range(1, 41) for _ in range(k)]
-    df = spark.createDataFrame(rows, "k INT, v DOUBLE")
-    probs = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
-    got = AG.exact_quantiles(df, "v", probs, ["k"], method="window").toPandas().set_index("k").sort_index()
-    pdf = pd.DataFrame(rows, columns=["k", "v"])
-    exp = np.array([np.quantile(g.v.to_numpy(), probs) for _, g in pdf.groupby("k")])
-    assert np.allclose(got.to_numpy(dtype=float), exp)
+    got = O.position_slice(df, ["-x"], 10, 20).orderBy("position").collect()
+    assert [r.position for r in got] == list(range(10, 20)) and got[0].x == 489
+    with pytest.raises(TypeError):
+        O.tail(df, F.col("x"), 3)
+
+
+def test_quantiles_many_groups_ties_null_and_nan(spark):
+    df = spark.range(90000).select((F.col("id") % 30000).alias("k"), (F.col("id") % 7).cast("double").alias("v"))
+    got = AG.exact_quantiles(df, "v", [0.5], ["k"])
+    assert got.count() == 30000
+    rows = [(None, 1.0), (None, float("nan")), (None, None), (None, 4.0), *[(1, 5.0)] * 500, *[(1, float(i)) for i in range(499)]]
+    small = spark.createDataFrame(rows, "k INT, v DOUBLE")
+    out = {r.k: r.q50 for r in AG.exact_quantiles(small, "v", [0.5], ["k"]).collect()}
+    assert out == {None: 2.5, 1: float(np.median([5.0] * 500 + list(range(499))))}
+
+
+def test_null_group_fill_lag_ordinal(spark):
+    df = spark.createDataFrame([(None, i, None if i % 3 else float(i)) for i in range(4000)], "k INT, t INT, v DOUBLE")
+    f = forward_fill(df, ["v"], ["t"], ["k"]).orderBy("t").collect()
+    assert [r.v for r in f] == [float(i - i % 3) for i in range(4000)]
+    p = lag_in_group(df, "t", ["t"], ["k"], name="p").orderBy("t").collect()
+    assert [r.p for r in p] == [None, *range(3999)]
+    assert [r.pos for r in O.ordinal(df, ["t"], ["k"], name="pos").orderBy("t").collect()] == list(range(4000))
+    gaps = spark.createDataFrame([(0, 1.0), (1, float("nan")), (2, None), (3, 4.0)], "t INT, v DOUBLE")
+    assert [r.v for r in forward_fill(gaps, ["v"], ["t"]).orderBy("t").collect()] == [1.0, 1.0, 1.0, 4.0]
+    assert [r.v for r in forward_fill(gaps, ["v"], ["t"], backward=True).orderBy("t").collect()] == [1.0, 4.0, 4.0, 4.0]
+
+
+def test_chunks_are_lazy_spread_and_shuffled_once(spark):
+    df = spark.range(20000).select(F.lit(1).alias("k"), F.col("id").alias("t"))
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup
+    before = len(jobs())
+    out = O.ordinal(df, ["t"], ["k"], name="pos")
+    assert len(jobs()) == before
+    chunks = O.sorted_chunks(df, ["t"], ["k"]).groupBy(O._PID).count().collect()
+    assert len(chunks) >= 16 and max(r["count"] for r in chunks) < 20000 / 8
+    assert [r.pos for r in out.orderBy("t").collect()] == list(range(20000))
 
 
 def test_matrix_reductions_match_numpy(spark):
@@ -177,8 +173,7 @@ def test_empty_inputs(spark):
     from gridwork.operators import reshape as RS
     from gridwork.operators import sets as ST
     e = spark.createDataFrame([], "k INT, t BIGINT, v DOUBLE, s STRING")
-    assert AG.exact_quantiles(e, "v", [0.5], ["k"], method="sort").count() == 0
-    assert AG.exact_quantiles(e, "v", [0.5], ["k"], method="window").count() == 0
+    assert AG.exact_quantiles(e, "v", [0.5], ["k"]).count() == 0
     assert AG.exact_quantiles(e, "v", [0.5]).count() <= 1
     assert O.ordinal(e, ["t"], ["k"]).count() == 0
     assert forward_fill(e, ["v"], ["t"], ["k"]).count() == 0
@@ -189,7 +184,7 @@ def test_empty_inputs(spark):
     assert all(r.null_count == 0 for r in AG.null_counts(e).collect())
     assert NL.fill_mean(e, ["v"]).count() == 0
     assert AG.arg_extreme(e, "v", "s", "t").count() <= 1
-    assert RS.one_hot(e, "s").columns == ["k", "t", "v"]
+    assert RS.one_hot(e, "s", ["a"]).columns == ["k", "t", "v", "s_a"]
     assert ST.relations(e.select("k"), e.select("k")).first().is_subset
     assert O.position_slice(e, ["t"], 0, 5).count() == 0 and O.position_slice(e, ["t"], -3, None).count() == 0
 
