@@ -90,7 +90,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     ``depth`` codes at least, by prefix doubling."""
     n, width = len(text), 4
     padded = np.concatenate([text, np.zeros(width, text.dtype)])
-    key = (padded[:n] << 48) | (padded[1:n + 1] << 32) | (padded[2:n + 2] << 16) | padded[3:n + 3]
+    key = _packed(padded[:n], padded[1:n + 1], padded[2:n + 2], padded[3:n + 3])
     order, rank = np.argsort(key), None
     while width < depth or rank is None:
         if rank is not None:
@@ -106,13 +106,24 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
+def _packed(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    return (a << 48) | (b << 32) | (c << 16) | d
+
+
 def piece_ranges(text: np.ndarray, order: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """For every piece, by binary search, the range of suffixes that begin
     with it (first, one past the last)."""
-    n, pad = len(text), np.concatenate([text, np.zeros(model.longest, text.dtype)])
+    pad = np.concatenate([text, np.zeros(max(4, model.longest), text.dtype)])
+    heads = _packed(pad[order], pad[order + 1], pad[order + 2], pad[order + 3])
+    c = np.pad(model.codes, ((0, 0), (0, 4)))
+    head = _packed(c[:, 0], c[:, 1], c[:, 2], c[:, 3])
+    # the first four characters narrow the range at once; shorter pieces are done
+    begin = np.searchsorted(heads, head, "left")
+    end = np.searchsorted(heads, head + (np.int64(1) << (16 * (4 - np.minimum(model.lengths, 4)))), "left")
+    long = model.lengths > 4
 
     def search(after: bool) -> np.ndarray:
-        lo, hi = np.zeros(len(model.ids), np.int64), np.full(len(model.ids), n, np.int64)
+        lo, hi = np.where(long | (not after), begin, end), np.where(long | after, end, begin)
         while (lo < hi).any():
             on = np.nonzero(lo < hi)[0]
             mid = (lo[on] + hi[on]) // 2
