@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from .common import Memory
 
 MARK = "▁"
+ROWS = 1000               # texts encoded before their ids are handed on
 PART = 3_000_000          # characters of text encoded at a time
-INDEX = 1_500_000         # characters of a suffix array, if no single word is longer
+INDEX = 400_000           # characters of a suffix array, if no single word is longer
 KNOWN = 250_000           # words in a generation of those remembered
 SPAN = 1 << 15            # characters of a word above which it is relaxed on its own
 NONE = np.iinfo(np.int32).max
@@ -65,7 +66,8 @@ class Model:
         self.unk = kinds.index(2)
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(m.pieces) if p.type == 6}
         self.byte_of = {i: b for b, i in self.bytes.items()}
-        self.hidden = {i for i, k in enumerate(kinds) if k == 3}
+        self.is_byte = np.array([k == 6 for k in kinds])
+        self.shown = ["" if k == 3 else " ⁇ " if k == 2 else p.replace(MARK, " ") for p, k in zip(self.pieces, kinds, strict=True)]
         own = [(p.piece, i, p.score) for i, p in enumerate(m.pieces) if p.type == 1]
         if any(re.search(f"[^{MARK}]{MARK}", p) for p, _, _ in own):
             raise ValueError("a piece crosses a space")
@@ -338,21 +340,17 @@ class Codec:
         return np.array(out, np.int32)
 
     def decode(self, ids: Iterable[int]) -> str:
-        """Pieces joined, byte pieces decoded, marks turned into spaces and
-        the space that encoding put first removed."""
-        m, out, raw = self.model, [], bytearray()
-        for i in ids:
-            if (b := m.byte_of.get(i)) is not None:
-                raw.append(b)
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw.clear()
-            if i not in m.hidden:
-                out.append(" ⁇ " if i == m.unk else m.pieces[i])
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out).replace(MARK, " ")
+        """Pieces joined, runs of byte pieces decoded, marks turned into spaces
+        and the space that encoding put first removed."""
+        m = self.model
+        ids = np.asarray(ids, np.int64)
+        raw = m.is_byte[ids]
+        if raw.any():
+            border = np.concatenate([[0], np.flatnonzero(raw[1:] != raw[:-1]) + 1, [len(ids)]])
+            text = "".join(bytes(map(m.byte_of.__getitem__, ids[a:b].tolist())).decode("utf-8", "replace") if raw[a]
+                           else "".join(map(m.shown.__getitem__, ids[a:b].tolist())) for a, b in zip(border[:-1], border[1:], strict=True))
+        else:
+            text = "".join(map(m.shown.__getitem__, ids.tolist()))
         return text[1:] if m.dummy_prefix and text[:1] == " " else text
 
 
@@ -365,12 +363,19 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
+def _parts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The batches in parts of ``ROWS`` rows, so that few results are held at once."""
+    for s in batches:
+        for lo in range(0, len(s), ROWS):
+            yield s.iloc[lo:lo + ROWS]
+
+
 def encode(text: Column, path: str) -> Column:
     """Piece ids (array<int>) of whole texts. Null or empty text: empty array.
     Other columns are not touched."""
     @F.pandas_udf("array<int>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
+        for s in _parts(batches):
             yield pd.Series(list(codec(path).encode(s)), dtype=object)
     return run(text)
 
@@ -379,8 +384,8 @@ def decode(ids: Column, path: str) -> Column:
     """Text of piece ids. Null ids: null."""
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield pd.Series([None if x is None else codec(path).decode(x.tolist()) for x in s], dtype=object)
+        for s in _parts(batches):
+            yield pd.Series([None if x is None else codec(path).decode(x) for x in s], dtype=object)
     return run(ids)
 
 
@@ -389,8 +394,8 @@ def round_trip(text: Column, path: str) -> Column:
     itself decodes to a space; null counts as empty)."""
     @F.pandas_udf("ids array<int>, same boolean")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in batches:
+        for s in _parts(batches):
             c = codec(path)
             ids = list(c.encode(s))
-            yield pd.DataFrame({"ids": ids, "same": [c.decode(i.tolist()) == (t or "").replace(MARK, " ") for i, t in zip(ids, s, strict=True)]})
+            yield pd.DataFrame({"ids": ids, "same": [c.decode(i) == (t or "").replace(MARK, " ") for i, t in zip(ids, s, strict=True)]})
     return run(text)
