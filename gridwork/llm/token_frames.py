@@ -9,12 +9,13 @@ and the table and decompresses only the documents asked for.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,10 +35,18 @@ KNOWN = 320_000          # pieces of text in a generation of those remembered
 PART = 4_000_000         # characters encoded at a time
 
 # White space as the byte-level pre-tokenizer sees it. Its pieces never reach
-# from a non-space into a space, so a run of white space with the non-space
-# characters after it can be encoded on its own.
-SPACE = "\t-\r \x85\xa0  -     　"
-PIECES = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+# from a non-space into a space, nor from a letter into a mark, so a run of
+# white space with the non-space characters after it, or with the letters up to
+# a mark, can be encoded on its own.
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
+PIECES = re.compile(f"[{SPACE}]*+[{LETTER}]++(?=[.,;:!?()\"%$*#&|/])|[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+
+
+@functools.cache
+def _packer(n: int) -> Callable[..., bytes]:
+    """Packs n ids."""
+    return struct.Struct(f"<{n}I").pack
 
 
 class Encoder:
@@ -65,7 +74,7 @@ class Encoder:
         young = self.known.young
         for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
             ids = e.ids
-            young[p] = struct.pack(f"<{len(ids)}I", *ids)
+            young[p] = _packer(len(ids))(*ids)
         for pieces in part:
             yield b"".join(map(young.__getitem__, pieces))
 
@@ -184,7 +193,7 @@ def _reader(folder: str, wanted: frozenset | None, with_ids: bool):
         store, root = pafs.FileSystem.from_uri(folder)
         unpack = zstandard.ZstdDecompressor()
         for pdf in batches:
-            for number, name in zip(pdf.file, pdf.name, strict=True):
+            for file_start, name in zip(pdf.file_start, pdf.name, strict=True):
                 with store.open_input_file(f"{root}/{name}") as f:
                     entries = read_table(f)
                     before = np.concatenate([[0], np.cumsum(entries["n_tokens"], dtype=np.int64)])[:-1]
@@ -192,8 +201,8 @@ def _reader(folder: str, wanted: frozenset | None, with_ids: bool):
                     for lo in range(0, len(pick), 1000):
                         part = pick[lo:lo + 1000]
                         ids = [read_frame(f, entries[i], unpack) for i in part]
-                        out = {"file": number, "doc_id": pd.array([None if entries[i]["null_id"] else int(entries[i]["doc_id"]) for i in part], "Int64"),
-                               "before": before[part], "n_tokens": [len(x) for x in ids], "ids_crc32": [zlib.crc32(x.tobytes()) for x in ids]}
+                        out = {"doc_id": pd.array([None if entries[i]["null_id"] else int(entries[i]["doc_id"]) for i in part], "Int64"),
+                               "start": int(file_start) + before[part], "n_tokens": [len(x) for x in ids], "ids_crc32": [zlib.crc32(x.tobytes()) for x in ids]}
                         if with_ids:
                             out["ids"] = [x.astype(np.int64) for x in ids]
                         yield pd.DataFrame(out)
@@ -206,12 +215,11 @@ def read_tokens(spark: SparkSession, folder: str, doc_ids: Iterable[int] | None
     and, ``with_ids``, the ids. With ``doc_ids`` only those are decompressed."""
     manifest = spark.read.parquet(f"{folder}/manifest")
     n = max(1, manifest.count())
-    starts = manifest.select("file", (F.sum("file_tokens").over(Window.orderBy("file")) - F.col("file_tokens")).alias("file_start"))
-    schema = "file int, doc_id long, before long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
+    # one row a file: where each begins is known before it is opened
+    files = manifest.select("file", "name", (F.sum("file_tokens").over(Window.orderBy("file")) - F.col("file_tokens")).alias("file_start"))
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
     wanted = None if doc_ids is None else frozenset(int(i) for i in doc_ids)
-    docs = manifest.select("file", "name").repartitionById(n, F.col("file")).mapInPandas(_reader(folder, wanted, with_ids), schema)
-    return docs.join(starts, "file").select("doc_id", (F.col("file_start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32",
-                                            *["ids"] * with_ids)
+    return files.repartitionById(n, F.col("file")).mapInPandas(_reader(folder, wanted, with_ids), schema)
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, **options) -> DataFrame:
