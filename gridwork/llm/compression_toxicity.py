@@ -3,8 +3,9 @@
 Two zstandard dictionaries are trained, one on ordinary and one on toxic text.
 A text is cut into overlapping windows; each window is compressed with either
 dictionary. A window that the toxic dictionary shortens more holds wording
-that is common in toxic and rare in ordinary text. The excess of each window
-and a calibrated threshold on it give the document's score.
+that is common in toxic and rare in ordinary text. How much clearer the toxic
+use of a phrase must be for the toxic dictionary, and how much excess counts,
+is calibrated on labelled documents not trained on.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ TOXIC = 2048               # bytes the toxic dictionary has for wording of its o
 LEVEL = 5
 THRESHOLD = 0.3            # score from which a document counts as toxic
 MOST = 10                  # evidence is told apart up to here
+CLEAR = (5.0, 4.0, 3.0, 2.5, 2.0, 1.5, 1.0)  # how clearly toxic a phrase must be, in standard deviations: calibration takes one
 PHRASE = re.compile(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+")     # letters and non-ASCII characters
 
 
@@ -54,21 +56,20 @@ def _dictionary(counts: dict[bytes, float], size: int) -> bytes:
     return b"".join(reversed(out))
 
 
-def train_dictionaries(ordinary: list[bytes], toxic: list[bytes]) -> tuple[bytes, bytes]:
-    """Dictionaries of the phrases most worth storing. Both hold what is
-    common in ordinary text; the toxic one holds besides, in front of it, what documents marked
-    toxic use far more often than ordinary ones do, so that equal wording is
-    stored at equal distances and costs the same with either."""
+def train_dictionaries(ordinary: list[bytes], toxic: list[bytes]) -> tuple[bytes, list[bytes]]:
+    """Dictionaries of the phrases most worth storing: the ordinary one, and
+    toxic ones to choose from, one for each of ``CLEAR`` that adds a phrase.
+    All hold what is common in ordinary text; the toxic ones hold besides, in
+    front of it, what documents marked toxic use more than twice as often as
+    ordinary ones do, so that equal wording is stored at equal distances and
+    costs the same with any."""
     seen = [Counter(w for d in docs for w in set(PHRASE.findall(d)) if 3 <= len(w) <= 40) for docs in (ordinary, toxic)]
     n, m = max(1, len(ordinary)), max(1, len(toxic))
     base = _dictionary({w: c / n for w, c in seen[0].items() if c > 2}, ORDINARY)
-    own = {}
-    for w, c in seen[1].items():
-        usual = (seen[0][w] + 1) / n
-        spread = math.sqrt(c) / m
-        if c >= 3 and c / m - 4 * spread > 6 * usual and len(w) >= 4:
-            own[w] = c / m - usual
-    return base, _dictionary(own, TOXIC) + base
+    usual = {w: m * (seen[0][w] + 1) / n for w in seen[1]}
+    clear = {w: (c - 2 * usual[w]) / math.sqrt(c) for w, c in seen[1].items() if c >= 2 and len(w) >= 4}
+    own = [_dictionary({w: (seen[1][w] - usual[w]) / m for w, x in clear.items() if x >= least}, TOXIC) for least in CLEAR]
+    return base, [o + base for o in dict.fromkeys(own)]
 
 
 class Lengths:
@@ -122,35 +123,39 @@ def evidence(extra: np.ndarray, excess: int) -> int:
     return min(MOST, int(np.maximum(extra - excess + 1, 0).sum()))
 
 
-def fit(ordinary: list[str], toxic: list[str]) -> Model:
-    """Train on half of the documents, calibrate on the other half: the
-    threshold is the one whose chances give the least log loss."""
+def fit(ordinary: list[str], toxic: list[str], weights: tuple[float, float] = (1.0, 1.0)) -> Model:
+    """Train on half of the documents, calibrate on the other half: toxic
+    dictionary and threshold are those whose chances give the least log loss.
+    A document of either class stands for as many as its weight says."""
     x = [normalize(t) for t in ordinary], [normalize(t) for t in toxic]
     base, own = train_dictionaries(x[0][::2], x[1][::2])
-    a, b = Lengths(base), Lengths(own)
-    extra = [[a(p) - b(p) for p in map(windows, docs[1::2])] for docs in x]
-    n = [max(1, len(d)) for d in x]
+    parts = [[windows(d) for d in docs[1::2]] for docs in x]
+    usual = [list(map(Lengths(base), docs)) for docs in parts]
     best = None
-    for excess in range(2, 13):
-        hits = [np.array([evidence(e, excess) for e in docs], np.int64) for docs in extra]
-        count = [np.bincount(h, minlength=MOST + 1).astype(float) for h in hits]
-        chance = _rising(count[1] + 0.2, count[0] + 0.8)
-        loss = -(np.log(chance) * count[1] + np.log(1 - chance) * count[0]).sum() / (n[0] + n[1])
-        if best is None or loss < best[0]:
-            best = (loss, excess, chance)
-    return Model(base, own, best[1], tuple(best[2].tolist()))
+    for toxic_one in own:
+        b = Lengths(toxic_one)
+        extra = [[a - b(p) for a, p in zip(*both, strict=True)] for both in zip(usual, parts, strict=True)]
+        for excess in range(1, 13):
+            hits = [np.array([evidence(e, excess) for e in docs], np.int64) for docs in extra]
+            count = [w * np.bincount(h, minlength=MOST + 1) for w, h in zip(weights, hits, strict=True)]
+            chance = _rising(count[1] + 0.2 * weights[1], count[0] + 0.8 * weights[0])
+            loss = -(np.log(chance) * count[1] + np.log(1 - chance) * count[0]).sum()
+            if best is None or loss < best[0]:
+                best = (loss, toxic_one, excess, chance)
+    return Model(base, best[1], best[2], tuple(best[3].tolist()))
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit on a bounded sample of the labelled rows that are not held out. The
-    sample keeps the classes' shares, so scores are chances among such rows."""
+    """Fit on a sample of the labelled rows that are not held out, bounded for
+    each class. Rows are weighted by what they stand for, so scores are chances
+    among such rows."""
     marks = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_y in (0, 1)").distinct()
     own = (docs.select(F.col(id_col).alias("_id"), F.substring(F.col(text_col), 1, FIT_CHARS).alias("_t")).where(~is_held_out("_id")))
     counts = {r[0]: r[1] for r in marks.where(~is_held_out("_id")).groupBy("_y").count().collect()}
-    share = min(1.0, 2 * FIT / max(1, sum(counts.values())))
-    picked = marks.where(hash01("_id") < share)
+    share = [min(1.0, FIT / max(1, counts.get(y, 0))) for y in (0, 1)]
+    picked = marks.where(hash01("_id") < F.when(F.col("_y") == 1, share[1]).otherwise(share[0]))
     rows = own.join(picked, "_id").select("_id", "_y", "_t").orderBy("_id", "_t").collect()
-    return fit([r._t for r in rows if r._y == 0], [r._t for r in rows if r._y == 1])
+    return fit([r._t for r in rows if r._y == 0], [r._t for r in rows if r._y == 1], (1 / share[0], 1 / share[1]))
 
 
 def toxicity(text: Column, model: Model) -> Column:

@@ -133,6 +133,23 @@ def test_toxicity(spark):
     assert sum(hot) >= 0.9 * len(hot) and sum(cold) <= 0.02 * len(cold) and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_toxicity_with_few_labels(spark):
+    """19 toxic documents to train on: words that only they hold are learned."""
+    bad = re.compile(r"\b(trash|pathetic|idiot|disgusting|worthless|stupid|clown|loser|scum|moron)\b")
+    got = queries.QUERIES["op7_compression_toxicity"](spark, SF_MID)
+    rows = got.join(spark.read.parquet(f"{SF_MID}/documents.parquet").select("doc_id", "text"), "doc_id").where("held_out").collect()
+    hot = [r.predicted for r in rows if bad.search(r.text)]
+    cold = [r.predicted for r in rows if not bad.search(r.text)]
+    assert sum(hot) >= 0.7 * len(hot) and sum(cold) <= 0.02 * len(cold)
+
+
+def test_toxicity_weights():
+    """A class of which one in ten is sampled counts ten times."""
+    ordinary, toxic = ["a quiet day in the garden"] * 40, ["you utter nincompoop"] * 20 + ["a quiet day in the garden"] * 20
+    even, rare = compression_toxicity.fit(ordinary, toxic), compression_toxicity.fit(ordinary, toxic, (10.0, 1.0))
+    assert rare.chance[0] < even.chance[0] / 4 and rare.chance[-1] > 0.5
+
+
 def test_toxicity_edges(spark):
     model = compression_toxicity.fit(["a quiet day in the garden"] * 400, ["you utter nincompoop, nincompoop"] * 200)
     df = spark.createDataFrame([(None,), ("",), ("x" * 300000,), ("a nincompoop",)], "text string")
