@@ -20,24 +20,26 @@ REPORTED = 0.5        # least score of a span
 @dataclass(frozen=True)
 class Kind:
     """What a text must hold to be searched, the pattern, the score of a
-    confirmed match, and the words nearby that raise it."""
+    confirmed match, the words nearby that raise it, and the least length of a
+    match."""
     name: str
     needs: str
     pattern: str
     score: float
     context: str
+    least: int
 
 
 # Runs are taken whole (possessive), and a match begins at the start of a run
 # or where the last match ended, so a text is searched in linear time; the
 # leftmost matches are the same as without.
 KINDS = (
-    Kind("email", "@", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 0.8, r"mail|contact|write|reach"),
-    Kind("ip", ".", r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 0.7, r"\bip\b|host|server|address|login"),
-    Kind("card", "", r"[0-9](?:[\x20-]?+[0-9])++", 0.7, r"card|visa|credit|payment|expires"),
-    Kind("phone", "+", r"\+[0-9][\x20().0-9-]+[0-9]", 0.7, r"call|phone|tel\b|mobile|fax"),
-    Kind("iban", "", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?+[A-Z0-9]){11,30}+(?![A-Za-z0-9])", 0.7, r"iban|bank|account|transfer"),
-    Kind("ssn", "-", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.4, r"\bssn\b|social|security"),
+    Kind("email", "@", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 0.8, r"mail|contact|write|reach", 5),
+    Kind("ip", ".", r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 0.7, r"\bip\b|host|server|address|login", 7),
+    Kind("card", "", r"[0-9](?:[\x20-]?+[0-9])++", 0.7, r"card|visa|credit|payment|expires", 2),
+    Kind("phone", "+", r"\+[0-9][\x20().0-9-]+[0-9]", 0.7, r"call|phone|tel\b|mobile|fax", 4),
+    Kind("iban", "", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?+[A-Z0-9]){11,30}+(?![A-Za-z0-9])", 0.7, r"iban|bank|account|transfer", 15),
+    Kind("ssn", "-", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.4, r"\bssn\b|social|security", 11),
 )
 BASE = ("email", "ip", "card", "phone")
 SPAN = "struct<start:int,kind:int,end:int,score:double>"
@@ -84,7 +86,13 @@ def confirmed(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def score(kind: Kind, before: Column, after: Column) -> Column:
+def score(kind: Kind, m: Column, g: Column, i: Column) -> Column:
+    """Score of match ``i`` by the ``NEAR`` characters of the text on either
+    side of it, put together from neighbouring parts and matches: so many as
+    hold that many characters even if nothing stands between matches."""
+    n = range(-(-NEAR // kind.least))
+    before = F.concat_ws("", *[x for j in reversed(n) for x in (F.get(m, i - j - 1), F.right(F.get(g, i - j), F.lit(NEAR)))])
+    after = F.concat_ws("", *[x for j in n for x in (F.left(F.get(g, i + j + 1), F.lit(NEAR)), F.get(m, i + j + 1))])
     near = F.lower(F.concat(F.right(before, F.lit(NEAR)), F.lit(" "), F.left(after, F.lit(NEAR)))).rlike(kind.context)
     return F.lit(kind.score) + F.when(near, F.lit(0.2)).otherwise(F.lit(0.0))
 
@@ -99,13 +107,13 @@ def _spans(found: str, kind: Kind, number: int) -> Column:
     """Confirmed spans of one kind, from a column of :func:`_matches`."""
     m, g = F.col(f"{found}.m"), F.col(f"{found}.g")
     n = F.size(m)
-    items = F.arrays_zip(F.slice(g, F.lit(1), n).alias("before"), m.alias("match"), F.slice(g, F.lit(2), n).alias("after"))
+    items = F.arrays_zip(F.slice(g, F.lit(1), n).alias("before"), m.alias("match"), F.sequence(F.lit(0), n - 1).alias("i"))
     none = F.expr(f"cast(array() as array<{SPAN}>)")
 
     def step(s: Column, x: Column) -> Column:
         start = s["pos"] + F.length(x["before"])
         end = start + F.length(x["match"])
-        points = score(kind, x["before"], x["after"])
+        points = score(kind, m, g, x["i"])
         span = F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end"), points.alias("score"))
         keep = confirmed(kind.name, x["match"])
         if kind.name not in BASE:
@@ -152,20 +160,21 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def _replaced(text: Column, m: Column, g: Column, kind: Kind) -> Column:
     n = F.size(m)
-    items = F.arrays_zip(F.slice(g, F.lit(1), n).alias("before"), m.alias("match"), F.slice(g, F.lit(2), n).alias("after"))
+    items = F.arrays_zip(F.slice(g, F.lit(1), n).alias("before"), m.alias("match"), F.sequence(F.lit(0), n - 1).alias("i"))
 
     def part(x: Column) -> Column:
         keep = confirmed(kind.name, x["match"])
         if kind.name not in BASE:
-            keep = keep & (score(kind, x["before"], x["after"]) >= REPORTED)
+            keep = keep & (score(kind, m, g, x["i"]) >= REPORTED)
         return F.concat(x["before"], F.when(keep, F.lit(f"<{kind.name.upper()}>")).otherwise(x["match"]))
     return F.when(n > 0, F.concat(F.array_join(F.transform(items, part), ""), F.get(g, n))).otherwise(text)
 
 
 def redacted(docs: DataFrame, text_col: str = "text", chars_col: str | None = None) -> DataFrame:
     """Every confirmed match replaced by its kind in angle brackets, one kind
-    after the other, longer ones first; all rows and columns stay. ``chars_col``
-    gets the new length. Null text stays null."""
+    after the other, longer ones first; all rows and columns stay. Context is
+    read from the text as redacted so far. ``chars_col`` gets the new length.
+    Null text stays null."""
     out, text = docs, F.col(f"`{text_col}`")
     for k in sorted(KINDS, key=lambda k: ("iban", "email", "phone", "card", "ip", "ssn").index(k.name)):
         out = out.withColumn("__found", _matches(text, k))
