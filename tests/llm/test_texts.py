@@ -182,6 +182,17 @@ def test_toxicity_with_few_labels(spark):
     assert sum(hot) >= 0.7 * len(hot) and sum(cold) <= 0.02 * len(cold)
 
 
+def test_toxicity_learns_from_whole_texts(spark):
+    """Wording that begins after 20,000 characters is learned."""
+    calm, late = "a quiet day in the garden " * 800, "you utter nincompoop " * 3
+    made = [(i, calm + late * (i % 3 == 0), int(i % 3 == 0)) for i in range(150)]
+    docs, labels = spark.createDataFrame([m[:2] for m in made], "doc_id long, text string"), spark.createDataFrame([(m[0], m[2]) for m in made], "doc_id long, toxic int")
+    model = compression_toxicity.learn(docs, labels)
+    df = spark.createDataFrame([(calm,), (calm + late,)], "text string")
+    got = [r[0] for r in df.select(compression_toxicity.toxicity(F.col("text"), model)).collect()]
+    assert got[0] < compression_toxicity.THRESHOLD <= got[1]
+
+
 def test_toxicity_weights():
     """A class of which one in ten is sampled counts ten times."""
     ordinary, toxic = ["a quiet day in the garden"] * 40, ["you utter nincompoop"] * 20 + ["a quiet day in the garden"] * 20
