@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    compression_toxicity, gru_language, pii_spans, pivot_permutation, prefix_chat, soft_mixing, sorted_lists, suffix_pieces, superminhash, token_frames,
+    compression_toxicity, gru_language, merge_replay, periodic_runs, pii_spans, pivot_permutation, prefix_chat, soft_mixing, sorted_lists, suffix_pieces,
+    superminhash, target_resampling, token_frames,
 )
 from .common import is_held_out, new_dir, ship, table
 
@@ -139,3 +140,81 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, num=85, den=100)
 
 
+@register("op11_merge_replay")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = merge_replay.round_trip(F.col("text"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", coded.alias("c"))
+    return docs.select("doc_id", F.expr("octet_length(c.ids) div 4").alias("n_tokens"), F.sha2("c.ids", 256).alias("ids_sha256"), F.sha2("c.decoded", 256).alias("decoded_sha256"))
+
+
+# crc32 in SQL: the table of the 256 remainders, then a step a byte.
+CRC_TABLE = """SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))"""
+
+
+def crc_sql(text_bytes: str) -> str:
+    return f"xor(list_reduce([4294967295] || {text_bytes}, lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def periodic_text(words, doc_id) -> F.Column:
+    """``words`` of every tenth document (by h = crc32 of the id) turned
+    periodic from word a on with period p; as one text."""
+    h, n = F.crc32(doc_id.cast("string").cast("binary")), F.size(words).cast("long")
+    g = F.floor(h / 10)
+    a = F.pmod(g, n)
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    tail = F.flatten(F.array_repeat(F.slice(words, (a + 1).cast("int"), p.cast("int")), F.ceil((n - a) / p).cast("int")))
+    return F.when((h % 10 == 0) & (n > 0), F.array_join(F.slice(F.concat(F.slice(words, 1, a.cast("int")), tail), 1, n.cast("int")), " "))
+
+
+@register("op12_suffix_tree_runs", rf"""
+WITH t AS ({CRC_TABLE}),
+o AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS o,
+  {crc_sql("list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))")} AS h FROM documents, t),
+a AS (SELECT doc_id, o, len(o) AS n, h, h // 10 AS g, CASE WHEN len(o) > 0 THEN (h // 10) % len(o) END AS a FROM o),
+b AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+w AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN o[i + 1] ELSE o[a + (i - a) % p + 1] END) ELSE o END AS w FROM b),
+k AS (SELECT doc_id, n, i, w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] AS k FROM (SELECT *, unnest(range(n - 2)) AS i FROM w WHERE n > 2)),
+m AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM k x JOIN k y ON x.doc_id = y.doc_id AND x.k = y.k AND x.i < y.i AND 4 * (y.i - x.i) <= x.n),
+s AS (SELECT doc_id, q, min(i) AS s, count(*) + 2 + q AS l FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS r FROM m) GROUP BY doc_id, q, r),
+r AS (SELECT doc_id, s, l, min(q) AS q FROM s WHERE l >= greatest(6, 4 * q) GROUP BY doc_id, s, l),
+best AS (SELECT doc_id, s, l, q, row_number() OVER (PARTITION BY doc_id ORDER BY l / CAST(q AS DOUBLE) DESC, s, q) AS at FROM r),
+drops AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM r),
+kept AS (SELECT w.doc_id, string_agg(w.w[u.i + 1], ' ' ORDER BY u.i) AS c FROM (SELECT doc_id, unnest(range(n)) AS i FROM w) u
+  JOIN w USING (doc_id) ANTI JOIN drops d ON d.doc_id = u.doc_id AND d.i = u.i GROUP BY w.doc_id),
+digest AS (SELECT doc_id, count(*) AS n_runs, sha256(string_agg(concat(s, ',', l, ',', q, chr(10)), '' ORDER BY s, q)) AS d FROM r GROUP BY doc_id)
+SELECT w.doc_id, CAST(coalesce(g.n_runs, 0) AS BIGINT) AS n_runs, CAST(e.s AS BIGINT) AS start, CAST(e.l AS BIGINT) AS length, CAST(e.q AS BIGINT) AS period,
+  CAST(1000 * e.l // e.q AS BIGINT) AS exponent_milli, coalesce(g.d, sha256('')) AS runs_sha256, sha256(coalesce(c.c, '')) AS collapsed_sha256
+FROM w LEFT JOIN digest g USING (doc_id) LEFT JOIN best e ON e.doc_id = w.doc_id AND e.at = 1 LEFT JOIN kept c ON c.doc_id = w.doc_id""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    periodic = F.coalesce(periodic_text(words, F.col("doc_id")), F.col("text"))
+    found = docs.select("doc_id", periodic_runs.periodic_runs(periodic).alias("f")).select("doc_id", "f.*")
+    better = lambda x, y: (y["length"] * x["period"] > x["length"] * y["period"])
+    best = F.reduce(F.slice("runs", 2, F.greatest(F.size("runs"), F.lit(1))), F.get("runs", F.lit(0)), lambda x, y: F.when(better(x, y), y).otherwise(x))
+    found = found.select("doc_id", "runs", "collapsed", best.alias("best"))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+                        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@register("op13_target_resampling", rf"""
+WITH t AS ({CRC_TABLE}),
+f AS (SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+u AS (SELECT side, id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM f),
+x AS (SELECT w, hex(encode(w)) AS x FROM (SELECT DISTINCT w FROM u)),
+c AS (SELECT w, {crc_sql("list_transform(range(len(x) // 2), lambda i: CAST('0x' || x[2 * i + 1:2 * i + 2] AS BIGINT))")} % 10000 AS b FROM x, t),
+n AS (SELECT b, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM u JOIN c USING (w) GROUP BY b),
+z AS (SELECT CAST(sum(s) AS DOUBLE) + 10000 AS s, CAST(sum(t) AS DOUBLE) + 10000 AS t FROM n),
+g AS (SELECT b, CAST(floor(1000 * ln((n.t + 1.0::DOUBLE) * z.s / ((n.s + 1.0::DOUBLE) * z.t))) AS BIGINT) AS gain FROM n, z),
+d AS (SELECT id AS doc_id, count(*) AS k, CAST(sum(gain) AS BIGINT) AS weight FROM u JOIN c USING (w) JOIN g USING (b) WHERE side = 0 GROUP BY id),
+h AS (SELECT doc_id, CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) AS h FROM documents),
+e AS (SELECT doc_id, coalesce(k, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM h LEFT JOIN d USING (doc_id)),
+p AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM e WHERE n_features >= 20)
+SELECT e.doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score,
+  CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM e LEFT JOIN p USING (doc_id)""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
