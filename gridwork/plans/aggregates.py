@@ -184,7 +184,7 @@ SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey
 def w1_sorted_parts_desc(spark, sf):
     """``lst.sort(reverse=True)`` of each order's parts, as rows."""
     li = Tables(spark, sf).lineitem.select("l_orderkey", F.col("l_partkey").alias("part"))
-    return O.ordinal(li, ["-part"], ["l_orderkey"], name="position").select("l_orderkey", "position", "part")
+    return O.ordinal(li, ["-part"], ["l_orderkey"], name="position", repeated=True).select("l_orderkey", "position", "part")
 
 
 @register("w3_sorted_parts", """

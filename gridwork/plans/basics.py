@@ -56,7 +56,7 @@ def s11_order_part_lists(spark, sf):
     """``.tolist()`` per order: its part keys in order, as (order, position,
     part) rows, so that no order is gathered into one value."""
     li = Tables(spark, sf).lineitem.select("l_orderkey", F.col("l_partkey").alias("part"))
-    return O.ordinal(li, ["part"], ["l_orderkey"], name="position").select("l_orderkey", "position", "part")
+    return O.ordinal(li, ["part"], ["l_orderkey"], name="position", repeated=True).select("l_orderkey", "position", "part")
 
 
 # -- M: schema and shape -----------------------------------------------------

@@ -18,7 +18,7 @@ from gridwork.operators.window import lag_in_group
 from gridwork.plans.registry import register
 from gridwork.plans.sqlkit import CUST_CTE, LINES_CTE, ORDERS_CTE, SALES, avg_dec
 from gridwork.plans.star import (
-    customer_dims, dims, lines_with_profit, money, order_facts, order_places, orders_with_customer, sales_expr,
+    customer_dims, dims, lines_with_profit, money, order_facts, order_places, orders_with_customer, product_line_profit, product_profit, product_totals, sales_expr,
 )
 from gridwork.sources import Tables
 
@@ -275,13 +275,6 @@ def q09_customer_order_value(spark, sf):
         F.avg("quantity").cast("double").alias("avg_order_quantity"), F.sum("n_lines").cast("long").alias("n_lines"))
 
 
-def _part_summary(spark, sf):
-    li = lines_with_profit(Tables(spark, sf))
-    return li.groupBy("l_partkey").agg(
-        F.sum("sales").alias("sales"), F.sum("profit").alias("profit"), F.count(F.lit(1)).alias("n_lines"),
-        F.max("profit").alias("best_line_profit"))
-
-
 _PARTS_SQL = f"""WITH {LINES_CTE}, ps AS (
   SELECT l_partkey, sum(sales) AS sales, sum(profit) AS profit, count(*) AS n_lines,
          max(profit) AS best_line_profit FROM lines GROUP BY l_partkey)"""
@@ -291,7 +284,7 @@ _PARTS_SQL = f"""WITH {LINES_CTE}, ps AS (
 SELECT l_partkey, CAST(sales AS DOUBLE) AS sales FROM ps ORDER BY sales DESC, l_partkey LIMIT 10""")
 def q11_top_products(spark, sf):
     """Best-selling products (top 10 by sales, key tie-break)."""
-    ps = _part_summary(spark, sf).select("l_partkey", "sales")
+    ps = product_totals(Tables(spark, sf)).select("l_partkey", "sales")
     return O.top_k(ps, "sales", 10, ["l_partkey"]).select("l_partkey", _d("sales").alias("sales"))
 
 
@@ -299,7 +292,7 @@ def q11_top_products(spark, sf):
 SELECT l_partkey, CAST(profit AS DOUBLE) AS profit FROM ps ORDER BY profit, l_partkey LIMIT 10""")
 def q13_worst_products(spark, sf):
     """Least profitable products (bottom 10 by profit)."""
-    ps = _part_summary(spark, sf).select("l_partkey", "profit")
+    ps = product_profit(Tables(spark, sf)).select("l_partkey", "profit")
     return O.top_k(ps, "profit", 10, ["l_partkey"], ascending=True).select("l_partkey", _d("profit").alias("profit"))
 
 
@@ -310,7 +303,7 @@ FROM ps""")
 def q12_product_profit_flags(spark, sf):
     """Every product with its totals and two flags: loses in total, and
     loses on every line (Q12, Q50)."""
-    ps = _part_summary(spark, sf)
+    ps = product_line_profit(Tables(spark, sf))
     return ps.select("l_partkey", _d("sales").alias("sales"), _d("profit").alias("profit"), "n_lines",
                      (F.col("profit") < 0).alias("losing"), (F.col("best_line_profit") < 0).alias("always_unprofitable"))
 
@@ -320,7 +313,7 @@ SELECT CAST(floor(CAST(profit AS DOUBLE) / 50000) AS BIGINT) * 50000 AS profit_b
 FROM ps GROUP BY 1""")
 def q14_profit_distribution(spark, sf):
     """How product profit is distributed: products per 50,000-wide bin."""
-    ps = _part_summary(spark, sf)
+    ps = product_profit(Tables(spark, sf))
     b = (F.floor(F.col("profit").cast("double") / 50000).cast("long") * 50000).alias("profit_bin")
     return ps.groupBy(b).agg(F.count(F.lit(1)).alias("n_products"))
 
@@ -497,7 +490,7 @@ SELECT l_partkey, {avg_dec('CAST(l_quantity AS DECIMAL(18,2))', 2)} AS avg_quant
 FROM lines GROUP BY l_partkey""")
 def q33_quantity_per_product(spark, sf):
     """Average and total quantity per product."""
-    li = lines_with_profit(Tables(spark, sf))
+    li = Tables(spark, sf).lineitem.select("l_partkey", "l_quantity").where(F.col("l_partkey").isNotNull())
     return li.groupBy("l_partkey").agg(F.avg(money("l_quantity")).cast("double").alias("avg_quantity"),
                                        F.sum("l_quantity").cast("double").alias("total_quantity"))
 

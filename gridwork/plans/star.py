@@ -64,6 +64,36 @@ def lines_with_profit(t: Tables, extra_line_cols=()) -> DataFrame:
             .withColumn("profit", F.col("sales") - F.col("cost"))
 
 
+def product_totals(t: Tables) -> DataFrame:
+    """One row per product sold: exact ``sales``, ``quantity`` and line count.
+    Lines are summed in each task before the shuffle by product, so a product
+    holding a third of the lines is a row per task there."""
+    li = t.lineitem.select("l_partkey", "l_quantity", "l_extendedprice", "l_discount").where(F.col("l_partkey").isNotNull())
+    return li.groupBy("l_partkey").agg(F.sum(sales_expr()).alias("sales"), F.sum(F.col("l_quantity").cast("decimal(6,2)")).alias("quantity"),
+                                       F.count(F.lit(1)).alias("n_lines"))
+
+
+def product_profit(t: Tables) -> DataFrame:
+    """``product_totals`` with ``profit``: a product's lines cost its retail
+    price times their summed quantity, so part is joined to the totals (which
+    are dealt by product already), not to the lines."""
+    part = t.part.select("p_partkey", F.col("p_retailprice").cast("decimal(11,2)").alias("price"))
+    j = product_totals(t).join(part, F.col("l_partkey") == F.col("p_partkey"))
+    return j.select("l_partkey", "sales", "n_lines", (F.col("sales") - F.col("quantity") * F.col("price")).alias("profit"))
+
+
+def product_line_profit(t: Tables) -> DataFrame:
+    """``product_profit`` with ``best_line_profit``. Lines of one product and
+    quantity cost the same, so the best of them is the one that sold for most:
+    (product, quantity) rows are joined to part, not lines."""
+    li = t.lineitem.select("l_partkey", "l_quantity", "l_extendedprice", "l_discount").where(F.col("l_partkey").isNotNull())
+    by_quantity = li.groupBy("l_partkey", "l_quantity").agg(F.sum(sales_expr()).alias("sales"), F.count(F.lit(1)).alias("n_lines"), F.max(sales_expr()).alias("best"))
+    j = by_quantity.join(t.part.select("p_partkey", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey"))
+    j = j.withColumn("cost", cost_expr())
+    return j.groupBy("l_partkey").agg(F.sum("sales").alias("sales"), F.sum(F.col("sales") - F.col("cost") * F.col("n_lines")).alias("profit"),
+                                      F.sum("n_lines").alias("n_lines"), F.max(F.col("best") - F.col("cost")).alias("best_line_profit"))
+
+
 def customer_region(t: Tables) -> DataFrame:
     """customer with its nation and region names."""
     c = t.customer.select("c_custkey", "c_nationkey", "c_mktsegment")

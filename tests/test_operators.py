@@ -141,6 +141,46 @@ def test_chunks_are_lazy_spread_and_shuffled_once(spark):
     assert [r.pos for r in out.orderBy("t").collect()] == list(range(20000))
 
 
+def test_repeated_rows_spread(spark):
+    """400,000 rows of 10 values: positions are exact and written out by many
+    tasks, none with much more than its share."""
+    df = spark.range(400000).select((F.col("id") % 10).alias("v"), F.lit("x").alias("w"))
+    out = O.ordinal(df, ["-v"], ["w"], name="pos", repeated=True)
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert len(sizes) >= 6 and max(sizes) <= 400000 / 3
+    got = {r.v: (r.lo, r.hi, r.n, r.d) for r in out.groupBy("v").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.count("*").alias("n"), F.countDistinct("pos").alias("d")).collect()}
+    assert got == {v: ((9 - v) * 40000, (9 - v) * 40000 + 39999, 40000, 40000) for v in range(10)}
+    assert O.ordinal(df.where("false"), ["v"], repeated=True).count() == 0
+    few = spark.createDataFrame([(None,), (None,), (1,)], "v INT")
+    assert sorted((r.v or 0, r.ordinal) for r in O.ordinal(few, ["v"], repeated=True).collect()) == [(0, 0), (0, 1), (1, 2)]
+
+
+def test_one_frequent_row_does_not_fill_the_sample(spark):
+    """Half of the rows are one row; the other half still falls into many
+    chunks."""
+    df = spark.range(40000).select(F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id")).alias("t"))
+    chunks = O.sorted_chunks(df, ["t"]).where("t > 0").groupBy(O._PID).count().collect()
+    assert len(chunks) >= 16 and max(r["count"] for r in chunks) < 20000 / 8
+
+
+def test_chunks_follow_every_order(spark):
+    """Each type in both directions, with NULL, NaN, prefixes and negatives,
+    as Spark sorts."""
+    from datetime import date, datetime
+    from decimal import Decimal
+    rows = [(None,) * 6, ("a", float("nan"), True, date(2020, 1, 1), datetime(2020, 1, 1), Decimal("1.5")),
+            ("ab", -0.0, False, date(1969, 1, 1), datetime(1960, 1, 1), Decimal("-1.5")), ("b", 1e300, True, date(2021, 1, 1), datetime(2021, 3, 1), Decimal("0")),
+            ("", float("-inf"), False, date(2000, 1, 1), datetime(2022, 1, 1), Decimal("9")), ("aÿ", 2.0, True, date(1, 1, 1), datetime(2021, 1, 1), Decimal("7"))]
+    df = spark.createDataFrame(rows, "s string, f double, b boolean, d date, t timestamp_ntz, n decimal(5,2)")
+    df = df.withColumn("ts", F.col("t").cast("timestamp")).withColumn("i", F.col("n").cast("int")).withColumn("y", F.col("s").cast("binary"))
+    for c in df.columns:
+        for by in (c, f"-{c}"):
+            got = [str(r[0]) for r in O.ordinal(df, [by, "i"], name="p", n_chunks=16).orderBy("p").select(c).collect()]
+            assert got == [str(r[0]) for r in df.orderBy(*O.sort_columns([by, "i"])).select(c).collect()], by
+    with pytest.raises(TypeError):
+        O.ordinal(df.withColumn("m", F.array("i")), ["-m"])
+
+
 def test_matrix_reductions_match_numpy(spark):
     from gridwork.operators import matrix as MX
     rng = np.random.default_rng(5)
