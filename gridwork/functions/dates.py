@@ -33,3 +33,13 @@ def days_between(later, earlier) -> Column:
 def parse_date(s, fmt: str = "yyyy-MM-dd") -> Column:
     """Text to DATE, NULL on malformed text."""
     return F.try_to_date(_c(s), fmt)
+
+
+def parse_any(s, patterns) -> Column:
+    """Text to DATE by the first of ``patterns`` ((regular expression, format)
+    pairs) whose expression the whole text matches; NULL if none does or if
+    there is no such day."""
+    s, out = _c(s), F.lit(None).cast("date")
+    for shape, fmt in reversed(list(patterns)):
+        out = F.when(s.rlike(f"\\A(?:{shape})\\z"), parse_date(s, fmt)).otherwise(out)
+    return out

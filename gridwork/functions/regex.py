@@ -40,6 +40,15 @@ def count_matches(s, pattern: str) -> Column:
     return F.regexp_count(_c(s), F.lit(pattern))
 
 
+def count_with_empty(s, unit: str) -> Column:
+    """``len(re.findall(f"(?:{unit})?", s))``, and with ``unit`` ending in
+    ``+`` that of ``*``: the non-empty matches, and an empty one at every
+    character that none of them holds and at the end. ``unit`` itself cannot
+    match the empty string."""
+    s = _c(s)
+    return count_matches(s, unit) + F.length(F.regexp_replace(s, unit, "")) + 1
+
+
 def count_chars(s, char_class: str) -> Column:
     """``len(re.findall(char_class, s))`` for a one-character class such as
     ``[aeiou]`` or ``[^\\p{Nd}]``: the text minus every run of the other

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 # Python's whitespace characters as one regex character class
 # (\t \n \v \f \r, the 0x1c-0x1f separators, NEL 0x85 and category Z).
 WS = r"[\t-\r\x1c-\x1f\x85\p{Z}]"
+# The separators of str.splitlines.
+LINE_BREAK = r"\r\n|[\n\x0B\f\r\x1c-\x1e\x85\u2028\u2029]"
 
 
 def _c(x) -> Column:
@@ -39,21 +41,28 @@ def split_ws(s) -> Column:
 
 
 def split_lines(s) -> Column:
-    """``s.splitlines()`` for \\n, \\r\\n and \\r: no trailing empty item."""
-    parts = F.split(_c(s), r"\r\n|\r|\n")
+    """``s.splitlines()``: CR LF is one separator, and only the last item
+    falls away if it is empty."""
+    parts = F.split(_c(s), LINE_BREAK)
     return F.when(F.element_at(parts, -1) == F.lit(""),
                   F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
 def line_count(s) -> Column:
-    """``len(s.splitlines())`` for \\n, \\r\\n and \\r, from the number of
-    line breaks (plus one for a last line without a break), with no array."""
+    """``len(s.splitlines())`` from the number of line breaks (plus one for a
+    last line without a break), with no array."""
     s = _c(s)
-    breaks = F.regexp_count(s, F.lit(r"\r\n|\r|\n"))
-    open_last = (F.length(s) > 0) & ~s.rlike(r"[\r\n]\z")
+    breaks = F.regexp_count(s, F.lit(LINE_BREAK))
+    open_last = (F.length(s) > 0) & ~s.rlike(f"{LINE_BREAK[5:]}\\z")
     return breaks + F.when(open_last, 1).otherwise(0)
 
 
+def count_literal(s, literal: str) -> Column:
+    """``s.count(literal)``: by what the text loses without it."""
+    s = _c(s)
+    return F.floor((F.length(s) - F.length(F.replace(s, F.lit(literal), F.lit("")))) / len(literal))
+
+
 def word_count(s) -> Column:
     """``len(s.split())``: the number of maximal runs of non-whitespace,
     counted without building the list of words."""

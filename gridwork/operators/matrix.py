@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridwork.operators import order
+
 
 def as_double(arr) -> Column:
     a = F.col(arr) if isinstance(arr, str) else arr
@@ -81,3 +83,37 @@ def flat_argmax(df: DataFrame, row_id: str, arr: str, width: int | None = None,
 def elementwise(arr, fn) -> Column:
     """``f(data)`` element by element (``data * 2``, ``data ** 2``, ...)."""
     return F.transform(as_double(arr), fn)
+
+
+def _bound(b: int | None, n: Column, default: Column) -> Column:
+    """A slice bound as a place from 0 to n: negative ones count from the end,
+    all clip."""
+    if b is None:
+        return default
+    return F.greatest(n + b, F.lit(0)) if b < 0 else F.least(F.lit(b), n)
+
+
+def slices_long(df: DataFrame, order_by, arr: str, slices: dict[str, tuple[slice | int, slice | int]]) -> DataFrame:
+    """``data[rows, columns]`` for each named pair, in long form (name, row,
+    col, value) with the places in the whole matrix. A row's place comes from
+    one distributed ordinal under ``order_by``; the columns are cut out of the
+    row before it is taken apart. A pair is of slices (step 1) or single places;
+    bounds beyond the end clip, an empty range gives no rows, a single place
+    beyond the end none either."""
+    n_rows = df.agg(F.count(F.lit(1))).scalar()
+    placed = order.ordinal(df, order_by, name="_gw_row").withColumn("_gw_rows", n_rows)
+    width, rows, wanted = F.size(arr).cast("long"), F.col("_gw_rows"), []
+    for name, pair in slices.items():
+        bounds = []
+        for part, n in zip(pair, (rows, width), strict=True):
+            if not isinstance(part, slice):
+                part = slice(part, part + 1 if part != -1 else None)
+            if part.step not in (None, 1):
+                raise ValueError("steps other than 1 are not supported")
+            bounds += [_bound(part.start, n, F.lit(0).cast("long")).cast("long"), _bound(part.stop, n, n).cast("long")]
+        wanted.append(F.struct(F.lit(name).alias("name"), *[b.alias(k) for b, k in zip(bounds, ("r0", "r1", "c0", "c1"), strict=True)]))
+    held = placed.select("_gw_row", F.col(arr).alias("_gw_e"), F.filter(F.array(*wanted), lambda w: (w["r0"] <= F.col("_gw_row")) & (F.col("_gw_row") < w["r1"])).alias("_gw_w"))
+    each = held.select("_gw_row", "_gw_e", F.inline("_gw_w")).where("c0 < c1")
+    cut = F.slice("_gw_e", (F.col("c0") + 1).cast("int"), (F.col("c1") - F.col("c0")).cast("int"))
+    return each.select("name", F.col("_gw_row").alias("row"), "c0", F.posexplode(cut).alias("at", "value")) \
+               .select("name", "row", (F.col("c0") + F.col("at")).alias("col"), "value")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +19,13 @@ def dtypes(df: DataFrame) -> list[tuple[str, str]]:
     return [(f.name, f.dataType.simpleString()) for f in df.schema.fields]
 
 
+def catalogue(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
+    """``df.columns`` and ``df.dtypes`` of many tables as one table: a row per
+    column with its place, from the schemas alone (no row is read)."""
+    rows = [(name, i, column, kind) for name, df in tables.items() for i, (column, kind) in enumerate(dtypes(df))]
+    return spark.createDataFrame(rows, "table_name string, position int, column_name string, type string")
+
+
 def shape(df: DataFrame) -> DataFrame:
     """``df.shape`` as a one-row table (n_rows, n_cols)."""
     return df.agg(F.count(F.lit(1)).alias("n_rows")).select(

@@ -11,7 +11,7 @@ from gridwork.operators import order as O
 from gridwork.operators import schema as S
 from gridwork.plans.registry import register
 from gridwork.plans.sqlkit import avg_dec
-from gridwork.sources import Tables
+from gridwork.sources import CSV_OPTIONS, TABLE_NAMES, Tables, read_csv, scratch_dir, write_csv
 
 
 def _ts(s: str):
@@ -349,17 +349,45 @@ def c1_if_without_else(spark, sf):
 
 _M10_MAP = ("CASE typeof({c}) WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' "
             "WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(typeof({c})) END")
-_M10_COLS = ["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_shipdate"]
+_M10_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+             "l_returnflag", "l_linestatus", "l_shipdate"]
 
 
 @register("m10_value_types", " UNION ALL ".join(
     f"SELECT DISTINCT '{c}' AS column_name, {_M10_MAP.format(c=c)} AS value_type FROM lineitem" for c in _M10_COLS))
 def m10_value_types(spark, sf):
-    """``type(x)`` of the values of each column (``typeof``), one row per
-    column and type found."""
+    """``type(x)`` of the values of each column (``typeof``): a column's values
+    all have the schema's type, so each is one row, unless the table is empty."""
     li = Tables(spark, sf).lineitem
-    pairs = ", ".join(f"'{c}', typeof(`{c}`)" for c in _M10_COLS)
-    return li.selectExpr(f"stack({len(_M10_COLS)}, {pairs}) as (column_name, value_type)").distinct()
+    kinds = S.catalogue(spark, {"lineitem": li}).select("column_name", F.col("type").alias("value_type"))
+    return kinds.where(li.select(F.lit(1)).limit(1).agg(F.count("*")).scalar() > 0)
+
+
+# DuckDB's names of Spark's types.
+_TYPES_SQL = ("replace(replace(replace(replace(replace(replace(replace(data_type, 'TIMESTAMP', 'timestamp_ntz'), 'BIGINT', 'bigint'), 'INTEGER', 'int'), "
+              "'DOUBLE', 'double'), 'VARCHAR', 'string'), 'FLOAT[]', 'array<float>'), 'BOOLEAN', 'boolean')")
+
+
+@register("m1_catalogue", f"""
+SELECT table_name, CAST(ordinal_position - 1 AS INTEGER) AS position, column_name, {_TYPES_SQL} AS type
+FROM information_schema.columns WHERE table_name IN ({", ".join(f"'{t}'" for t in TABLE_NAMES)})""")
+def m1_catalogue(spark, sf):
+    """``df.columns`` and ``df.dtypes`` of every table, a row per column."""
+    t = Tables(spark, sf)
+    return S.catalogue(spark, {name: getattr(t, name) for name in TABLE_NAMES})
+
+
+@register("s1_csv_round_trip", """
+SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5, text IS NULL AS no_text, CAST(NULL AS VARCHAR) AS corrupt FROM documents""")
+def s1_csv_round_trip(spark, sf):
+    """``to_csv`` and ``read_csv``: ``documents`` with its line breaks, quotes
+    and commas written to the shared folder and read with an explicit schema
+    and a column for records that do not fit."""
+    d = Tables(spark, sf).documents
+    folder = scratch_dir(spark, "csv")
+    write_csv(d, folder)
+    back = read_csv(spark, folder, d.schema, corrupt_column="corrupt", **CSV_OPTIONS)
+    return back.select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"), F.col("text").isNull().alias("no_text"), "corrupt")
 
 
 @register("m5_rename_columns", """

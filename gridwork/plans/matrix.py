@@ -102,3 +102,21 @@ def x8_elementwise(spark, sf):
         F.aggregate(F.transform("e", lambda x: F.floor(x / 0.5)), F.lit(0).cast("long"),
                     lambda acc, x: acc + x).alias("sum_floor_div"),
         F.round(rsum(MX.elementwise("e", F.exp)), 6).alias("sum_exp"))
+
+
+_SLICES = {"rows_0_3_cols_4_5": (slice(0, 3), slice(4, 5)), "row_0": (0, slice(None)), "beyond": (slice(3, 5), slice(60, 100)),
+           "last_two": (slice(-2, None), slice(-3, None)), "empty": (slice(-1, -2), slice(-2, -3)), "column_7": (slice(None), 7)}
+
+
+@register("f14_matrix_slice", f"""
+WITH m AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row, count(*) OVER () AS n, len(e) AS w, e FROM {_E}),
+s AS (SELECT 'rows_0_3_cols_4_5' AS name, row, e, 4 AS c0, 5 AS c1 FROM m WHERE row < 3
+  UNION ALL SELECT 'row_0', row, e, 0, w FROM m WHERE row = 0
+  UNION ALL SELECT 'beyond', row, e, 60, least(w, 100) FROM m WHERE row IN (3, 4)
+  UNION ALL SELECT 'last_two', row, e, greatest(w - 3, 0), w FROM m WHERE row >= n - 2
+  UNION ALL SELECT 'column_7', row, e, 7, 8 FROM m)
+SELECT name, row, CAST(col AS BIGINT) AS col, e[col + 1] AS value FROM (SELECT name, row, e, unnest(range(c0, c1)) AS col FROM s)""")
+def f14_matrix_slice(spark, sf):
+    """``data[0:3, 4:5]``, ``data[0, :]``, a slice beyond the last column, the
+    last rows and columns by negative bounds, an empty one, and a column."""
+    return MX.slices_long(_emb(spark, sf), ["vec_id"], "e", _SLICES)

@@ -86,29 +86,28 @@ def k17_json_parse(spark, sf):
 
 
 @register("k12_map_methods", """
-SELECT event_id, CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) AS VARCHAR) AS got_k,
-       CAST(NULL AS VARCHAR) AS got_missing, 'k,type,user' AS keys,
-       '0' AS put_k, true AS has_k, false AS has_zzz, CAST(4 AS INT) AS size_after_add, CAST(2 AS INT) AS size_after_del,
-       CAST(user_id AS VARCHAR) AS last_wins
-FROM events""")
+WITH e AS (SELECT event_id, event_type AS t, json_extract_string(props, '$.k') AS k, CAST(user_id AS VARCHAR) AS u FROM events)
+SELECT event_id, k AS got_k, CASE WHEN t = 'click' THEN u END AS got_click, array_to_string(list_sort([t, 'k', 'user']), ',') AS keys,
+       CASE WHEN t = 'view' THEN 'new' ELSE CAST(NULL AS VARCHAR) END AS seen_view, t = 'error' AS has_error,
+       CAST(CASE WHEN t = 'view' THEN 3 ELSE 4 END AS INT) AS size_after_put, CAST(CASE WHEN t = 'signup' THEN 2 ELSE 3 END AS INT) AS size_after_del,
+       CASE WHEN t = 'a' THEN t ELSE u END AS last_wins, CASE WHEN t = 'click' THEN k ELSE 'first' END AS click_wins
+FROM e""")
 def k12_map_methods(spark, sf):
-    """``d.get``, ``k in d``, ``d.keys()``, ``d[k] = v`` (overwrite and insert),
-    ``del d[k]``, and ``dict(pairs)`` where a repeated key keeps its last
-    value, on a MAP built per event."""
+    """``d.get``, ``k in d``, ``d.keys()``, ``d[k] = v`` (overwrite in some
+    rows, insert in others), ``del d[k]``, and ``dict(pairs)`` where a repeated
+    key keeps its last value, on a MAP with a key of the row's own."""
     ev = Tables(spark, sf).events
-    k = F.from_json("props", "k BIGINT")["k"].cast("string")
-    m = F.create_map(F.lit("type"), F.col("event_type"), F.lit("k"), k,
-                     F.lit("user"), F.col("user_id").cast("string"))
-    pairs = MP.from_pairs_last_wins(F.array(F.lit("a"), F.lit("b"), F.lit("a")),
-                                    F.array(F.col("event_type"), k, F.col("user_id").cast("string")))
+    k, t, u = F.from_json("props", "k BIGINT")["k"].cast("string"), F.col("event_type"), F.col("user_id").cast("string")
+    m = F.create_map(t, u, F.lit("k"), k, F.lit("user"), u)
+    put = MP.put(m, F.lit("view"), F.lit("new"))
+    pairs = MP.from_pairs_last_wins(F.array(F.lit("a"), F.lit("click"), F.lit("a"), t), F.array(t, F.lit("first"), u, k))
     return ev.select(
-        "event_id", MP.get(m, F.lit("k")).alias("got_k"), MP.get(m, F.lit("zzz")).alias("got_missing"),
+        "event_id", MP.get(m, F.lit("k")).alias("got_k"), MP.get(m, F.lit("click")).alias("got_click"),
         F.array_join(F.array_sort(F.map_keys(m)), ",").alias("keys"),
-        MP.get(MP.put(m, F.lit("k"), F.lit("0")), F.lit("k")).alias("put_k"),
-        F.map_contains_key(m, F.lit("k")).alias("has_k"), F.map_contains_key(m, F.lit("zzz")).alias("has_zzz"),
-        F.size(MP.put(m, F.lit("new"), F.lit("1"))).alias("size_after_add"),
-        F.size(MP.remove(m, F.lit("type"))).alias("size_after_del"),
-        MP.get(pairs, F.lit("a")).alias("last_wins"))
+        F.when(F.map_contains_key(m, F.lit("view")), MP.get(put, F.lit("view"))).alias("seen_view"),
+        F.map_contains_key(m, F.lit("error")).alias("has_error"), F.size(put).alias("size_after_put"),
+        F.size(MP.remove(m, F.lit("signup"))).alias("size_after_del"),
+        MP.get(pairs, F.lit("a")).alias("last_wins"), MP.get(pairs, F.lit("click")).alias("click_wins"))
 
 
 @register("k18_explode_baskets", """

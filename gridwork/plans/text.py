@@ -25,11 +25,17 @@ _WORDS_SQL = f"list_filter(regexp_split_to_array(text, '{_WS_SQL}+'), lambda x:
 _PUNCT_SQL = r"[^\p{L}\p{N}_\t-\r\x1c-\x1f\x85\p{Z}]"
 
 
+_BREAK_SQL = r"(\r\n|[\n\x0B\f\r\x1c-\x1e\x{85}\x{2028}\x{2029}])"
+
+
+def _lines_sql(text: str) -> str:
+    """DuckDB: ``splitlines`` as a list."""
+    parts = f"regexp_split_to_array({text}, '{_BREAK_SQL}')"
+    return f"(CASE WHEN {parts}[-1] = '' THEN {parts}[1:-2] ELSE {parts} END)"
+
+
 @register("t1_text_profile", f"""
-SELECT doc_id, length(text) AS n_chars, len({_WORDS_SQL}) AS n_words,
-       len(CASE WHEN regexp_split_to_array(text, '\\r\\n|\\r|\\n')[-1] = ''
-                THEN regexp_split_to_array(text, '\\r\\n|\\r|\\n')[1:-2]
-                ELSE regexp_split_to_array(text, '\\r\\n|\\r|\\n') END) AS n_lines,
+SELECT doc_id, length(text) AS n_chars, len({_WORDS_SQL}) AS n_words, len({_lines_sql('text')}) AS n_lines,
        len(string_split(text, ',')) AS n_comma_items
 FROM documents""")
 def t1_text_profile(spark, sf):
@@ -42,6 +48,24 @@ def t1_text_profile(spark, sf):
                     F.size(F.split("text", r"\Q,\E")).cast("long").alias("n_comma_items"))
 
 
+# Str.splitlines' ten separators of one character, and CR LF.
+_SEPARATORS = ["\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029", "\r\n"]
+_MIXED_SQL = "replace(text, chr(10), list_value({})[doc_id % 11 + 1])".format(", ".join(" || ".join(f"chr({ord(c)})" for c in s) for s in _SEPARATORS))
+
+
+@register("t8_split_lines", f"""
+SELECT doc_id, CAST(len(l) AS BIGINT) AS n_lines, l[1] AS first_line, md5(array_to_string(l, '|')) AS lines_md5
+FROM (SELECT doc_id, {_lines_sql('t')} AS l FROM (SELECT doc_id, {_MIXED_SQL} AS t FROM documents))""")
+def t8_split_lines(spark, sf):
+    """``s.splitlines()`` where each document has one of the eleven separators
+    in place of its line feeds."""
+    d = Tables(spark, sf).documents
+    separator = F.element_at(F.array(*map(F.lit, _SEPARATORS)), (F.col("doc_id") % 11 + 1).cast("int"))
+    lines = TX.split_lines(F.replace("text", F.lit("\n"), separator))
+    return d.select("doc_id", lines.alias("l")).select(
+        "doc_id", F.size("l").cast("long").alias("n_lines"), F.get("l", F.lit(0)).alias("first_line"), F.md5(F.array_join("l", "|")).alias("lines_md5"))
+
+
 @register("t2_case_names", """
 SELECT c_custkey, upper(c_mktsegment) AS upper_segment, lower(c_name) AS lower_name,
        upper(c_name) = c_name AND lower(c_name) <> c_name AS name_isupper,
@@ -190,18 +214,35 @@ SELECT doc_id, len(regexp_extract_all(text, '[aeiou]')) AS vowels,
 FROM documents""")
 def r1_findall_counts(spark, sf):
     """``len(re.findall(p, s))`` for a character set, an escaped ``$``,
-    ``\\w``, ``.``, ``+``, ``?``, ``{2}`` and an alternation."""
+    ``\\w``, ``.``, ``+``, ``?``, ``{2}`` and an alternation. Literals and sets
+    are counted by what the text loses without them (``es?`` matches once an
+    ``e``; ``the`` and ``and`` cannot overlap), the others by matching."""
     d = Tables(spark, sf).documents
 
     def n(p):
         return RX.count_matches("text", p).cast("long")
 
-    def nc(cls):
-        return RX.count_chars("text", cls).cast("long")
+    def lit(*words):
+        return sum((TX.count_literal("text", w) for w in words[1:]), TX.count_literal("text", words[0])).cast("long")
+
+    vowels = F.length("text") - F.length(F.translate("text", "aeiou", ""))
+    return d.select("doc_id", vowels.cast("long").alias("vowels"), lit("$").alias("dollars"),
+                    RX.count_chars("text", RX.WORD).cast("long").alias("word_chars"), n("th.").alias("th_any"), n("e+").alias("e_runs"),
+                    lit("e").alias("e_opt_s"), lit("ee").alias("ee"), lit("the", "and").alias("the_or_and"))
 
-    return d.select("doc_id", nc("[aeiou]").alias("vowels"), n(r"\$").alias("dollars"),
-                    nc(RX.WORD).alias("word_chars"), n("th.").alias("th_any"), n("e+").alias("e_runs"),
-                    n("es?").alias("e_opt_s"), n("e{2}").alias("ee"), n("the|and").alias("the_or_and"))
+
+@register("r7_star_matches", """
+SELECT doc_id, len(regexp_extract_all(text, 'e+')) + length(regexp_replace(text, 'e+', '', 'g')) + 1 AS e_star,
+       len(regexp_extract_all(text, '(th|an)+')) + length(regexp_replace(text, '(th|an)+', '', 'g')) + 1 AS th_or_an_star,
+       len(regexp_extract_all(text, '\\p{Nd}+')) + length(regexp_replace(text, '\\p{Nd}+', '', 'g')) + 1 AS digit_star,
+       len(regexp_extract_all(text, 's')) + length(regexp_replace(text, 's', '', 'g')) + 1 AS s_opt
+FROM documents""")
+def r7_star_matches(spark, sf):
+    """``len(re.findall(r'e*', s))``, ``(?:th|an)*``, ``\\d*`` and ``s?``, the
+    empty matches between the others included."""
+    d = Tables(spark, sf).documents
+    units = {"e_star": "e+", "th_or_an_star": "(?:th|an)+", "digit_star": RX.DIGIT + "+", "s_opt": "s"}
+    return d.select("doc_id", *[RX.count_with_empty("text", u).cast("long").alias(name) for name, u in units.items()])
 
 
 @register("r2_digits", """

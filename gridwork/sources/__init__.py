@@ -2,11 +2,11 @@
 inline literal tables and seeded random tables."""
 
 from gridwork.sources.tables import (
-    TABLE_NAMES, Tables, read_table, read_csv, inline_table, random_int_table,
-    random_normal_table, normalize_nan,
+    CSV_OPTIONS, TABLE_NAMES, Tables, inline_table, normalize_nan, random_int_table,
+    random_normal_table, read_csv, read_table, scratch_dir, write_csv,
 )
 
 __all__ = [
-    "TABLE_NAMES", "Tables", "read_table", "read_csv", "inline_table",
-    "random_int_table", "random_normal_table", "normalize_nan",
+    "CSV_OPTIONS", "TABLE_NAMES", "Tables", "inline_table", "normalize_nan", "random_int_table",
+    "random_normal_table", "read_csv", "read_table", "scratch_dir", "write_csv",
 ]

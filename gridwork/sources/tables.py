@@ -6,6 +6,8 @@ are left lazy so Catalyst prunes columns and pushes filters into the scan.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,11 +41,43 @@ class Tables:
         raise AttributeError(name)
 
 
+# Both ends agree on these: fields in quotes may hold quotes (doubled), line
+# breaks and outer blanks; NULL and the empty text differ.
+CSV_OPTIONS = {"quote": '"', "escape": '"', "multiLine": "true", "nullValue": "\\N", "emptyValue": "", "quoteAll": "true",
+               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "lineSep": "\n"}
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str,
-             header: bool = True, **options) -> DataFrame:
+             header: bool = True, corrupt_column: str | None = None, **options) -> DataFrame:
     """CSV scan with a given schema (the ``read_csv`` of the lessons, without
-    type inference, which would need an extra pass over the data)."""
-    return spark.read.schema(schema).options(header=str(header).lower(), **options).csv(path)
+    type inference, which would need an extra pass over the data). A record
+    that does not fit the schema has its text in ``corrupt_column`` and NULL in
+    the fields that failed; without such a column it raises an error."""
+    if isinstance(schema, str):
+        schema = T._parse_datatype_string(schema)
+    mode = {"mode": "FAILFAST"}
+    if corrupt_column:
+        schema = T.StructType([*schema.fields, T.StructField(corrupt_column, T.StringType())])
+        mode = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt_column}
+    return spark.read.schema(schema).options(header=str(header).lower(), **{**mode, **options}).csv(path)
+
+
+def write_csv(df: DataFrame, path: str, rows_per_file: int = 100_000) -> None:
+    """``to_csv(path, index=False)``: with a header, readable by ``read_csv``
+    with ``CSV_OPTIONS``. Quoted line breaks make a file a reader's unit of
+    work, so files are kept small."""
+    df.write.options(header="true", maxRecordsPerFile=str(rows_per_file), **CSV_OPTIONS).csv(path)
+
+
+def scratch_dir(spark: SparkSession, tag: str) -> str:
+    """A new folder in the shared one that ``spark.checkpoint.dir`` names. Only
+    a local session without that setting (tests) gets one of its own."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+        root = "file://" + tempfile.mkdtemp(prefix="gridwork-scratch-")
+    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
 def inline_table(spark: SparkSession, rows: Iterable[Sequence], schema: T.StructType | str,
