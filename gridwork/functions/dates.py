@@ -20,11 +20,6 @@ def is_weekend(d) -> Column:
     return F.dayofweek(_c(d)).isin(1, 7)
 
 
-def month_start(ts) -> Column:
-    """First day of the month as a DATE."""
-    return F.trunc(F.to_date(_c(ts)), "month")
-
-
 def days_between(later, earlier) -> Column:
     """Whole days from ``earlier`` to ``later`` (negative when earlier is later)."""
     return F.datediff(F.to_date(_c(later)), F.to_date(_c(earlier)))

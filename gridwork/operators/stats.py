@@ -40,9 +40,8 @@ def anova_f(df: DataFrame, group: str, value: Column | str) -> DataFrame:
     """One-way ANOVA F statistic of ``value`` across the groups of ``group``
     with its two degrees of freedom (one row)."""
     m = moments(df, group, value).where(F.col("n") > 0)
-    # One row per group: the grand mean is a window over those k rows.
-    whole = Window.partitionBy()
-    m = m.withColumn("_g", F.sum(F.col("n") * F.col("mean")).over(whole) / F.sum("n").over(whole))
+    # the grand mean of the groups' rows, as a scalar subquery (their shuffle is reused)
+    m = m.withColumn("_g", m.agg(F.sum(F.col("n") * F.col("mean")) / F.sum("n")).scalar())
     grand = F.col("_g")
     parts = m.agg(
         F.count(F.lit(1)).alias("k"), F.sum("n").alias("N"),
@@ -61,14 +60,13 @@ def chi_square(counts: DataFrame, row: str, col: str, count: str = "n") -> DataF
     count E, so the statistic is the sum over present cells of (O-E)^2/E
     plus N minus the sum of E over present cells.
     """
-    # The counts table has one row per observed cell, bounded by the product
-    # of the two category counts (not by the data), so the margins are windows
-    # over it and the table is computed once.
+    # The counts table has one row per observed cell; the margins are windows
+    # over it by row and by column, the total is a scalar subquery.
     cells = counts.select(
         row, col, F.col(count).alias("_o"),
         F.sum(count).over(Window.partitionBy(row)).alias("_r"),
         F.sum(count).over(Window.partitionBy(col)).alias("_c"),
-        F.sum(count).over(Window.partitionBy()).alias("_t"))
+        counts.agg(F.sum(count)).scalar().alias("_t"))
     cells = cells.withColumn("_e", F.col("_r") * F.col("_c") / F.col("_t"))
     agg = cells.agg(F.sum((F.col("_o") - F.col("_e")) ** 2 / F.col("_e")).alias("_present"),
                     F.sum("_e").alias("_e_present"), F.max("_t").alias("_t"),

@@ -32,5 +32,5 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every module that registers queries."""
     from gridwork.plans import (  # noqa: F401
-        basics, joins, aggregates, nulls, sets, text, nested, matrix, questions, records, tests_stats,
+        basics, joins, aggregates, nulls, sets, text, nested, matrix, questions, records, significance,
     )

@@ -21,16 +21,20 @@ DEFAULT_CONF = {
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app_name: str = "gridwork", extra: dict | None = None) -> SparkSession:
+                app_name: str = "gridwork", extra: dict | None = None,
+                input_bytes: int | None = None, total_cores: int | None = None) -> SparkSession:
     """Build (or reuse) a session with the defaults above.
 
     ``master`` and ``shuffle_partitions`` are only set when given, so on a
-    cluster the submit-time values win.
+    cluster the submit-time values win. With ``input_bytes`` and
+    ``total_cores`` shuffles and scans are sized by :func:`scale_conf`.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
+    if input_bytes and total_cores:
+        conf |= scale_conf(input_bytes, total_cores)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
