@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -96,22 +96,16 @@ class Memory:
     def __init__(self, size: int):
         self.size, self.young, self.old = size, {}, {}
 
-    def recall(self, lists: list[list[str]], make: Callable[[list[str]], Iterable]) -> list[list]:
-        """What is known of each piece of each list. ``make`` gives, in their
-        order, the results of those not known; each is asked for once."""
-        if len(self.young) > self.size:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        found = [list(map(young.get, pieces)) for pieces in lists]
-        gaps = [i for i, got in enumerate(found) if None in got]
-        absent = dict.fromkeys(p for i in gaps for p, got in zip(lists[i], found[i], strict=True) if got is None)
-        for p in absent.keys() & old.keys():
-            young[p] = old[p]
-            del absent[p]
-        young.update(zip(absent, make(list(absent)), strict=True))
-        for i in gaps:
-            found[i] = list(map(young.__getitem__, lists[i]))
-        return found
+    def recall(self, lists: list[list[str]], make: Callable[[list[str]], dict]) -> Iterator[Iterator]:
+        """What belongs to each piece of each list. ``make`` gives what belongs
+        to those not known; each is asked for once."""
+        seen: set[str] = set()
+        for pieces in lists:
+            seen.update(pieces)
+        new = self.missing(seen)
+        self.young.update(make(new))
+        for pieces in lists:
+            yield map(self.young.__getitem__, pieces)
 
     def missing(self, pieces: set) -> list:
         """Those not known; the others are all in the young generation."""

@@ -201,7 +201,7 @@ class Coder:
         yield from self._encode(part)
 
     def _encode(self, part: list[list[str]]) -> Iterator[bytes]:
-        return map(b"".join, self.known.recall(part, lambda new: self.replay([p.encode() for p in new])))
+        return map(b"".join, self.known.recall(part, lambda new: dict(zip(new, self.replay([p.encode() for p in new]), strict=True))))
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes of little-endian unsigned 32-bit ids."""

@@ -9,13 +9,11 @@ and the table and decompresses only the documents asked for.
 
 from __future__ import annotations
 
-import functools
 import os
 import re
-import struct
 import uuid
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,8 +29,9 @@ ENTRY = np.dtype([("doc_id", "<i8"), ("null_id", "<u4"), ("size", "<u4"), ("offs
 FOOTER = np.dtype([("table_offset", "<u8"), ("frames", "<u8"), ("table_crc32", "<u4"), ("version", "<u4"), ("magic", "S8")])
 LEVEL = 3
 CHARS_PER_FILE = 16_000_000
-KNOWN = 320_000          # pieces of text in a generation of those remembered
+KNOWN = 500_000          # pieces of text in a generation of those remembered
 PART = 4_000_000         # characters encoded at a time
+TOGETHER = 4_000         # pieces handed to the library as one text
 
 # White space as the byte-level pre-tokenizer sees it. Its pieces never reach
 # from a non-space into a space, nor from a letter into a mark, so a run of
@@ -40,13 +39,8 @@ PART = 4_000_000         # characters encoded at a time
 # a mark, can be encoded on its own.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
-PIECES = re.compile(f"[{SPACE}]*+[{LETTER}]++(?=[.,;:!?()\"%$*#&|/])|[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-
-
-@functools.cache
-def _packer(n: int) -> Callable[..., bytes]:
-    """Packs n ids."""
-    return struct.Struct(f"<{n}I").pack
+SPACES = frozenset(filter(re.compile(f"[{SPACE}]").match, map(chr, range(0x3001))))
+PIECES = re.compile(f"[{SPACE}]*+(?:[{LETTER}]++(?:(?=[.,;:!?()\"%$*#&|/])|[^{SPACE}]*+)|[^{SPACE}]++)|[{SPACE}]++")
 
 
 class Encoder:
@@ -58,6 +52,10 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.known = Memory(KNOWN)
+        # bytes of text that each token stands for: the vocabulary writes a byte as one character
+        self.size = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.size[i] = len(token)
 
     def __call__(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         part, held = [], 0
@@ -65,18 +63,31 @@ class Encoder:
             part.append(PIECES.findall(t) if t else [])
             held += len(t or "")
             if held >= PART:
-                yield from self._encode(part)
+                yield from map(b"".join, self.known.recall(part, self._encode))
                 part, held = [], 0
-        yield from self._encode(part)
-
-    def _encode(self, part: list[list[str]]) -> Iterator[bytes]:
-        new = self.known.missing(set().union(*part))
-        young = self.known.young
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            ids = e.ids
-            young[p] = _packer(len(ids))(*ids)
-        for pieces in part:
-            yield b"".join(map(young.__getitem__, pieces))
+        yield from map(b"".join, self.known.recall(part, self._encode))
+
+    def _encode(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of each piece. A piece that begins with a space and ends
+        without one is a piece of any text that it stands in after another
+        such, so they are encoded as one text; their bytes say where one's
+        tokens end. The others are encoded one by one."""
+        out: dict[str, bytes] = {}
+        whole = [p for p in new if p[0] == " " and p[-1] not in SPACES]
+        rest = [p for p in new if p[0] != " " or p[-1] in SPACES]
+        for lo in range(0, len(whole), TOGETHER):
+            part = whole[lo:lo + TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            upto = np.cumsum(self.size[ids])
+            ends = np.cumsum(list(map(len, map(str.encode, part))))
+            cuts = np.searchsorted(upto, ends, side="right")
+            if not np.array_equal(upto[cuts - 1], ends):
+                raise ValueError("tokens do not end where pieces do")
+            raw, cuts = ids.tobytes(), (4 * cuts).tolist()
+            out.update(zip(part, map(raw.__getitem__, map(slice, [0, *cuts], cuts)), strict=True))
+        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            out[p] = np.array(e.ids, "<u4").tobytes()
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}       # of this worker process
