@@ -23,7 +23,6 @@ from .common import hash01, is_held_out
 SPAN = 64             # bytes of a window
 HIDDEN = 8            # units of each direction
 FIT = 400             # documents of each language to learn from, about
-FIT_CHARS = 640       # characters of each: a stretch at a place that depends on the id
 STEPS, BATCH, RATE = 260, 128, 0.03
 TOGETHER = 4096       # windows that run in step
 UNDETERMINED = "und"
@@ -144,6 +143,44 @@ def _states(data: np.ndarray, length: np.ndarray, table: np.ndarray, gates: np.n
     return held
 
 
+def loss_and_gradients(w: list[np.ndarray], data: np.ndarray, length: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """Mean cross entropy over all positions of the windows, and its gradient
+    in each weight by backpropagation through time."""
+    n, h, k = data.shape[1], w[2].shape[1], w[4].size
+    runs = [_run(data, length, w[0][d], w[1][d], w[2][d], d) for d in (0, 1)]
+    both = np.concatenate([runs[0][0], runs[1][0]], axis=2)
+    logits = both @ w[3] + w[4]
+    p = np.exp(logits - logits.max(axis=2, keepdims=True))
+    p /= p.sum(axis=2, keepdims=True)
+    there = ((np.arange(SPAN)[:, None] < length[None, :]) / max(1, length.sum()))
+    loss = -float((np.log(p[:, np.arange(n), y]) * there).sum())
+    p[:, np.arange(n), y] -= 1
+    p *= there[:, :, None]
+    grad = [np.zeros_like(x) for x in w]
+    grad[3] = both.reshape(-1, 2 * h).T @ p.reshape(-1, k)
+    grad[4] = p.sum(axis=(0, 1))
+    up = p @ w[3].T
+    for d in (0, 1):
+        held, kept = runs[d]
+        ds = np.zeros((n, h), np.float32)
+        order = range(SPAN) if d else range(SPAN - 1, -1, -1)
+        for t in order:
+            before = t + 1 if d else t - 1
+            s = held[before] if 0 <= before < SPAN else np.zeros((n, h), np.float32)
+            z, r, c = kept[t, :, :h], kept[t, :, h:2 * h], kept[t, :, 2 * h:]
+            ds = (ds + up[t, :, d * h:(d + 1) * h]) * (t < length)[:, None]
+            dc = ds * z * (1 - c * c)
+            dz = ds * (c - s) * z * (1 - z)
+            drs = dc @ w[2][d].T
+            dr = drs * s * r * (1 - r)
+            dg = np.concatenate([dz, dr], axis=1)
+            grad[2][d] += (r * s).T @ dc
+            grad[1][d] += s.T @ dg
+            np.add.at(grad[0][d], data[t], np.concatenate([dg, dc], axis=1))
+            ds = ds * (1 - z) + drs * r + dg @ w[1][d].T
+    return loss, grad
+
+
 def train(texts: list[bytes], marks: list[str], seed: int = 7) -> Model:
     """Cross entropy at every position, Adam, gradients by backpropagation
     through time. Languages weigh alike however many documents they have."""
@@ -166,35 +203,7 @@ def train(texts: list[bytes], marks: list[str], seed: int = 7) -> Model:
         at = [rng.integers(0, pool[i][0].shape[1]) for i in y]
         data = np.stack([pool[i][0][:, a] for i, a in zip(y, at, strict=True)], axis=1)
         length = np.array([pool[i][1][a] for i, a in zip(y, at, strict=True)])
-        runs = [_run(data, length, w[0][d], w[1][d], w[2][d], d) for d in (0, 1)]
-        both = np.concatenate([runs[0][0], runs[1][0]], axis=2)
-        logits = both @ w[3] + w[4]
-        p = np.exp(logits - logits.max(axis=2, keepdims=True))
-        p /= p.sum(axis=2, keepdims=True)
-        p[:, np.arange(BATCH), y] -= 1
-        p *= ((np.arange(SPAN)[:, None] < length[None, :]) / max(1, length.sum()))[:, :, None]
-        grad = [np.zeros_like(x) for x in w]
-        grad[3] = both.reshape(-1, 2 * h).T @ p.reshape(-1, k)
-        grad[4] = p.sum(axis=(0, 1))
-        up = p @ w[3].T
-        for d in (0, 1):
-            held, kept = runs[d]
-            ds = np.zeros((BATCH, h), np.float32)
-            order = range(SPAN) if d else range(SPAN - 1, -1, -1)
-            for t in order:
-                before = t + 1 if d else t - 1
-                s = held[before] if 0 <= before < SPAN else np.zeros((BATCH, h), np.float32)
-                z, r, c = kept[t, :, :h], kept[t, :, h:2 * h], kept[t, :, 2 * h:]
-                ds = (ds + up[t, :, d * h:(d + 1) * h]) * (t < length)[:, None]
-                dc = ds * z * (1 - c * c)
-                dz = ds * (c - s) * z * (1 - z)
-                drs = dc @ w[2][d].T
-                dr = drs * s * r * (1 - r)
-                dg = np.concatenate([dz, dr], axis=1)
-                grad[2][d] += (r * s).T @ dc
-                grad[1][d] += s.T @ dg
-                np.add.at(grad[0][d], data[t], np.concatenate([dg, dc], axis=1))
-                ds = ds * (1 - z) + drs * r + dg @ w[1][d].T
+        _, grad = loss_and_gradients(w, data, length, y)
         size = np.sqrt(sum(float((g * g).sum()) for g in grad))
         rate = RATE * (1 - 0.9 * step / STEPS)
         for x, g, m, v in zip(w, grad, first, second, strict=True):
@@ -206,19 +215,23 @@ def train(texts: list[bytes], marks: list[str], seed: int = 7) -> Model:
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Train on a bounded sample (about ``FIT`` documents of each language, a
-    stretch of ``FIT_CHARS`` characters of each) of the documents that are not
-    held out and have a language and text. Only text and language are learned
-    from; the id decides which documents are in the sample."""
+    """Train on the whole texts of a bounded sample (about ``FIT`` documents of
+    each language) of the documents that are not held out and have a language
+    and text. Only text and language are learned from; the id decides which
+    documents are in the sample.
+
+    Documents with a null id are held out. Repeated rows are learned from as
+    often as they are there; documents that differ in nothing but the language
+    are learned under each. Other columns are not read. Nothing to learn from
+    (an empty table, too): a model of no language, which finds ``und``
+    everywhere. Languages that score alike: the first by name."""
     own = docs.where(F.col(lang_col).isNotNull() & ~is_held_out(id_col) & (F.length(text_col) > 0))
     counts = {r[0]: r[1] for r in own.groupBy(F.col(lang_col).alias("l")).count().collect()}
     if not counts:
         return train([], [])
     share = F.element_at(F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, FIT / n))]), F.col(lang_col))
-    span = F.greatest(F.length(text_col) - FIT_CHARS, F.lit(0))
-    begin = (hash01("_id", "_salt") * span).cast("int") + 1
-    rows = (own.select(F.col(id_col).alias("_id"), F.lit(1).alias("_salt"), F.col(lang_col), F.col(text_col)).where(hash01("_id") < share)
-            .select("_id", F.col(lang_col).alias("_l"), F.substring(F.col(text_col), begin, F.lit(FIT_CHARS)).alias("_t")).orderBy("_id", "_t").collect())
+    rows = own.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_l"), F.col(text_col).alias("_t"), share.alias("_s"))
+    rows = rows.where(hash01("_id") < F.col("_s")).orderBy("_id", "_t", "_l").collect()
     return train([r._t.encode("utf-8", "surrogatepass") for r in rows], [r._l for r in rows])
 
 

@@ -1,6 +1,7 @@
 """Personal data, chat formatting, language, toxicity and mixing against plain versions."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -156,6 +157,57 @@ def test_language_edges(spark):
     assert df.select(gru_language.predict(F.col("text"), empty).alias("p")).where("p.lang_pred <> 'und'").count() == 0
 
 
+def _plain_probabilities(model, window):
+    """The network position by position, unit by unit, as its equations say."""
+    def sigmoid(x):
+        return 1 / (1 + math.exp(-x))
+    h, states = gru_language.HIDDEN, []
+    for d in (0, 1):
+        table, gates, state = model.table[d].tolist(), model.gates[d].tolist(), model.state[d].tolist()
+        s, row = [0.0] * h, {}
+        for t in (range(len(window)) if not d else reversed(range(len(window)))):
+            x = table[window[t]]
+            z = [sigmoid(x[i] + sum(s[j] * gates[j][i] for j in range(h))) for i in range(h)]
+            r = [sigmoid(x[h + i] + sum(s[j] * gates[j][h + i] for j in range(h))) for i in range(h)]
+            c = [math.tanh(x[2 * h + i] + sum(r[j] * s[j] * state[j][i] for j in range(h))) for i in range(h)]
+            s = [s[i] + z[i] * (c[i] - s[i]) for i in range(h)]
+            row[t] = s
+        states.append(row)
+    out = []
+    for t in range(len(window)):
+        both = states[0][t] + states[1][t]
+        e = [math.exp(model.bias[k] + sum(both[j] * model.out[j][k] for j in range(2 * h))) for k in range(len(model.languages))]
+        out.append([x / sum(e) for x in e])
+    return out
+
+
+def test_gru_forward_equals_plain_pass():
+    model = gru_language.train([b"the and of that " * 20, b"der die und nicht " * 20, "les des à été ".encode() * 20], ["en", "de", "fr"])
+    rng = np.random.default_rng(5)
+    for n in (1, 5, 63, 64, 65, 200):
+        text = bytes(rng.integers(0, 256, n).astype(np.uint8))
+        rows = [p for i in range(0, n, gru_language.SPAN) for p in _plain_probabilities(model, text[i:i + gru_language.SPAN])]
+        assert np.abs(model.pooled([text])[0] - np.mean(rows, axis=0)).max() < 1e-4
+
+
+def test_gru_gradients_equal_differences():
+    rng = np.random.default_rng(6)
+    h, k, n = gru_language.HIDDEN, 3, 4
+    w = [(0.5 * rng.standard_normal(shape)).astype(np.float32) for shape in ((2, 256, 3 * h), (2, h, 2 * h), (2, h, h), (2 * h, k), (k,))]
+    length = np.array([64, 7, 64, 30])
+    data = (rng.integers(0, 4, (gru_language.SPAN, n)) * (np.arange(gru_language.SPAN)[:, None] < length)).astype(np.uint8)
+    y = np.array([0, 1, 2, 1])
+    _, grad = gru_language.loss_and_gradients(w, data, length, y)
+    for x, g in zip(w, grad, strict=True):
+        for at in [np.unravel_index(i, x.shape) for i in np.argsort(-np.abs(g).reshape(-1))[:6]]:
+            kept, ends = x[at], []
+            for move in (0.02, -0.02):
+                x[at] = kept + np.float32(move)
+                ends.append(gru_language.loss_and_gradients(w, data, length, y)[0])
+            x[at] = kept
+            assert abs((ends[0] - ends[1]) / 0.04 - g[at]) < 0.03 * abs(g[at]) + 2e-4
+
+
 def test_gru_gradient_learns_order():
     """Windows whose label depends on what came before and after a byte."""
     model = gru_language.train([b"ab" * 100, b"ba" * 100, b"aabb" * 60], ["x", "x", "y"])
@@ -241,6 +293,72 @@ def test_rates_meet_targets_and_plain_version(spark):
         assert np.mean([p[j, i] for j, r in enumerate(rows) if dict(made)[r.doc_id] == domain]) > mean
 
 
+def test_word_weights_and_calibration_equal_plain_ones():
+    """Weights from counted documents; and at the calibration's end the
+    penalised likelihood has no slope left."""
+    size, hold = {"a": 30, "b": 10}, {"a": {3: 30, 7: 3}, "b": {3: 10, 7: 9}}
+    table = {d: [hold[d].get(b, 0) for b in range(soft_mixing.BUCKETS)] for d in hold}
+    weights = soft_mixing.word_weights(table, size)
+    for i, d in enumerate(size):
+        for b in (3, 7, 9):
+            usual = size[d] * (hold["a"].get(b, 0) + hold["b"].get(b, 0)) / 40
+            z2 = (hold[d].get(b, 0) - usual) ** 2 / (usual + 1)
+            assert abs(weights[i][b] - math.log((hold[d].get(b, 0) + 1) / (usual + 1)) * z2 / (z2 + 16)) < 1e-12
+    rng = np.random.default_rng(2)
+    marks = rng.choice(["a", "b", "c"], 400, p=[0.6, 0.3, 0.1])
+    seen = [(m, (rng.standard_normal(3) + [m == "a", m == "b", 2 * (m == "c")]).tolist()) for m in marks]
+    c = soft_mixing.Classifier(["a", "b", "c"], [0.6, 0.3, 0.1], [[0.0]] * 3)
+    c.calibrate(seen)
+    x, y = np.array([e for _, e in seen]), np.array([["a", "b", "c"].index(m) for m in marks])
+    scale = x.std(axis=0)
+
+    def loss(bias, slopes):
+        z = x @ slopes.T + bias
+        start = np.log([0.6, 0.3, 0.1])
+        return float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(400), y]).sum() + 0.5 * ((bias - start) ** 2).sum() + 0.5 * ((slopes * scale) ** 2).sum())
+    bias, slopes = np.array(c.bias), np.array(c.slopes)
+    for i in range(3):
+        for move in (0.01, -0.01):
+            assert loss(bias + move * np.eye(3)[i], slopes) > loss(bias, slopes)
+            for j in range(3):
+                assert loss(bias, slopes + move * np.outer(np.eye(3)[i], np.eye(3)[j])) > loss(bias, slopes)
+
+
+def test_posteriors_are_calibrated_and_tell_documents_apart(spark):
+    docs = spark.read.parquet(f"{SF_MID}/documents.parquet")
+    marks = queries.domains(spark.read.parquet(f"{SF_MID}/labels.parquet"))
+    model = soft_mixing.fit_classifier(docs, marks)
+    rows = soft_mixing.memberships(docs, model).join(marks, "doc_id").select("doc_id", "domain", "__mix.*").collect()
+    p = np.array([[r[f"p{i}"] for i in range(3)] for r in rows])
+    assert np.abs(p.sum(axis=1) - 1).max() < 1e-9 and len({round(x, 9) for x in p[:, 0]}) > 0.8 * len(rows)
+    hit = [r.domain == model.domains[int(np.argmax(q))] for r, q in zip(rows, p, strict=True)]
+    assert np.mean(hit) > 0.85
+
+
+def test_targets_out_of_reach_are_said_so(spark, caplog):
+    """No nonnegative rates meet these: the least distance is found and
+    flagged."""
+    parts = [(10.0, (0.7, 0.3)), (5.0, (0.6, 0.4)), (1.0, (0.65, 0.35))]
+    scored = spark.createDataFrame([(i, (t, *p)) for i, (t, p) in enumerate(parts)], "i int, __mix struct<tokens:double,p0:double,p1:double>")
+    goal = [15.0, 1.0]
+    rate, got = soft_mixing.fit_rates(scored, goal)
+    t, p = np.array([x for x, _ in parts]), np.array([x for _, x in parts])
+    weight = 1 / np.array(goal) ** 2
+
+    def far(r):
+        return float((weight * ((t * r) @ p - goal) ** 2).sum())
+    best = min(far(np.array([a, b, c])) for a in np.linspace(0, 3, 121) for b in np.linspace(0, 3, 61) for c in (0.0, 1.0))
+    r = np.array([x[0] for x in scored.select(rate.alias("r"), "i").orderBy("i").collect()])
+    assert got["met"] == [False, False] and far(r) <= best * 1.001 and r.min() >= 0
+    assert np.allclose((t * r) @ p, got["after"])
+    docs = spark.createDataFrame([(i, "same words in each") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "xy"[i % 2]) for i in range(40)], "doc_id long, domain string")
+    rows = soft_mixing.document_rates(docs, labels, {"x": 0.9, "y": 0.1}).collect()
+    assert not rows[0].targets_met and rows[0].reached_x < 0.99 and "out of reach" in caplog.text
+    said = soft_mixing.report(spark, ["x", "y"], {"targets": [9.0, 1.0], "after": [9.0, 2.0], "met": [True, False]}).collect()
+    assert [tuple(r) for r in said] == [("x", 9.0, 9.0, True), ("y", 1.0, 2.0, False)]
+
+
 def test_mixing_edges(spark):
     docs = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "x"), (2, None, "x"), (None, "c", "x"), (3, "", "x")], "doc_id long, text string, domain string")
     labels = spark.createDataFrame([(1, "d"), (None, "d"), (2, None)], "doc_id long, domain string")
