@@ -2,87 +2,121 @@
 
 For each dimension there is a list of the candidates sorted by their component
 (read from the top for a positive query weight, from the bottom for a negative
-one). Lists are read in step; at a depth, what is read of a candidate's
+one). Lists are read in step, entry after entry; what was read of a candidate's
 components bounds its score from below (unread ones count with the worst value
 of their list) and from above (unread ones count with the value the list has
-reached). Reading stops when no outsider's upper bound reaches the k-th lower
-bound; the few that are left are then resolved to final scores.
+reached). Reading stops when no outsider's upper bound reaches a score that k
+candidates are known to reach; the few that are left are then resolved to
+final scores.
 
-All queries of a block read the same lists, so a depth's bounds are one matrix
-product: a candidate's unread component is its list's frontier, which is the
-component clipped at the frontier.
+Candidates are dealt into blocks with lists of their own. One block is read
+first; the k-th score that a query finds there is where reading for it stops in
+every other block.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
 
 CANDIDATES = 4096     # vectors of a block of candidates
-QUERIES = 256         # queries of a block of queries
-DEPTHS = (0.06, 0.12, 0.2, 0.3, 0.45, 0.7, 1.0)   # shares of the lists at which bounds are compared
-EXACT = float(1 << 53)
+QUERIES = 4096        # queries of a block of queries: so often is every candidate copied less
+TOGETHER = 64         # queries whose bounds are held at a time
+DEPTHS = (0.02, 0.06, 0.12, 0.2, 0.3, 0.45, 0.7, 1.0)   # shares of the lists after which bounds are compared
+ROUNDING = 1e-12      # bounds in doubles are off by less than this share of the greatest sum
 
 
-def block_top_k(q: np.ndarray, x: np.ndarray, k: int, own: np.ndarray, ids: np.ndarray) -> list[np.ndarray]:
-    """For every query row the candidates (row numbers of ``x``) that can be
-    among its ``k`` best: those within ``k``-th lower bound when reading
-    stopped. ``own[i]`` is the id query i must not find. Integers in doubles."""
-    n = len(x)
-    lists = np.sort(x, axis=0)                      # one sorted list a dimension, least first
+class Lists:
+    """The sorted lists of a block of candidates (rows of ``x``, whole numbers
+    in doubles)."""
+
+    def __init__(self, x: np.ndarray):
+        self.x, self.n = x, len(x)
+        self.order = np.argsort(x, axis=0, kind="stable")
+        self.rank = np.empty(x.shape, np.int32)
+        np.put_along_axis(self.rank, self.order, np.arange(self.n, dtype=np.int32)[:, None], axis=0)
+        self.least, self.most = x.min(axis=0), x.max(axis=0)
+        self.size = np.abs(x).max(axis=0)
+
+    def at(self, place: int) -> np.ndarray:
+        """The components at a place of every list, the least first."""
+        return self.x[self.order[place], np.arange(self.x.shape[1])]
+
+
+def block_top_k(lists: Lists, q: np.ndarray, k: int, own: np.ndarray, ids: np.ndarray, known: np.ndarray) -> tuple[list[np.ndarray], int]:
+    """For every query row the candidates (row numbers) that can be among its
+    ``k`` best, and how many list entries were read for all of them. ``own[i]``
+    is the id query i must not find, ``known[i]`` a score that k candidates of
+    its are known to reach."""
+    x, n = lists.x, lists.n
+    k += n - len(np.unique(ids))                    # rows of one id may turn out to be one result
     plus, minus = np.maximum(q, 0), np.minimum(q, 0)
-    alive = np.arange(len(q))
+    # a row a candidate, a column a query
+    low = np.repeat((plus @ lists.least + minus @ lists.most)[None, :], n, axis=0)
+    slack = ROUNDING * (np.abs(q) @ lists.size)
+    alive, depth, reads = np.arange(len(q)), 0, 0
     out: list[np.ndarray] = [np.empty(0, int)] * len(q)
     for share in DEPTHS:
-        depth = min(n, max(k + 1, int(np.ceil(share * n))))
-        top, bottom = lists[n - depth], lists[depth - 1]         # frontiers of both directions
-        read_top, read_bottom = x >= top, x <= bottom
-        p, m = plus[alive], minus[alive]
-        # what is read counts in full; what is not, with the frontier (above) or the list's end (below)
-        high = np.where(read_top, x, top), np.where(read_bottom, x, bottom)
-        low = np.where(read_top, x, lists[0]), np.where(read_bottom, x, lists[-1])
-        upper = p @ high[0].T + m @ high[1].T
-        lower = p @ low[0].T + m @ low[1].T
-        mine = ids[None, :] == own[alive][:, None]
-        lower[mine], upper[mine] = -np.inf, -np.inf
-        kth = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(alive), -np.inf)
-        left = (upper >= kth[:, None]) & ~mine
-        done = (left.sum(axis=1) <= 8 * k) | (depth == n)
-        for r in np.nonzero(done)[0]:
-            out[alive[r]] = np.nonzero(left[r])[0]
-        alive = alive[~done]
-        if not len(alive) or depth == n:
+        before, depth = depth, min(n, max(depth + 1, int(np.ceil(share * n))))
+        for d in range(x.shape[1]):
+            # the next entries of this list, from either end
+            for fresh, weight, worst in ((lists.order[n - depth:n - before, d], plus[:, d], lists.least[d]),
+                                         (lists.order[before:depth, d], minus[:, d], lists.most[d])):
+                if weight.any():
+                    low[fresh] += (x[fresh, d] - worst)[:, None] * weight[None, :]
+        reads += (depth - before) * int((q != 0).sum())
+        # an unread component is at most where its list has been read to
+        top, bottom = plus * (lists.at(n - depth) - lists.least), minus * (lists.at(depth - 1) - lists.most)
+        mine = ids[:, None] == own[alive][None, :]
+        bound = np.where(mine, -np.inf, low)
+        kth = np.partition(bound, n - k, axis=0)[n - k] if n > k else np.full(len(alive), -np.inf)
+        high = low + (lists.rank < n - depth) @ top.T + (lists.rank >= depth) @ bottom.T
+        left = ~(high < (np.maximum(kth, known[alive]) - slack)[None, :]) & ~mine
+        done = (left.sum(axis=0) <= 4 * k) | (depth == n)
+        for c in np.nonzero(done)[0]:
+            out[alive[c]] = np.nonzero(left[:, c])[0]
+        alive, go = alive[~done], ~done
+        if not len(alive):
             break
-    return out
+        if done.any():
+            q, plus, minus, slack, low = q[go], plus[go], minus[go], slack[go], np.ascontiguousarray(low[:, go])
+    return out, reads
+
 
+def _score(a: list[int], b: list[int]) -> int:
+    """Inner product of whole numbers of any size, held at 64 bits."""
+    return min(max(sum(map(int.__mul__, a, b)), -2**63), 2**63 - 1)
+
+
+def _resolver(k: int, scale: float):
+    most = np.finfo(np.float64).max
+
+    def whole(vectors: pd.Series) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return np.clip(np.floor(np.stack([np.asarray(v, np.float64) for v in vectors]) * scale), -most, most)
 
-def _resolver(k: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        cols = ["query_id", "vec_id", "score"]
         queries, found = pdf[pdf.is_query], pdf[~pdf.is_query]
-        if not len(queries) or not len(found):
-            return pd.DataFrame([], columns=cols).astype("int64")
-        big = [np.stack([np.asarray(v, np.int64) for v in d.v]) for d in (queries, found)]
-        q, x = (b.astype(np.float64) for b in big)
-        ids, own = found.vec_id.to_numpy(), queries.vec_id.to_numpy()
-        bound = np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * q.shape[1]
-        if bound < EXACT:
-            left = block_top_k(q, x, k, own, ids)
-        else:                                       # sums beyond doubles: every candidate is resolved in whole numbers
-            left = [np.nonzero(ids != o)[0] for o in own]
-        parts = []
-        for r, rows in enumerate(left):
-            if bound < EXACT:
-                score = (x[rows] @ q[r]).astype(np.int64)
-            else:
-                score = np.array([min(max(sum(int(a) * int(b) for a, b in zip(big[1][i], big[0][r], strict=True)), -2**63), 2**63 - 1) for i in rows], np.int64)
-            best = np.lexsort((ids[rows], -score.astype(np.float64) if bound < EXACT else np.array([-int(s) for s in score], dtype=object)))[:k] if len(rows) else rows
-            parts.append(pd.DataFrame({"query_id": own[r], "vec_id": ids[rows][best], "score": score[best]}))
-        return pd.concat(parts).astype("int64") if parts else pd.DataFrame([], columns=cols).astype("int64")
+        rows: list[tuple[int, int, int]] = []
+        if len(queries) and len(found):
+            again = found.vec_id.duplicated(keep=False)
+            same = pd.Series([v.tobytes() if a else b"" for v, a in zip(found.e, again, strict=True)], index=found.index)
+            found = found[~(again & pd.DataFrame({"i": found.vec_id, "v": same}).duplicated())]
+            ids, lists = found.vec_id.to_numpy(), Lists(whole(found.e))
+            for lo in range(0, len(queries), TOGETHER):
+                part = queries.iloc[lo:lo + TOGETHER]
+                q, own = whole(part.e), part.vec_id.to_numpy()
+                with np.errstate(over="ignore", invalid="ignore"):
+                    left, _ = block_top_k(lists, q, k, own, ids, part.known.fillna(-np.inf).to_numpy())
+                for i, mates in enumerate(left):
+                    mine = list(map(int, q[i]))
+                    scored = sorted((-_score(mine, list(map(int, lists.x[r]))), int(ids[r])) for r in mates)
+                    rows += [(int(own[i]), c, -score) for score, c in scored[:k]]
+        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
     return run
 
 
@@ -92,29 +126,40 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     each query (id divisible by ``every``) and all other rows: query_id, rank
     (from 1), vec_id, score; ties to the smaller vec_id.
 
-    Queries and candidates are dealt into blocks; each pair of blocks gives at
+    Queries and candidates are dealt into blocks. The first block of candidates
+    gives each query a score to beat; then each other pair of blocks gives at
     most ``k`` rows a query, which one aggregate a query merges.
 
     Null vectors, null or non-finite components and null ids take no part.
-    Vectors of other lengths than the query's are no candidates; a component
-    beyond 62 bits is held at 62 bits, a score beyond 64 at 64. Rows that
+    Vectors of other lengths than the query's are no candidates. Sums are
+    exact for whole numbers of any size (scaled components are doubles, held
+    at the greatest one); a score beyond 64 bits is held at 64. Rows that
     repeat both id and vector count once; no row of a query's own id is its
     candidate. Other columns are not read. Empty table: empty result."""
     inf = float("inf")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("e"))
     fine = F.col("vec_id").isNotNull() & F.forall("e", lambda x: F.coalesce((F.abs(x) < inf) & ~F.isnan(x), F.lit(False)))
-    edge = float(1 << 62)
-    whole = F.transform("e", lambda x: F.floor(F.greatest(F.least(x * float(scale), F.lit(edge)), F.lit(-edge))))
-    good = materialize(rows.where(F.coalesce(fine, F.lit(False))).select("vec_id", whole.alias("v"), F.size("e").alias("dim")), "topk")
+    good = materialize(rows.where(F.coalesce(fine, F.lit(False))).select("vec_id", "e", F.size("e").alias("dim")), "topk")
     sizes = good.agg(F.count("*"), F.count(F.when(F.col("vec_id") % every == 0, 1))).first()
     n_x, n_q = max(1, -(-sizes[0] // CANDIDATES)), max(1, -(-sizes[1] // QUERIES))
     block = F.pmod(F.xxhash64("vec_id"), F.lit(n_x)).cast("int")
     candidates = good.withColumn("x", block).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
     # queries by their own hash, so that a block of them does not depend on the rows' order
-    queries = (good.where(F.col("vec_id") % every == 0).withColumn("q", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(n_q)).cast("int"))
-               .withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(n_x - 1)))))
-    dealt = candidates.select("dim", "q", "x", "vec_id", "v", F.lit(False).alias("is_query")).unionByName(
-        queries.select("dim", "q", "x", "vec_id", "v", F.lit(True).alias("is_query")))
-    found = dealt.groupBy("dim", "q", "x").applyInPandas(_resolver(k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    queries = good.where(F.col("vec_id") % every == 0).withColumn("q", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(n_q)).cast("int"))
+
+    def read(blocks: Column, asking: DataFrame) -> DataFrame:
+        """What the queries find in some blocks of candidates, ``k`` rows of
+        each block at most."""
+        dealt = candidates.where(F.col("x").isin(0) == blocks).select("dim", "q", "x", "vec_id", "e", F.lit(None).cast("double").alias("known"), F.lit(False).alias("is_query"))
+        asked = asking.withColumn("x", F.explode(F.when(blocks, F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.lit(max(1, n_x - 1))))))
+        asked = asked.select("dim", "q", "x", "vec_id", "e", "known", F.lit(True).alias("is_query"))
+        found = dealt.unionByName(asked).groupBy("dim", "q", "x").applyInPandas(_resolver(k, float(scale)), "query_id long, vec_id long, score long")
+        return materialize(found.distinct(), "topk")
+    first = read(F.lit(True), queries.withColumn("known", F.lit(None).cast("double")))
+    # a query of that id and length reaches at least this with k rows
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    known = first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("known"))
+    lengths = queries.groupBy("vec_id").agg(F.count("*").alias("n")).where("n = 1").select("vec_id")
+    rest = read(F.lit(False), queries.join(known.join(lengths, "vec_id"), "vec_id", "left")) if n_x > 1 else first.limit(0)
+    found = first.unionByName(rest)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

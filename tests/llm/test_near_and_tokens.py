@@ -140,8 +140,53 @@ def test_top_k_brute_force(spark):
     got = sorted(tuple(r) for r in sorted_lists.top_k(df).select("query_id", "rank", "vec_id", "score").collect())
     assert got == sorted(want)
     assert sorted_lists.top_k(df.where("false")).count() == 0 and sorted_lists.top_k(df.where("vec_id = 50")).count() == 0
-    big = spark.createDataFrame([(0, [3e15, -2e15]), (1, [3e15, 1.0]), (2, [-3e15, 7.0])], "vec_id long, embedding array<double>")
-    assert [r.vec_id for r in sorted_lists.top_k(big).orderBy("rank").collect()] == [1, 2]
+    big = spark.createDataFrame([(0, [3e15, -2e15]), (1, [3e15, 1.0]), (2, [-3e15, 7.0]), (3, [1e300, 0.0]), (4, [-1e308, 1e308])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in sorted_lists.top_k(big).orderBy("rank").collect()] == [(1, 2**63 - 1), (3, 2**63 - 1), (2, -2**63), (4, -2**63)]
+
+
+def test_top_k_over_many_blocks(spark, monkeypatch):
+    """Blocks of a few candidates and queries, repeated rows, one id with two
+    vectors, a third of all rows alike: as by brute force."""
+    monkeypatch.setattr(sorted_lists, "CANDIDATES", 40)
+    monkeypatch.setattr(sorted_lists, "QUERIES", 3)
+    rng = np.random.default_rng(4)
+    x = np.round(rng.standard_normal((400, 6)), 2)
+    x[::3] = x[0]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [rows[7], rows[100], (7, x[8].tolist()), (50, x[9].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    whole = sorted({(i, tuple(int(np.floor(256 * c)) for c in v)) for i, v in rows})
+    want = []
+    for q in range(0, 400, 50):
+        scores = {(sum(a * b for a, b in zip(u, v, strict=True)), c) for i, u in whole if i == q for c, v in whole if c != q}
+        want += [(q, r + 1, c, s) for r, (s, c) in enumerate(sorted(scores, key=lambda x: (-x[0], x[1]))[:5])]
+    got = sorted(tuple(r) for r in sorted_lists.top_k(df).select("query_id", "rank", "vec_id", "score").collect())
+    assert got == sorted(want)
+
+
+def test_lists_are_not_read_to_their_end():
+    """A query that a few candidates answer far better than the rest stops
+    early, and a score known from another block stops it at once."""
+    rng = np.random.default_rng(3)
+    x = np.floor(256 * rng.standard_normal((2000, 8)) * np.array([8, 1, 1, 1, 1, 1, 1, 1.0]))
+    x[:20, 0] += 100_000
+    q = np.floor(256 * np.array([[4.0, *[0.1] * 7], [-4.0, *[0.0] * 7]]))
+    ids, own, lists = np.arange(2000), np.array([-1, -1]), sorted_lists.Lists(x)
+    none = np.full(2, -np.inf)
+    left, reads = sorted_lists.block_top_k(lists, q, 5, own, ids, none)
+    for i in (0, 1):
+        assert set(np.argsort(-(x @ q[i]), kind="stable")[:5]) <= set(left[i]) and len(left[i]) <= 20
+    assert reads < 0.5 * 2000 * 9                         # nine lists, one of the second query
+    left, least = sorted_lists.block_top_k(lists, q, 5, own, ids, np.array([1e12, 1e12]))
+    assert not any(map(len, left)) and least <= reads
+    # where all lists matter alike, a score that others reach saves what is known to be in vain
+    x = np.floor(256 * rng.standard_normal((2000, 8)))
+    q, lists = np.floor(256 * rng.standard_normal((20, 8))), sorted_lists.Lists(x)
+    own = np.full(20, -1)
+    best = np.sort(q @ x.T, axis=1)
+    _, alone = sorted_lists.block_top_k(lists, q, 5, own, ids, np.full(20, -np.inf))
+    left, told = sorted_lists.block_top_k(lists, q, 5, own, ids, best[:, -1] * 1.3)
+    assert told < 0.8 * alone and alone <= 2000 * 8 * 20
 
 
 def _texts():
