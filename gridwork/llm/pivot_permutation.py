@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import components, materialize
 
 SAMPLE = 8192        # rows the pivots are chosen from, at most (the least by hash)
-MOST_PIVOTS = 1024
+BITS = 13            # of a pivot's number in a list's key, so 8,192 pivots at most
 APART = 0.8          # greatest cosine between two pivots
 PREFIX = 8           # nearest pivots that describe a vector
 SHARED = 3           # pivots two vectors must share to be compared
@@ -34,7 +34,7 @@ def choose_pivots(sample: np.ndarray, n_rows: int) -> np.ndarray:
     rows of the sample, in its order, leaving out those near one already taken
     (a group of near copies would otherwise fill its members' descriptions
     with pivots that differ by noise alone)."""
-    n = min(MOST_PIVOTS, max(64, round(4 * math.sqrt(n_rows))))
+    n = min(1 << BITS, max(64, round(4 * math.sqrt(n_rows))))
     taken = np.empty((0, sample.shape[1] if sample.ndim == 2 else 0))
     for v in sample:
         v = v / np.linalg.norm(v)
@@ -71,7 +71,7 @@ def _list_keys():
     of them, if it has fewer), as one number with the dimension."""
     def keys(pivots, d):
         k = min(SHARED, len(pivots))
-        return [int(d) << 36 | sum(int(p) << (12 * i) for i, p in enumerate(c)) for c in combinations(sorted(pivots), k)]
+        return [int(d) << (3 * BITS) | sum(int(p) << (BITS * i) for i, p in enumerate(c)) for c in combinations(sorted(pivots), k)]
 
     @F.pandas_udf("array<long>")
     def enter(order: pd.Series, dim: pd.Series) -> pd.Series:
@@ -83,6 +83,17 @@ def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x @ y.T) / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1))
 
 
+def _summed(a: np.ndarray, b: np.ndarray) -> float:
+    """Cosine with sums in the order of the components, as small lists are
+    compared, so that a pair at the threshold is decided alike in any list."""
+    def dot(x, y):
+        total = 0.0
+        for p, q in zip(x.tolist(), y.tolist(), strict=True):
+            total += p * q
+        return total
+    return dot(a, b) / (math.sqrt(dot(a, a)) * math.sqrt(dot(b, b)))
+
+
 def _block(threshold: float):
     """Links of a block pair of a large list: for every vector the number of
     vectors linked (with copies) and one edge to its local group's first."""
@@ -92,7 +103,7 @@ def _block(threshold: float):
         empty = pd.DataFrame({"rep": [], "n": [], "mate": []}).astype("int64")
         if not len(left) or not len(right):
             return empty
-        triple = [(int(code) >> (12 * t)) & 0xFFF for t in range(SHARED)]
+        triple = [(int(code) >> (BITS * t)) & ((1 << BITS) - 1) for t in range(SHARED)]
         top = max(triple)
 
         def lower(d):  # one-hot of the pivots below the list's greatest
@@ -102,7 +113,10 @@ def _block(threshold: float):
             return hot
         a, b = (np.stack([np.asarray(v, np.float64) for v in d.embedding]) for d in (left, right))
         least = min(SHARED, len(left.pivots.iloc[0]))
-        link = (_cosines(a, b) >= threshold) & (lower(left) @ lower(right).T == least - 1)
+        close = _cosines(a, b)
+        for r, c in zip(*np.nonzero(np.abs(close - threshold) < 1e-9), strict=True):
+            close[r, c] = _summed(a[r], b[c])
+        link = (close >= threshold) & (lower(left) @ lower(right).T == least - 1)
         ids = left.rep.to_numpy(), right.rep.to_numpy()
         if i == j:
             np.fill_diagonal(link, False)
@@ -160,9 +174,9 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col:
     other = short.select("key", F.col("rep").alias("v"), F.col("pivots").alias("pv"))
     common = F.array_sort(F.array_intersect("pivots", "pv"))
     mine = F.aggregate(F.slice(common, 1, SHARED), F.struct(F.lit(0).cast("long").alias("code"), F.lit(0).alias("at")),
-                       lambda s, p: F.struct((s["code"] + p.cast("long") * F.pow(F.lit(4096.0), s["at"]).cast("long")).alias("code"), (s["at"] + 1).alias("at")),
+                       lambda s, p: F.struct((s["code"] + p.cast("long") * F.pow(F.lit(float(1 << BITS)), s["at"]).cast("long")).alias("code"), (s["at"] + 1).alias("at")),
                        lambda s: s["code"])
-    pairs = (short.join(other, "key").where("rep < v").where(mine == F.col("key").bitwiseAND(F.lit((1 << 36) - 1)))
+    pairs = (short.join(other, "key").where("rep < v").where(mine == F.col("key").bitwiseAND(F.lit((1 << 3 * BITS) - 1)))
              .select(F.col("rep").alias("u"), "v"))
     x = named.select(F.col("rep").alias("u"), F.col("embedding").alias("x"), F.col("copies").alias("cu"))
     y = named.select(F.col("rep").alias("v"), F.col("embedding").alias("y"), F.col("copies").alias("cv"))
