@@ -10,19 +10,18 @@ is calibrated on labelled documents not trained on.
 
 from __future__ import annotations
 
+import functools
 import math
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash01, is_held_out
+from .common import hash01, is_held_out, materialize
 
 FIT = 6000                 # labelled documents of each class the classifier is fitted on, about, at most
 WINDOW, STEP = 96, 64      # bytes
@@ -32,7 +31,9 @@ LEVEL = 5
 THRESHOLD = 0.3            # score from which a document counts as toxic
 MOST = 10                  # evidence is told apart up to here
 CLEAR = (5.0, 4.0, 3.0, 2.5, 2.0, 1.5, 1.0)  # how clearly toxic a phrase must be, in standard deviations: calibration takes one
-PHRASE = re.compile(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+")     # letters and non-ASCII characters
+PHRASE = r"[^\x00-\x40\x5b-\x60\x7b-\x7f]+"       # letters and non-ASCII characters
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+EXCESSES = tuple(range(1, 13))
 
 
 def normalize(text: str | None) -> bytes:
@@ -44,30 +45,44 @@ def windows(data: bytes) -> list[bytes]:
     return [data[i:i + WINDOW] for i in range(0, max(1, len(data) - (WINDOW - STEP)), STEP)]
 
 
-def _dictionary(counts: dict[bytes, float], size: int) -> bytes:
-    """The phrases that save most bytes, the best last (nearest to the data)."""
+def _packed(phrases: list[str], size: int) -> bytes:
+    """The phrases that fit, the best ones, which come first, nearest to the
+    data."""
     out, held = [], 0
-    for w in sorted(counts, key=lambda w: (-counts[w] * (len(w) - 2), w)):
-        if counts[w] <= 0 or held + len(w) + 1 > size:
+    for w in (p.encode("utf-8", "surrogatepass") for p in phrases):
+        if held + len(w) + 1 > size:
             break
         out.append(b" " + w)
         held += len(w) + 1
     return b"".join(reversed(out))
 
 
-def train_dictionaries(ordinary: list[bytes], toxic: list[bytes]) -> tuple[bytes, list[bytes]]:
-    """Dictionaries of the phrases most worth storing: the ordinary one, and
-    toxic ones to choose from, one for each of ``CLEAR`` that adds a phrase.
-    All hold what is common in ordinary text; the toxic ones hold besides, in
-    front of it, what documents marked toxic use more than twice as often as
-    ordinary ones do, so that equal wording is stored at equal distances and
-    costs the same with any."""
-    seen = [Counter(w for d in docs for w in set(PHRASE.findall(d)) if 3 <= len(w) <= 40) for docs in (ordinary, toxic)]
-    n, m = max(1, len(ordinary)), max(1, len(toxic))
-    base = _dictionary({w: c / n for w, c in seen[0].items() if c > 2}, ORDINARY)
-    usual = {w: m * (seen[0][w] + 1) / n for w in seen[1]}
-    clear = {w: (c - 2 * usual[w]) / math.sqrt(c) for w, c in seen[1].items() if c >= 2 and len(w) >= 4}
-    own = [_dictionary({w: (seen[1][w] - usual[w]) / m for w, x in clear.items() if x >= least}, TOXIC) for least in CLEAR]
+def train_dictionaries(sample: DataFrame) -> tuple[bytes, list[bytes]]:
+    """Dictionaries of the phrases most worth storing, from rows (_y, _t): the
+    ordinary one, and toxic ones to choose from, one for each of ``CLEAR`` that
+    adds a phrase. All hold what is common in ordinary text; the toxic ones
+    hold besides, in front of it, what documents marked toxic use more than
+    twice as often as ordinary ones do, so that equal wording is stored at
+    equal distances and costs the same with any.
+
+    Documents that hold a phrase are counted in Spark; to the driver come only
+    as many phrases as a dictionary can hold."""
+    found = F.array_distinct(F.regexp_extract_all(F.translate(F.coalesce("_t", F.lit("")), UPPER, UPPER.lower()), F.lit(PHRASE), 0))
+    words = sample.select("_y", F.explode(found).alias("w")).where(F.octet_length("w").between(3, 40))
+    counts = materialize(words.groupBy("w").agg(F.count_if(F.col("_y") == 0).alias("c"), F.count_if(F.col("_y") == 1).alias("d")), "phrases")
+    sizes = {r[0]: r[1] for r in sample.groupBy("_y").count().collect()}
+    n, m = max(1, sizes.get(0, 0)), max(1, sizes.get(1, 0))
+    saved = F.octet_length("w") - 2
+
+    def best(rows: DataFrame, worth: Column, size: int) -> DataFrame:
+        return rows.where(worth > 0).orderBy((-worth * saved).asc(), "w").limit(size // 4).withColumn("worth", worth * saved)
+    ordinary = [r.w for r in best(counts.where("c > 2"), F.col("c") / n, ORDINARY).collect()]
+    usual = F.lit(float(m)) * (F.col("c") + 1) / n
+    clear = counts.where("d >= 2").where(F.octet_length("w") >= 4).withColumn("clear", (F.col("d") - 2 * usual) / F.sqrt("d"))
+    each = [best(clear.where(F.col("clear") >= x), (F.col("d") - usual) / m, TOXIC).select("w", "worth", F.lit(i).alias("i")) for i, x in enumerate(CLEAR)]
+    rows = functools.reduce(DataFrame.unionByName, each).collect()
+    base = _packed(ordinary, ORDINARY)
+    own = [_packed([r.w for r in sorted(rows, key=lambda r: (-r.worth, r.w.encode())) if r.i == i], TOXIC) for i in range(len(CLEAR))]
     return base, [o + base for o in dict.fromkeys(own)]
 
 
@@ -122,40 +137,68 @@ def evidence(extra: np.ndarray, excess: int) -> int:
     return min(MOST, int(np.maximum(extra - excess + 1, 0).sum()))
 
 
-def fit(ordinary: list[str], toxic: list[str], weights: tuple[float, float] = (1.0, 1.0)) -> Model:
-    """Train on half of the documents, calibrate on the other half: toxic
-    dictionary and threshold are those whose chances give the least log loss.
-    A document of either class stands for as many as its weight says."""
-    x = [normalize(t) for t in ordinary], [normalize(t) for t in toxic]
-    base, own = train_dictionaries(x[0][::2], x[1][::2])
-    parts = [[windows(d) for d in docs[1::2]] for docs in x]
-    usual = [list(map(Lengths(base), docs)) for docs in parts]
-    best = None
-    for toxic_one in own:
-        b = Lengths(toxic_one)
-        extra = [[a - b(p) for a, p in zip(*both, strict=True)] for both in zip(usual, parts, strict=True)]
-        for excess in range(1, 13):
-            hits = [np.array([evidence(e, excess) for e in docs], np.int64) for docs in extra]
-            count = [w * np.bincount(h, minlength=MOST + 1) for w, h in zip(weights, hits, strict=True)]
-            chance = _rising(count[1] + 0.2 * weights[1], count[0] + 0.8 * weights[0])
-            loss = -(np.log(chance) * count[1] + np.log(1 - chance) * count[0]).sum()
-            if best is None or loss < best[0]:
-                best = (loss, toxic_one, excess, chance)
-    return Model(base, best[1], best[2], tuple(best[3].tolist()))
+def _tried(base: bytes, own: list[bytes]):
+    """A text's evidence with each toxic dictionary and each excess."""
+    @F.pandas_udf("array<int>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        usual, others = Lengths(base), [Lengths(o) for o in own]
+        for texts in batches:
+            out = []
+            for t in texts:
+                parts = windows(normalize(t))
+                length = usual(parts)
+                out.append([evidence(extra, e) for extra in (length - o(parts) for o in others) for e in EXCESSES])
+            yield pd.Series(out)
+    return run
+
+
+def fit(sample: DataFrame, weights: tuple[float, float] = (1.0, 1.0)) -> Model:
+    """Train on half of the documents (rows _id, _y, _t, bounded by ``FIT``;
+    every other one of a class in the order of ids), calibrate on the rest. Each toxic dictionary gets the
+    threshold whose chances give the least log loss; taken is the one of the
+    clearest phrases whose loss is within a standard error of the least, as
+    copies of a text in both halves make phrases of it look better than they
+    are. A document of either class stands for as many as its weight says.
+    Texts stay on the executors: what is gathered are phrases that fit a
+    dictionary, and how many documents of a class show each evidence."""
+    nth = F.row_number().over(Window.partitionBy("_y").orderBy("_id", "_t"))
+    halves = materialize(sample.select("_y", "_t", (nth % 2).alias("_half")), "toxic")
+    base, own = train_dictionaries(halves.where("_half = 1"))
+    tried = halves.where("_half = 0").select("_y", F.posexplode(_tried(base, own)("_t")).alias("which", "evidence"))
+    count = np.zeros((2, len(own) * len(EXCESSES), MOST + 1))
+    for y, which, hits, n in tried.groupBy("_y", "which", "evidence").count().collect():
+        count[y, which, hits] = n
+    each = []
+    for which in range(count.shape[1]):
+        zeros, ones = count[0, which] * weights[0], count[1, which] * weights[1]
+        chance = _rising(ones + 0.2 * weights[1], zeros + 0.8 * weights[0])
+        losses, n = np.concatenate([-np.log(1 - chance) * weights[0], -np.log(chance) * weights[1]]), np.concatenate(count[:, which])
+        loss = float(losses @ n)
+        error = math.sqrt(max(0.0, float(losses ** 2 @ n) - loss ** 2 / max(1.0, n.sum())))
+        each.append((loss, which, error, chance))
+    least, _, error, _ = min(each, key=lambda e: e[:2])
+    _, which, _, chance = min((e for e in each if e[0] <= least + error), key=lambda e: (e[1] // len(EXCESSES), e[0]))
+    return Model(base, own[which // len(EXCESSES)], EXCESSES[which % len(EXCESSES)], tuple(chance.tolist()))
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on the whole texts of a sample of the labelled rows that are not held
     out, bounded for each class. Rows are weighted by what they stand for, so
     scores are chances among such rows. Only the sample's ids, about 2 ``FIT``
-    at most, go to where the texts are; no text is shuffled for the join."""
-    marks = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_y in (0, 1)").distinct()
+    at most, go to where the texts are; no text is shuffled for the join, none
+    comes to the driver.
+
+    Null ids and labels other than 0 and 1 are not learned from; an id labelled
+    both 0 and 1 is one document of each class; repeated rows count as often
+    as they are there. Null text counts as empty. Other columns are not read.
+    Nothing to learn from (empty tables, too): dictionaries without phrases,
+    one chance for every text."""
+    marks = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)").distinct()
     own = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).where(~is_held_out("_id")))
     counts = {r[0]: r[1] for r in marks.where(~is_held_out("_id")).groupBy("_y").count().collect()}
     share = [min(1.0, FIT / max(1, counts.get(y, 0))) for y in (0, 1)]
     picked = marks.where(hash01("_id") < F.when(F.col("_y") == 1, share[1]).otherwise(share[0]))
-    rows = sorted(own.join(F.broadcast(picked), "_id").select("_id", "_y", "_t").collect(), key=lambda r: (r._id, r._t or ""))
-    return fit([r._t for r in rows if r._y == 0], [r._t for r in rows if r._y == 1], (1 / share[0], 1 / share[1]))
+    return fit(own.join(F.broadcast(picked), "_id").select("_id", "_y", "_t"), (1 / share[0], 1 / share[1]))
 
 
 def toxicity(text: Column, model: Model) -> Column:

@@ -245,19 +245,79 @@ def test_toxicity_learns_from_whole_texts(spark):
     assert got[0] < compression_toxicity.THRESHOLD <= got[1]
 
 
-def test_toxicity_weights():
+def _sample(spark, ordinary, toxic):
+    return spark.createDataFrame([(i, y, t) for i, (y, t) in enumerate([(0, t) for t in ordinary] + [(1, t) for t in toxic])], "_id long, _y int, _t string")
+
+
+def test_toxicity_weights(spark):
     """A class of which one in ten is sampled counts ten times."""
-    ordinary, toxic = ["a quiet day in the garden"] * 40, ["you utter nincompoop"] * 20 + ["a quiet day in the garden"] * 20
-    even, rare = compression_toxicity.fit(ordinary, toxic), compression_toxicity.fit(ordinary, toxic, (10.0, 1.0))
+    made = _sample(spark, ["a quiet day in the garden"] * 40, ["you utter nincompoop"] * 20 + ["a quiet day in the garden"] * 20)
+    even, rare = compression_toxicity.fit(made), compression_toxicity.fit(made, (10.0, 1.0))
     assert rare.chance[0] < even.chance[0] / 4 and rare.chance[-1] > 0.5
 
 
 def test_toxicity_edges(spark):
-    model = compression_toxicity.fit(["a quiet day in the garden"] * 400, ["you utter nincompoop, nincompoop"] * 200)
+    model = compression_toxicity.fit(_sample(spark, ["a quiet day in the garden"] * 400, ["you utter nincompoop, nincompoop"] * 200))
     df = spark.createDataFrame([(None,), ("",), ("x" * 300000,), ("a nincompoop",)], "text string")
     got = [r[0] for r in df.select(compression_toxicity.toxicity(F.col("text"), model)).collect()]
     assert got[0] == got[1] and got[3] > got[0] and all(0 <= x <= 1 for x in got)
-    assert compression_toxicity.fit([], []).scorer()(["", "x"]).tolist() == [0, 0]
+    assert compression_toxicity.fit(_sample(spark, [], [])).scorer()(["", "x"]).tolist() == [0, 0]
+
+
+def test_toxicity_learns_from_odd_tables(spark):
+    """Null ids, texts and labels, an id of both labels, repeated rows and
+    columns of clashing names; and tables without rows."""
+    docs = spark.createDataFrame([(None, "x", 1), (1, None, 0), (3, "", 0), (3, "", 0), *[(i, "you utter nincompoop" if i % 2 else "a quiet day", 0) for i in range(4, 300)]],
+                                 "doc_id long, text string, _y int")
+    labels = spark.createDataFrame([(None, 1), (1, 0), (3, 1), (3, 0), (5, None), (7, 2), *[(i, i % 2) for i in range(8, 300)]], "doc_id long, toxic int").withColumn("text", F.lit("z"))
+    model = compression_toxicity.learn(docs, labels)
+    got = [r[0] for r in docs.orderBy("doc_id").select(compression_toxicity.toxicity(F.col("text"), model)).collect()]
+    assert got[-1] > 0.5 > got[-2]
+    for d, x in ((docs.where("false"), labels), (docs, labels.where("false"))):
+        empty = compression_toxicity.learn(d, x)
+        assert len({r[0] for r in docs.select(compression_toxicity.toxicity(F.col("text"), empty)).collect()}) == 1
+
+
+def test_dictionaries_hold_the_phrases_worth_most(spark):
+    """Against plain counts over the same rows."""
+    rng = random.Random(12)
+    usual, rude = ["garden", "quiet", "Été", "the", "of", "day"], ["nincompoop", "blockhead", "dunce"]
+    texts = [(0, " ".join(rng.choices(usual, k=12))) for _ in range(60)] + [(1, " ".join(rng.choices(usual, k=9) + rng.choices(rude, k=3))) for _ in range(30)]
+    base, own = compression_toxicity.train_dictionaries(spark.createDataFrame(texts, "_y int, _t string"))
+    seen = [{}, {}]
+    for y, t in texts:
+        for w in set(re.findall(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+", compression_toxicity.normalize(t))):
+            seen[y][w] = seen[y].get(w, 0) + 1
+    order = sorted((w for w, c in seen[0].items() if c > 2 and len(w) >= 3), key=lambda w: (-seen[0][w] * (len(w) - 2), w))
+    assert base == b"".join(b" " + w for w in reversed(order))
+    rate = {w: c - 30 * (seen[0].get(w, 0) + 1) / 60 for w, c in seen[1].items()}
+    clear = {w: (c - 2 * 30 * (seen[0].get(w, 0) + 1) / 60) / math.sqrt(c) for w, c in seen[1].items() if c >= 2 and len(w) >= 4}
+    want = []
+    for least in compression_toxicity.CLEAR:
+        mine = sorted((w for w, x in clear.items() if x >= least and rate[w] > 0), key=lambda w: (-rate[w] * (len(w) - 2), w))
+        want.append(b"".join(b" " + w for w in reversed(mine)) + base)
+    assert own == list(dict.fromkeys(want))
+
+
+def test_window_lengths_and_scores_equal_plain_ones(spark):
+    """Each window compressed on its own by the library, bytes counted."""
+    import zstandard
+    model = compression_toxicity.fit(_sample(spark, ["a quiet day in the garden"] * 60, ["you utter nincompoop, a quiet day"] * 40))
+    texts = ["", "nincompoop", "a quiet day, you utter nincompoop " * 9, "x" * 500, "été " * 100]
+    out = []
+    for t in texts:
+        total, data = 0, t.lower().encode()
+        for i in range(0, max(1, len(data) - 32), 64):
+            size = []
+            for d in (model.ordinary, model.toxic):
+                params = zstandard.ZstdCompressionParameters.from_level(5, dict_size=len(d), source_size=96, min_match=4, write_content_size=0, write_checksum=0, write_dict_id=0)
+                held = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                held.precompute_compress(compression_params=params)
+                size.append(len(zstandard.ZstdCompressor(dict_data=held, compression_params=params).compress(data[i:i + 96])))
+            total += max(0, size[0] - size[1] - model.excess + 1)
+        out.append(model.chance[min(total, len(model.chance) - 1)])
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    assert [r.s for r in df.select("i", compression_toxicity.toxicity(F.col("text"), model).alias("s")).orderBy("i").collect()] == out
 
 
 def test_windows_cover_the_whole_text():
