@@ -16,6 +16,8 @@ every other block.
 
 from __future__ import annotations
 
+from operator import neg
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -25,7 +27,7 @@ from .common import materialize
 
 CANDIDATES = 4096     # vectors of a block of candidates
 QUERIES = 4096        # queries of a block of queries: so often is every candidate copied less
-TOGETHER = 64         # queries whose bounds are held at a time
+TOGETHER = 128        # queries whose bounds are held at a time
 DEPTHS = (0.02, 0.06, 0.12, 0.2, 0.3, 0.45, 0.7, 1.0)   # shares of the lists after which bounds are compared
 ROUNDING = 1e-12      # bounds in doubles are off by less than this share of the greatest sum
 
@@ -56,34 +58,36 @@ def block_top_k(lists: Lists, q: np.ndarray, k: int, own: np.ndarray, ids: np.nd
     k += n - len(np.unique(ids))                    # rows of one id may turn out to be one result
     plus, minus = np.maximum(q, 0), np.minimum(q, 0)
     # a row a candidate, a column a query
+    rows, rank = np.arange(n), lists.rank
     low = np.repeat((plus @ lists.least + minus @ lists.most)[None, :], n, axis=0)
     slack = ROUNDING * (np.abs(q) @ lists.size)
     alive, depth, reads = np.arange(len(q)), 0, 0
     out: list[np.ndarray] = [np.empty(0, int)] * len(q)
     for share in DEPTHS:
         before, depth = depth, min(n, max(depth + 1, int(np.ceil(share * n))))
-        for d in range(x.shape[1]):
-            # the next entries of this list, from either end
-            for fresh, weight, worst in ((lists.order[n - depth:n - before, d], plus[:, d], lists.least[d]),
-                                         (lists.order[before:depth, d], minus[:, d], lists.most[d])):
-                if weight.any():
-                    low[fresh] += (x[fresh, d] - worst)[:, None] * weight[None, :]
+        # the next entries of every list, from either end; those not read now are zero
+        low += np.where((rank >= n - depth) & (rank < n - before), x - lists.least, 0) @ plus.T
+        low += np.where((rank >= before) & (rank < depth), x - lists.most, 0) @ minus.T
         reads += (depth - before) * int((q != 0).sum())
         # an unread component is at most where its list has been read to
         top, bottom = plus * (lists.at(n - depth) - lists.least), minus * (lists.at(depth - 1) - lists.most)
-        mine = ids[:, None] == own[alive][None, :]
+        mine = ids[rows][:, None] == own[alive][None, :]
         bound = np.where(mine, -np.inf, low)
-        kth = np.partition(bound, n - k, axis=0)[n - k] if n > k else np.full(len(alive), -np.inf)
-        high = low + (lists.rank < n - depth) @ top.T + (lists.rank >= depth) @ bottom.T
-        left = ~(high < (np.maximum(kth, known[alive]) - slack)[None, :]) & ~mine
+        kth = np.partition(bound, len(rows) - k, axis=0)[len(rows) - k] if len(rows) > k else np.full(len(alive), -np.inf)
+        least = np.maximum(kth, known[alive]) - slack
+        high = low + (rank < n - depth).astype(np.float64) @ top.T + (rank >= depth).astype(np.float64) @ bottom.T
+        left = ~(high < least[None, :]) & ~mine
         done = (left.sum(axis=0) <= 4 * k) | (depth == n)
         for c in np.nonzero(done)[0]:
-            out[alive[c]] = np.nonzero(left[:, c])[0]
+            out[alive[c]] = rows[left[:, c]]
         alive, go = alive[~done], ~done
         if not len(alive):
             break
-        if done.any():
-            q, plus, minus, slack, low = q[go], plus[go], minus[go], slack[go], np.ascontiguousarray(low[:, go])
+        # rows that none of the other queries can want are read no further
+        stay = left[:, go].any(axis=1)
+        if done.any() or stay.mean() < 0.9:
+            q, plus, minus, slack, low = q[go], plus[go], minus[go], slack[go], low[np.ix_(stay, go)]
+            rows, rank, x = rows[stay], rank[stay], x[stay]
     return out, reads
 
 
@@ -112,9 +116,13 @@ def _resolver(k: int, scale: float):
                 q, own = whole(part.e), part.vec_id.to_numpy()
                 with np.errstate(over="ignore", invalid="ignore"):
                     left, _ = block_top_k(lists, q, k, own, ids, part.known.fillna(-np.inf).to_numpy())
+                    small = np.abs(q) @ lists.size < 2**53      # every sum is a whole number that a double holds
                 for i, mates in enumerate(left):
-                    mine = list(map(int, q[i]))
-                    scored = sorted((-_score(mine, list(map(int, lists.x[r]))), int(ids[r])) for r in mates)
+                    if small[i]:
+                        scores = (lists.x[mates] @ q[i]).astype(np.int64).tolist()
+                    else:
+                        scores = [_score(list(map(int, q[i])), list(map(int, lists.x[r]))) for r in mates]
+                    scored = sorted(zip(map(neg, scores), ids[mates].tolist(), strict=True))
                     rows += [(int(own[i]), c, -score) for score, c in scored[:k]]
         return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
     return run

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -189,6 +190,18 @@ def test_lists_are_not_read_to_their_end():
     assert told < 0.8 * alone and alone <= 2000 * 8 * 20
 
 
+def test_scores_that_doubles_hold_are_matrix_products(monkeypatch):
+    """Only sums beyond 2**53 are added up number by number."""
+    slow = []
+    monkeypatch.setattr(sorted_lists, "_score", lambda a, b: slow.append(1) or sum(map(int.__mul__, a, b)))
+    x = np.round(np.random.default_rng(6).standard_normal((60, 5)), 2)
+    pdf = pd.DataFrame({"vec_id": [*range(60), 50], "e": [*x.tolist(), x[50].tolist()], "known": np.nan, "is_query": [False] * 60 + [True]})
+    got = sorted_lists._resolver(5, 256.0)((5, 0, 0), pdf)
+    whole = np.floor(256 * x).astype(int)
+    want = sorted((-int(whole[50] @ whole[c]), c) for c in range(60) if c != 50)[:5]
+    assert [(-s, c) for c, s in zip(got.vec_id, got.score, strict=True)] == want and not slow
+
+
 def _texts():
     rng = random.Random(2)
     out = [None, "", " ", "a  b\n\n c", "<|endoftext|> x <|endoftext|>", "日本語 🙂 é", "x" * 20000, "it's  we'll \x1c!\x1c it", "one. Two, three.\nFour"]
