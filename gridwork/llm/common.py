@@ -96,28 +96,29 @@ class Memory:
     def __init__(self, size: int):
         self.size, self.young, self.old = size, {}, {}
 
-    def recall(self, lists: list[list[str]], make: Callable[[list[str]], dict]) -> Iterator[Iterator]:
+    def recall(self, lists: Iterable[list[str]], make: Callable[[list[str]], dict]) -> Iterator[list]:
         """What belongs to each piece of each list. ``make`` gives what belongs
-        to those not known; each is asked for once."""
-        seen: set[str] = set()
-        for pieces in lists:
-            seen.update(pieces)
-        new = self.missing(seen)
-        self.young.update(make(new))
-        for pieces in lists:
-            yield map(self.young.__getitem__, pieces)
-
-    def missing(self, pieces: set) -> list:
-        """Those not known; the others are all in the young generation."""
+        to those not known; each is asked for once. Of the lists only the
+        pieces not known are held."""
         if len(self.young) > self.size:
             self.old, self.young = self.young, {}
-        new = []
-        for p in pieces - self.young.keys():
-            if p in self.old:
-                self.young[p] = self.old[p]
-            else:
-                new.append(p)
-        return new
+        found, new = [], {}
+        for pieces in lists:
+            got, gaps, at = list(map(self.young.get, pieces)), [], -1
+            for _ in range(got.count(None)):
+                at = got.index(None, at + 1)
+                p = pieces[at]
+                if (known := self.old.get(p)) is not None:
+                    got[at] = self.young[p] = known
+                else:
+                    gaps.append((at, new.setdefault(p, p)))
+            found.append((got, gaps))
+        new = make(list(new))
+        self.young.update(new)
+        for got, gaps in found:
+            for at, p in gaps:
+                got[at] = new[p]
+            yield got
 
 
 def components(edges: DataFrame, tag: str = "components") -> DataFrame:

@@ -273,26 +273,28 @@ class Codec:
         part, held = [], 0
         for t in texts:
             text = (MARK if self.model.dummy_prefix else "") + t.replace(" ", MARK) if t else ""
-            part.append(self.model.words.findall(text))
+            part.append(text)
             held += len(text)
             if held >= PART:
                 yield from self._encode(part)
                 part, held = [], 0
         yield from self._encode(part)
 
-    def _encode(self, part: list[list[str]]) -> Iterator[np.ndarray]:
-        new = self.known.missing(set().union(*part))
-        young = self.known.young
+    def _encode(self, part: list[str]) -> Iterator[np.ndarray]:
+        for got in self.known.recall(map(self.model.words.findall, part), self._indexed):
+            yield np.frombuffer(b"".join(got), np.int32)
+
+    def _indexed(self, new: list[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
         lo = 0
         while lo < len(new):
             hi, held = lo, 0
             while hi < len(new) and (held == 0 or held + len(new[hi]) < INDEX):
                 held += len(new[hi]) + 1
                 hi += 1
-            young.update(zip(new[lo:hi], self._index(new[lo:hi]), strict=True))
+            out.update(zip(new[lo:hi], self._index(new[lo:hi]), strict=True))
             lo = hi
-        for words in part:
-            yield np.frombuffer(b"".join(map(young.__getitem__, words)), np.int32)
+        return out
 
     def _index(self, words: list[str]) -> list[bytes]:
         m = self.model

@@ -30,7 +30,7 @@ FOOTER = np.dtype([("table_offset", "<u8"), ("frames", "<u8"), ("table_crc32", "
 LEVEL = 3
 CHARS_PER_FILE = 16_000_000
 KNOWN = 500_000          # pieces of text in a generation of those remembered
-PART = 4_000_000         # characters encoded at a time
+PART = 500_000           # characters encoded at a time
 TOGETHER = 4_000         # pieces handed to the library as one text
 
 # White space as the byte-level pre-tokenizer sees it. Its pieces never reach
@@ -60,21 +60,25 @@ class Encoder:
     def __call__(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         part, held = [], 0
         for t in texts:
-            part.append(PIECES.findall(t) if t else [])
+            part.append(t)
             held += len(t or "")
             if held >= PART:
-                yield from map(b"".join, self.known.recall(part, self._encode))
+                yield from self._whole(part)
                 part, held = [], 0
-        yield from map(b"".join, self.known.recall(part, self._encode))
+        yield from self._whole(part)
+
+    def _whole(self, part: list[str | None]) -> Iterator[bytes]:
+        return map(b"".join, self.known.recall((PIECES.findall(t) if t else [] for t in part), self._encode))
 
     def _encode(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of each piece. A piece that begins with a space and ends
-        without one is a piece of any text that it stands in after another
+        """Ids of each piece. A piece that begins with white space and ends
+        without it is a piece of any text that it stands in after another
         such, so they are encoded as one text; their bytes say where one's
         tokens end. The others are encoded one by one."""
         out: dict[str, bytes] = {}
-        whole = [p for p in new if p[0] == " " and p[-1] not in SPACES]
-        rest = [p for p in new if p[0] != " " or p[-1] in SPACES]
+        whole, rest = [], []
+        for p in new:
+            (whole if p[0] in SPACES and p[-1] not in SPACES else rest).append(p)
         for lo in range(0, len(whole), TOGETHER):
             part = whole[lo:lo + TOGETHER]
             ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gridwork.llm import pivot_permutation, sorted_lists, suffix_pieces, superminhash, token_frames
-from gridwork.llm.common import components, new_dir, ship
+from gridwork.llm.common import Memory, components, new_dir, ship
 
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
@@ -208,6 +208,33 @@ def _texts():
     return out + ["".join(rng.choice("abthe 1.,▁é🙂\n'") for _ in range(rng.randint(1, 80))) for _ in range(300)]
 
 
+def test_memory_reads_lists_once_and_asks_for_each_piece_once():
+    asked, m = [], Memory(3)
+
+    def make(new):
+        asked.extend(new)
+        return {p: p.upper() for p in new}
+    assert ["".join(x) for x in m.recall(iter([["a", "b", "a"], ["b", "c"], []]), make)] == ["ABA", "BC", ""]
+    assert ["".join(x) for x in m.recall(iter([["d", "d"], ["a"]]), make)] == ["DD", "A"]
+    # the young generation is full: what is asked for again comes from the old one
+    assert ["".join(x) for x in m.recall(iter([["a", "e", "a"]]), make)] == ["AEA"]
+    assert sorted(asked) == ["a", "b", "c", "d", "e"] and set(m.young) == {"a", "e"}
+
+
+def test_pieces_after_any_white_space_are_encoded_together(monkeypatch):
+    library, calls = Tokenizer.from_file(BPE), []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            calls.append(len(texts))
+            return library.encode_batch_fast(texts, **options)
+    e = token_frames.Encoder(BPE)
+    e.tokenizer = Counted()
+    text = "one two\nthree\n\nfour\t five\u3000six\r\nit's\xa0x \x1cy"
+    assert list(e([text])) == [np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+    assert sum(calls) == 2                                # all that follow white space as one text, and the first word
+
+
 def test_token_files(spark):
     texts = _texts()
     df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)] + [(3, "a  b\n\n c", 0), (None, "null id", 0)], "doc_id long, text string, file int").repartition(2)
