@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash01, is_held_out
+from .common import hash01, is_held_out, tidied
 
 SPAN = 64             # bytes of a window
 HIDDEN = 8            # units of each direction
@@ -240,6 +240,7 @@ def predict(text: Column, model: Model) -> Column:
     whole text. ``und`` with score 0 if the text is null or has no letter, or
     if no language was learned."""
     @F.pandas_udf("lang_pred string, score double")
+    @tidied
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
             ok = np.array([t is not None and any(map(str.isalpha, t)) for t in s], bool)

@@ -22,13 +22,13 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .common import Memory
+from .common import Memory, tidied
 
 MARK = "▁"
 ROWS = 1000               # texts encoded before their ids are handed on
 PART = 3_000_000          # characters of text encoded at a time
 INDEX = 400_000           # characters of a suffix array, if no single word is longer
-KNOWN = 250_000           # words in a generation of those remembered
+KNOWN = 150_000           # words in a generation of those remembered
 SPAN = 1 << 15            # characters of a word above which it is relaxed on its own
 NONE = np.iinfo(np.int32).max
 
@@ -376,6 +376,7 @@ def encode(text: Column, path: str) -> Column:
     """Piece ids (array<int>) of whole texts. Null or empty text: empty array.
     Other columns are not touched."""
     @F.pandas_udf("array<int>")
+    @tidied
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in _parts(batches):
             yield pd.Series(list(codec(path).encode(s)), dtype=object)
@@ -385,6 +386,7 @@ def encode(text: Column, path: str) -> Column:
 def decode(ids: Column, path: str) -> Column:
     """Text of piece ids. Null ids: null."""
     @F.pandas_udf("string")
+    @tidied
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in _parts(batches):
             yield pd.Series([None if x is None else codec(path).decode(x) for x in s], dtype=object)
@@ -395,6 +397,7 @@ def round_trip(text: Column, path: str) -> Column:
     """Struct of ids and whether decoding them gives the text back (the mark
     itself decodes to a space; null counts as empty)."""
     @F.pandas_udf("ids array<int>, same boolean")
+    @tidied
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in _parts(batches):
             c = codec(path)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, mix64
+from .common import components, materialize, mix64, tidied, tidy
 
 ROWS = 4                 # components of a band
 MISS = 1e-7              # chance that a pair at the threshold shares no band
@@ -112,6 +112,7 @@ def _sign(sets: list[np.ndarray], out: np.ndarray, m: int) -> None:
 
 def _sketcher(width: int, m: int):
     @F.pandas_udf("n long, a long, b long, sig binary")
+    @tidied
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         words = _WordHashes()
         for texts in batches:
@@ -145,6 +146,7 @@ def _agree(least: int):
 
 def _confirm(width: int, num: int, den: int):
     @F.pandas_udf("boolean")
+    @tidied
     def confirm(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         words = _WordHashes()
         for left, right in batches:
@@ -211,6 +213,8 @@ def _joined(least: int, width: int, num: int, den: int):
                     if both and den * both >= num * (len(a) + len(b) - both):
                         done.add(label[y])
                         out.add((int(rep[xs[0]]), int(rep[y])))
+        sets.clear()
+        tidy()
         return pd.DataFrame(sorted(out), columns=["u", "v"]).astype("int64")
     return run
 

@@ -2,17 +2,19 @@
 
 import random
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyarrow import fs as pafs
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gridwork.llm import pivot_permutation, sorted_lists, suffix_pieces, superminhash, token_frames
+from gridwork.llm import common, pivot_permutation, sorted_lists, suffix_pieces, superminhash, token_frames
 from gridwork.llm.common import Memory, components, new_dir, ship
 
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -235,6 +237,24 @@ def test_pieces_after_any_white_space_are_encoded_together(monkeypatch):
     assert sum(calls) == 2                                # all that follow white space as one text, and the first word
 
 
+def test_workers_hand_memory_back_after_their_last_batch(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(common, "tidy", lambda: seen.append("tidy"))
+
+    @common.tidied
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s + 1
+    for s in run(iter([pd.Series([1]), pd.Series([2])])):
+        seen.append(int(s[0]))
+    assert seen == [2, 3, "tidy"]
+    assert suffix_pieces.encode(F.col("text"), PIECES) is not None      # its batches' types are still found
+    before = pa.total_allocated_bytes()
+    monkeypatch.undo()
+    common.tidy()
+    assert pa.total_allocated_bytes() <= before
+
+
 def test_token_files(spark):
     texts = _texts()
     df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)] + [(3, "a  b\n\n c", 0), (None, "null id", 0)], "doc_id long, text string, file int").repartition(2)
