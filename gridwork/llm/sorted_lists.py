@@ -2,10 +2,12 @@
 
 For each dimension there is a list of the candidates sorted by their component
 (read from the top for a positive query weight, from the bottom for a negative
-one). Lists are read in step, entry after entry; what was read of a candidate's
+one). Lists are read in step; what was read of a candidate's
 components bounds its score from below (unread ones count with the worst value
 of their list) and from above (unread ones count with the value the list has
-reached). Reading stops when no outsider's upper bound reaches a score that k
+reached). Entries are taken up in steps; those of a step are summed by a matrix
+product, and rows that no query can still want are read no further. Reading
+stops when no outsider's upper bound reaches a score that k
 candidates are known to reach; the few that are left are then resolved to
 final scores.
 
